@@ -28,16 +28,20 @@ def generate_responses(
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         generate = load_generator()
         for frame in frames:
-            for start in range(0, len(frame), batch_size):
-                batch = frame.iloc[start : start + batch_size]
-                prompts = batch[prompt].tolist()
+            prompts = frame[prompt].tolist()
+            responses: list[str | None] = []
+            errors: list[str | None] = []
+            for start in range(0, len(prompts), batch_size):
+                batch = prompts[start : start + batch_size]
                 try:
-                    responses, error = [str(r).strip() for r in generate(prompts)], None
-                    if len(responses) != len(prompts):
-                        raise ValueError(f"{len(responses)} responses for {len(prompts)} prompts")
+                    answers, error = [str(r).strip() for r in generate(batch)], None
+                    if len(answers) != len(batch):
+                        raise ValueError(f"{len(answers)} responses for {len(batch)} prompts")
                 except Exception as e:
-                    responses, error = [None] * len(prompts), f"{type(e).__name__}: {e}"
-                yield batch.assign(response=responses, error=error)
+                    answers, error = [None] * len(batch), f"{type(e).__name__}: {e}"
+                responses += answers
+                errors += [error] * len(batch)
+            yield frame.assign(response=responses, error=errors)
 
     return df.mapInPandas(run, schema)
 

@@ -32,7 +32,6 @@ def spread_join(
     left: DataFrame,
     right: DataFrame,
     key: str,
-    spread_by: list[str],
     *,
     how: str = "inner",
     counts: DataFrame | None = None,
@@ -41,8 +40,9 @@ def spread_join(
 ) -> DataFrame:
     """``left`` joined to ``right``, where a few keys of ``left`` may be very frequent.
 
-    Left rows of a heavy key are dealt out over its salts by a hash of ``spread_by``; the right rows of
-    that key are repeated once per salt. All other keys have one salt and cost nothing extra.
+    Left rows of a heavy key are dealt out over its salts by a hash of the row; the right rows of that key
+    are repeated once per salt. All other keys have one salt and cost nothing extra. Exact copies of one row
+    share a salt; both sides are freshly shuffled, so adaptive execution can split those by map output.
     """
     if how not in ("inner", "left"):
         raise ValueError("only inner and left joins can repeat the right side")
@@ -56,7 +56,7 @@ def spread_join(
     salts = F.coalesce("_salts", F.lit(1))
     left_salted = (
         left.join(heavy, same(F.col(key), F.col("_heavy_key")), "left")
-        .withColumn("_salt", F.pmod(F.xxhash64(*spread_by), salts).cast("int"))
+        .withColumn("_salt", F.pmod(F.xxhash64(*left.columns), salts).cast("int"))
         .drop("_heavy_key", "_salts")
     )
     right_salted = (

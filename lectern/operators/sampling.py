@@ -13,9 +13,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from lectern import fixed
 
-HASH_DIGITS = 3
-RANGE_BUCKETS = 1024
-KEYS_PER_RANGE = 16
+HASH_DIGITS = 4
+RANGE_BUCKETS = 16384
+KEYS_PER_RANGE = 8
 
 
 def order_key(row_key: str, seed: int = fixed.SHUFFLE_SEED) -> Column:
@@ -27,9 +27,26 @@ def with_order_key(df: DataFrame, row_key: str = "row_key", seed: int = fixed.SH
     return df.withColumn("order_key", order_key(row_key, seed))
 
 
-def seeded_shuffle(df: DataFrame, row_key: str = "row_key", seed: int = fixed.SHUFFLE_SEED) -> DataFrame:
-    """The table in shuffled order, the same for any partitioning; keeps ``order_key``."""
-    return with_order_key(df, row_key, seed).orderBy("order_key", row_key)
+def in_key_ranges(df: DataFrame, partitions: int | None = None) -> DataFrame:
+    """Rows moved to the partition of their range of ``order_key``.
+
+    The keys are evenly spread hashes, so the ranges are known beforehand. Sorting by a range would first
+    sample the table, and compute everything below it twice.
+    """
+    if partitions is None:
+        partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    prefix = F.conv(F.substring("order_key", 1, 8), 16, 10).cast("bigint")
+    return df.repartitionById(partitions, F.floor(prefix * partitions / 16**8).cast("int"))
+
+
+def seeded_shuffle(
+    df: DataFrame, row_key: str = "row_key", seed: int = fixed.SHUFFLE_SEED, partitions: int | None = None
+) -> DataFrame:
+    """The table in shuffled order, the same for any partitioning; keeps ``order_key``.
+
+    Partitions follow each other in the order, as do the files when it is written.
+    """
+    return in_key_ranges(with_order_key(df, row_key, seed), partitions).sortWithinPartitions("order_key", row_key)
 
 
 def _with_hash_bucket(df: DataFrame, digits: int = HASH_DIGITS) -> DataFrame:

@@ -20,7 +20,7 @@ def score_join(
     completions: DataFrame, prompts: DataFrame, *, prompt_id: str = "prompt_id", rows_per_salt: int = ROWS_PER_SALT
 ) -> DataFrame:
     """Every completion with the columns of its prompt. ``prompts`` has one row per ``prompt_id``."""
-    return spread_join(completions, prompts, prompt_id, ["gen_idx"], rows_per_salt=rows_per_salt)
+    return spread_join(completions, prompts, prompt_id, rows_per_salt=rows_per_salt)
 
 
 def with_format_reward(df: DataFrame, completion: str = "completion") -> DataFrame:
@@ -82,14 +82,14 @@ def group_advantage(
     *,
     prompt_id: str = "prompt_id",
     reward: str = "reward",
-    spread_by: Sequence[str] = ("gen_idx",),
     eps: float = fixed.ADVANTAGE_EPS,
     rows_per_salt: int = ROWS_PER_SALT,
 ) -> DataFrame:
     """``advantage``: how far a reward lies from the mean of its prompt's, in standard deviations.
 
     Group statistics are an aggregate with partial sums joined back, not a window, so a prompt with a
-    large share of all completions is not gathered in one task.
+    large share of all completions is not gathered in one task. The table is read twice: write it first
+    where computing it is dear.
     """
     stats = df.groupBy(prompt_id).agg(
         F.count(F.lit(1)).alias("n_rows"),
@@ -100,7 +100,6 @@ def group_advantage(
         df,
         stats.drop("n_rows"),
         prompt_id,
-        list(spread_by),
         counts=stats.select(prompt_id, "n_rows"),
         null_safe=True,
         rows_per_salt=rows_per_salt,

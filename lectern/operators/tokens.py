@@ -35,7 +35,8 @@ def build_vocab(df: DataFrame, size: int, text: str = "text") -> DataFrame:
     """``piece, n, id`` of the most frequent pieces, ties by piece; ids start after the reserved ones.
 
     The count at which ``size`` pieces are reached is found first, from how many pieces share each
-    count. Rarer pieces are dropped before the top-k, which so gathers ``size`` rows and the ties.
+    count: n tokens have at most about sqrt(2 n) different counts. Rarer pieces are dropped before the
+    top-k, which so gathers ``size`` rows and the ties. Pieces are counted once, for both.
     """
     if size > MAX_VOCABULARY:
         raise ValueError(f"a vocabulary may hold at most {MAX_VOCABULARY} pieces")
@@ -48,6 +49,15 @@ def build_vocab(df: DataFrame, size: int, text: str = "text") -> DataFrame:
     return top.withColumn("id", rank + F.lit(fixed.RESERVED_IDS - 1))
 
 
+def _once(udf):
+    """Keeps the optimizer from copying the function into a later filter, which would run it twice per row.
+
+    The functions are deterministic; only declaring them otherwise holds such a filter above them. So filter
+    on plain columns before encoding.
+    """
+    return udf.asNondeterministic()
+
+
 def encode_with_vocab(df: DataFrame, vocab: DataFrame, text: str = "text") -> DataFrame:
     """``ids`` and ``n_tokens`` by the built-in encoder; pieces outside the vocabulary get the unknown id.
 
@@ -74,7 +84,7 @@ def encode_with_vocab(df: DataFrame, vocab: DataFrame, text: str = "text") -> Da
             starts = pa.concat_arrays([pa.array([0], pa.int32()), ends])
             yield pa.ListArray.from_arrays(starts, ids)
 
-    encoded = df.withColumn("ids", look_up(F.coalesce(pieces(F.col(text)), F.array().cast("array<string>"))))
+    encoded = df.withColumn("ids", _once(look_up)(F.coalesce(pieces(F.col(text)), F.array().cast("array<string>"))))
     return encoded.withColumn("n_tokens", F.size("ids"))
 
 
@@ -87,7 +97,7 @@ def encode_with(df: DataFrame, load_encoder: EncoderLoader, text: str = "text")
         for batch in batches:
             yield pd.Series([list(ids) for ids in run(batch.fillna("").tolist())])
 
-    return df.withColumn("ids", encode(F.col(text))).withColumn("n_tokens", F.size("ids"))
+    return df.withColumn("ids", _once(encode)(F.col(text))).withColumn("n_tokens", F.size("ids"))
 
 
 def length_filter(df: DataFrame, max_tokens: int = fixed.MAX_TOKENS) -> DataFrame:

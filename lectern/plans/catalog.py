@@ -15,7 +15,7 @@ from lectern.functions import text as tx
 from lectern.operators import combine, conversations, formats, funnel, generate, resume, sampling, scoring, softloss, tokens
 from lectern.plans import prepare, score, teacher
 from lectern.session import scratch_path
-from lectern.sources.load import SourceSpec, load_source, load_sources
+from lectern.sources.load import SourceSpec, load_source, load_sources, spread_small
 from lectern.sources.sinks import write_jsonl, write_shards
 from lectern.streaming.incremental import run_incremental
 
@@ -35,6 +35,11 @@ def spec(sf_dir: str, name: str, key: str) -> SourceSpec:
     return SourceSpec(f"{sf_dir}/{name}.parquet", name=name, key=key)
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents' texts, for work that is dear per row."""
+    return spread_small(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+
+
 def joined_text(ids: str) -> Column:
     return F.array_join(F.col(ids).cast("array<string>"), ",").alias(ids)
 
@@ -45,7 +50,7 @@ def joined_text(ids: str) -> Column:
 def reasoning(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as reasoning rows: blank problems, missing thinking, generations with and without tags."""
     text, lang = F.col("text"), F.col("lang")
-    return load_source(spark, spec(sf_dir, "documents", "doc_id")).select(
+    return spread_small(load_source(spark, spec(sf_dir, "documents", "doc_id")), "doc_id").select(
         F.col("own_source").alias("source"),
         "row_key",
         "doc_id",
@@ -112,7 +117,7 @@ def prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def encoded_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = documents(spark, sf_dir)
     return tokens.encode_with_vocab(docs, tokens.build_vocab(docs, VOCABULARY)).drop("text")
 
 
@@ -167,7 +172,7 @@ def training_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "shards")
     rows = sampling.with_order_key(encoded_documents(spark, sf_dir), "doc_id")
     kept = tokens.length_filter(rows, MAX_TOKENS)
-    write_shards(kept, path, order=["order_key", "doc_id"], max_tokens=MAX_TOKENS)
+    write_shards(kept, path, row_key="doc_id", max_tokens=MAX_TOKENS)
     columns = [joined_text(c) for c in ("input_ids", "attention_mask", "labels")]
     return spark.read.parquet(path).select("order_key", "doc_id", "n_tokens", *columns)
 
@@ -302,11 +307,11 @@ def generation_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tokens.token_count(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+    return tokens.token_count(documents(spark, sf_dir)).drop("text")
 
 
 def length_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = tokens.token_count(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    rows = tokens.token_count(documents(spark, sf_dir))
     return tokens.length_filter(rows, MAX_TOKENS)
 
 
@@ -316,7 +321,7 @@ def length_truncate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def build_vocab(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tokens.build_vocab(table(spark, sf_dir, "documents"), VOCABULARY)
+    return tokens.build_vocab(documents(spark, sf_dir), VOCABULARY)
 
 
 def pad_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -447,7 +452,7 @@ def logit_training(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three differently shaped sources, capped, rendered, encoded once, filtered and padded."""
     benchmark = load_source(spark, spec(sf_dir, "benchmark", "item_id")).withColumnRenamed("text", "question")
     sources = [reasoning(spark, sf_dir), exchanges(spark, sf_dir), benchmark]
-    vocabulary = tokens.build_vocab(table(spark, sf_dir, "documents"), VOCABULARY)
+    vocabulary = tokens.build_vocab(documents(spark, sf_dir), VOCABULARY)
     rows = prepare.logit_training_rows(
         sources, lambda df: tokens.encode_with_vocab(df, vocabulary), max_samples=CAP, max_tokens=MAX_TOKENS
     )
@@ -461,7 +466,8 @@ def supervised(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def reward_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = score.scored_groups(completions(spark, sf_dir), prompts(spark, sf_dir), keep=("source",))
+    path = scratch_path(spark, "scored")
+    rows = score.scored_groups(completions(spark, sf_dir), prompts(spark, sf_dir), path, keep=["source"])
     return rows.withColumn("advantage", F.round("advantage", 6) + F.lit(0.0))
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 
 from lectern import fixed
@@ -15,7 +17,19 @@ def prompt_requests(df: DataFrame, per_prompt: int = fixed.GENERATIONS_PER_PROMP
     return generation_requests(reward_format(df), per_prompt)
 
 
-def scored_groups(completions: DataFrame, prompts: DataFrame, keep: tuple[str, ...] = (), plain_gold: bool = False) -> DataFrame:
-    """Both rewards, their sum, and the advantage within the completions of the same prompt."""
-    scored = score_completions(completions, prompts, keep=keep, plain_gold=plain_gold)
-    return group_advantage(total_reward(scored))
+def scored_groups(
+    completions: DataFrame,
+    prompts: DataFrame,
+    scored_path: str,
+    *,
+    keep: Sequence[str] = (),
+    plain_gold: bool = False,
+) -> DataFrame:
+    """Both rewards, their sum, and the advantage within the completions of the same prompt.
+
+    Scores are written to ``scored_path``, in the shared folder, and read back: they are a small part of
+    the texts, which are so read once, and a lost executor does not have them scored again.
+    """
+    scored = total_reward(score_completions(completions, prompts, keep=keep, plain_gold=plain_gold))
+    scored.write.mode("overwrite").parquet(scored_path)
+    return group_advantage(completions.sparkSession.read.schema(scored.schema).parquet(scored_path))

@@ -111,3 +111,13 @@ def land_json(spark: SparkSession, spec: SourceSpec, path: str) -> SourceSpec:
     """Write a JSON source once as Parquet, which can be split, pruned and keyed by position."""
     read_json(spark, spec).write.mode("overwrite").parquet(path)
     return SourceSpec(path=path, name=spec.label, format="parquet", key=spec.key)
+
+
+def spread_small(df: DataFrame, key: str) -> DataFrame:
+    """A table with fewer splits than there are cores, spread over all cores by ``key``.
+
+    For work that is dear per row over a table that is small, or lies in few big files. Larger tables, whose
+    splits keep every core busy, come back as they are: no shuffle is added to them.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from lectern import fixed
 from lectern.functions import arrays
+from lectern.operators.sampling import in_key_ranges
 
 
 def write_jsonl(df: DataFrame, path: str) -> None:
@@ -32,17 +33,17 @@ def write_shards(
     df: DataFrame,
     path: str,
     *,
-    order: list[str],
     max_tokens: int,
+    row_key: str = "row_key",
     shards: int | None = None,
     pad_id: int = fixed.PAD_ID,
     mask_pad_ids: bool = False,
 ) -> None:
-    """Parquet files in the given order, each holding a range of it.
+    """Parquet files in shuffled order, each holding a range of it.
 
-    Rows are moved and sorted un-padded; padding is the last projection before the write, so the
-    long arrays are never shuffled.
+    Rows come with ``order_key`` and are moved and sorted un-padded. Padding is the last projection
+    before the write, so the long arrays are never shuffled.
     """
-    ranged = df.repartitionByRange(shards, *order) if shards else df.repartitionByRange(*order)
-    padded = ranged.sortWithinPartitions(*order).select(*order, "n_tokens", *padded_columns(max_tokens, pad_id, mask_pad_ids))
-    padded.write.mode("overwrite").parquet(path)
+    ordered = in_key_ranges(df, shards).sortWithinPartitions("order_key", row_key)
+    columns = padded_columns(max_tokens, pad_id, mask_pad_ids)
+    ordered.select("order_key", row_key, "n_tokens", *columns).write.mode("overwrite").parquet(path)
