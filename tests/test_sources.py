@@ -1,0 +1,142 @@
+"""Sources and sinks."""
+
+import json
+
+import pytest
+from pyspark.sql import functions as F
+
+from lectern import fixed
+from lectern.operators import formats, sampling
+from lectern.plans import prepare
+from lectern.session import scratch_path
+from lectern.sources.load import SourceSpec, land_json, load_source, load_sources, parse_source_list, spread_small
+from lectern.sources.sinks import write_jsonl, write_shards
+
+PROBLEMS = [
+    {"question": f"Problem {i}: gcd(a,b) → ?", "thinking": "vₚ ≤ 2\n\nso", "solution": f"= {i}"} for i in range(6, 11)
+]
+
+
+@pytest.fixture
+def array_file(tmp_path):
+    path = tmp_path / "problems.json"
+    path.write_text(json.dumps(PROBLEMS, ensure_ascii=False, indent=2), encoding="utf-8")
+    return str(path)
+
+
+@pytest.fixture
+def lines_file(tmp_path):
+    path = tmp_path / "problems.jsonl"
+    path.write_text("\n".join(json.dumps(p, ensure_ascii=False) for p in PROBLEMS), encoding="utf-8")
+    return str(path)
+
+
+def rows_of(df):
+    return sorted((r["question"], r["thinking"], r["solution"]) for r in df.collect())
+
+
+EXPECTED = sorted((p["question"], p["thinking"], p["solution"]) for p in PROBLEMS)
+
+
+def test_json_array_and_lines(spark, array_file, lines_file, tmp_path):
+    as_lines = tmp_path / "lines.json"
+    as_lines.write_text("\n\n" + open(lines_file, encoding="utf-8").read(), encoding="utf-8")
+    for path in (array_file, lines_file, str(as_lines)):
+        df = load_source(spark, SourceSpec(path))
+        assert df.columns == ["source", "row_key", "question", "solution", "thinking"]
+        assert rows_of(df) == EXPECTED
+        assert df.select("row_key").distinct().count() == 5
+
+
+def test_explicit_format_beats_the_suffix(spark, lines_file, tmp_path):
+    other = tmp_path / "problems.data"
+    other.write_text(open(lines_file, encoding="utf-8").read(), encoding="utf-8")
+    assert rows_of(load_source(spark, SourceSpec(str(other), format="json"))) == EXPECTED
+
+
+def test_landed_json_has_stable_keys(spark, array_file, tmp_path):
+    spec = land_json(spark, SourceSpec(array_file), str(tmp_path / "landed"))
+    first, second = load_source(spark, spec), load_source(spark, spec)
+    assert rows_of(first) == EXPECTED
+    keys = [r["row_key"] for r in first.orderBy("row_key").collect()]
+    assert keys == [r["row_key"] for r in second.orderBy("row_key").collect()] and len(set(keys)) == 5
+
+
+def test_sample_file_has_an_empty_reward_prompt(spark, array_file):
+    row = formats.reward_format(load_source(spark, SourceSpec(array_file))).first()
+    assert row["prompt"][0]["content"] == f"{fixed.REWARD_SYSTEM}\n\n" and row["answer"] == ""
+
+
+def test_source_list():
+    assert [s.path for s in parse_source_list(" a.json, b ,,c/d.jsonl ")] == ["a.json", "b", "c/d.jsonl"]
+    specs = parse_source_list([SourceSpec("x", name="y"), "z.json"])
+    assert [(s.label, s.kind) for s in specs] == [("y", "parquet"), ("z", "json")]
+    for nothing in ("", " , ", []):
+        with pytest.raises(ValueError):
+            parse_source_list(nothing)
+
+
+def test_missing_source_ends_the_load(spark, lines_file, tmp_path):
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        load_sources(spark, [lines_file, str(tmp_path / "absent.jsonl")])
+
+
+def test_split_and_key(spark, tmp_path):
+    path = str(tmp_path / "split")
+    spark.range(10).selectExpr("id", "if(id < 7, 'train', 'test') as split").write.partitionBy("split").parquet(path)
+    df = load_source(spark, SourceSpec(path, name="s", split="train", key="id"))
+    assert sorted(r["row_key"] for r in df.collect()) == [f"s:{i:019d}" for i in range(7)]
+
+
+def test_parquet_rows_are_keyed_by_position(spark, small_dir):
+    df = load_source(spark, SourceSpec(f"{small_dir}/documents.parquet"))
+    keys = df.orderBy("row_key").select("row_key", "doc_id").collect()
+    assert [r["doc_id"] for r in keys] == list(range(len(keys)))
+    assert "own_source" in df.columns
+
+
+def test_sources_of_different_shapes(spark, array_file, small_dir):
+    tables = load_sources(spark, [array_file, SourceSpec(f"{small_dir}/pages.parquet", key="page_id")])
+    tables[1] = tables[1].withColumnRenamed("url", "problem")
+    rows = prepare.supervised_rows(tables).collect()
+    assert {r["source"] for r in rows} == {"problems", "pages"}
+    assert sum("vₚ ≤ 2" in r["text"] for r in rows) == 5
+    assert [r["order_key"] for r in rows] == sorted(r["order_key"] for r in rows)
+
+
+def test_jsonl(spark, tmp_path):
+    path = tmp_path / "new" / "out"
+    for text in ("stale", 'é "q" \n 中'):
+        write_jsonl(spark.createDataFrame([(text, None)], "a string, b string"), str(path))
+    lines = "".join(p.read_text(encoding="utf-8") for p in path.glob("part-*")).splitlines()
+    assert lines == ['{"a":"é \\"q\\" \\n 中","b":null}']
+
+
+def test_shards_follow_the_shuffle(spark, tmp_path):
+    df = sampling.with_order_key(
+        spark.range(500).select(F.col("id").cast("string").alias("row_key"), F.expr("sequence(1, int(id % 9) + 1)").alias("ids"))
+    ).withColumn("n_tokens", F.size("ids"))
+    path = str(tmp_path / "shards")
+    write_shards(df, path, max_tokens=6, shards=4)
+    rows = spark.read.parquet(path).select("*", F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("i")).collect()
+    assert len(rows) == 500
+    rows.sort(key=lambda r: (r["file"], r["i"]))
+    assert [r["order_key"] for r in rows] == sorted(r["order_key"] for r in rows)
+    assert len({r["file"] for r in rows}) == 4
+    for r in rows:
+        n = min(r["n_tokens"], 6)
+        assert r["input_ids"] == list(range(1, n + 1)) + [0] * (6 - n)
+        assert r["attention_mask"] == [1] * n + [0] * (6 - n)
+        assert r["labels"] == list(range(1, n + 1)) + [-100] * (6 - n)
+
+
+def test_spread_small(spark, small_dir):
+    docs = spark.read.parquet(f"{small_dir}/documents.parquet")
+    assert spread_small(docs, "doc_id").rdd.getNumPartitions() == 8
+    many = docs.repartition(16)
+    assert spread_small(many, "doc_id") is many
+
+
+def test_scratch_is_below_the_shared_folder(spark):
+    path = scratch_path(spark, "x")
+    assert path.startswith(spark.conf.get("spark.checkpoint.dir")) and path != scratch_path(spark, "x")
