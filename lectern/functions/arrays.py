@@ -37,14 +37,18 @@ def labels_by_pad_id(padded: Column, pad_id: int = fixed.PAD_ID) -> Column:
     return F.transform(padded, lambda x: F.when(x == pad_id, F.lit(fixed.IGNORED_LABEL)).otherwise(x))
 
 
-def array_sum(values: Column) -> Column:
-    return F.aggregate(values, F.lit(0.0), lambda acc, x: acc + x)
-
-
 def exp_shifted(values: Column, shift: Column) -> Column:
     """exp(x - shift) of every element; with the maximum as shift nothing overflows."""
     return F.transform(values, lambda x: F.exp(x - shift))
 
 
+def sum_exp_shifted(values: Column, shift: Column) -> Column:
+    return F.aggregate(values, F.lit(0.0), lambda acc, x: acc + F.exp(x - shift))
+
+
+def array_sum(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0.0), lambda acc, x: acc + x)
+
+
 def dot(left: Column, right: Column) -> Column:
     return array_sum(F.zip_with(left, right, lambda a, b: a * b))

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from lectern import fixed
 from lectern.functions import chat
 
 TURNS_PER_PART = 4096
+MAX_BROADCAST_IDS = 100_000
 
 
 def render_conversations(
@@ -17,57 +18,97 @@ def render_conversations(
     add_generation_prompt: bool = False,
     on_invalid: str = "empty",
     turns_per_part: int = TURNS_PER_PART,
+    max_broadcast_ids: int = MAX_BROADCAST_IDS,
 ) -> DataFrame:
-    """``conv_id, part, n_turns, valid, text`` from ``conv_id, turn, role, text``.
+    """``conv_id, part, n_turns, valid, text`` from ``conv_id, turn, role, text``; ``turn`` gives the order.
 
-    ``(conv_id, turn)`` identifies a turn and ``turn`` gives the order. A conversation is one row
-    (part 0) unless it has turn numbers from ``turns_per_part`` on. Those come as several parts: their
-    texts, joined in the order of ``part``, are the whole conversation. So no task ever gathers more
-    than ``turns_per_part`` turns of one conversation, however long it is, and nothing is cut.
+    A conversation is one row (part 0) unless it has turn numbers from ``turns_per_part`` on. Those come as
+    several parts: their texts, joined in the order of ``part``, are the whole conversation. Conversations
+    that hold a turn twice, or rows that cannot be placed, are invalid and known so from counts: their texts
+    are never gathered. So no task gathers more than two rows per turn number of one part, however long a
+    conversation is and however often it was copied.
 
-    The turns are shuffled once. Parts are positioned by a second, small aggregate over the roles of
-    the over-long conversations only; it is empty for tables that have none.
+    Runs one job over the keys, which tells whether there are such conversations. Without any, as in most
+    tables, the plan is a single shuffle of the turns.
     """
     if on_invalid not in chat.ON_INVALID:
         raise ValueError(f"on_invalid must be one of {chat.ON_INVALID}")
-    part = F.expr(f"turn div {int(turns_per_part)}").alias("part")
+    slots = _slots(turns)
+    found = slots.agg(
+        F.count_if(_unsound()).alias("unsound"), F.count_if(_beyond(turns_per_part)).alias("beyond")
+    ).first()
+
+    sound, refused = turns, None
+    if found["unsound"]:
+        unsound = slots.where(_unsound() & F.col("conv_id").isNotNull()).select("conv_id").distinct()
+        if found["unsound"] <= max_broadcast_ids:
+            unsound = F.broadcast(unsound)
+        sound = turns.where(F.col("conv_id").isNotNull()).join(unsound, "conv_id", "left_anti")
+        refused = _refused(turns, unsound)
 
+    part = F.expr(f"turn div {int(turns_per_part)}").alias("part")
     pieces = (
-        turns.groupBy("conv_id", part)
-        .agg(F.array_sort(F.collect_list(F.struct("turn", "role", F.col("text").alias("content")))).alias("turns"))
+        sound.groupBy("conv_id", part)
+        .agg(F.sort_array(F.collect_list(F.struct("turn", "role", F.col("text").alias("content")))).alias("turns"))
         .select(
             "conv_id",
             "part",
             F.size("turns").cast("bigint").alias("n_turns"),
-            chat.roles_alternate(F.col("turns")).alias("alternates"),
+            chat.roles_alternate(F.col("turns")).alias("valid"),
             chat.turns_text(F.col("turns")).alias("body"),
         )
     )
-    layout = _long_layout(turns, part, turns_per_part)
-    joined = pieces.join(layout, ["conv_id", "part"], "left")
-
-    valid = F.coalesce("long_valid", "alternates")
-    tail = fixed.MODEL_TURN if add_generation_prompt else ""
-    text = F.concat(
-        F.when(F.coalesce("is_first", F.lit(True)), F.lit(bos)).otherwise(F.lit("")),
-        F.col("body"),
-        F.when(F.coalesce("is_last", F.lit(True)), F.lit(tail)).otherwise(F.lit("")),
-    )
-    shown = joined.select("conv_id", "part", "n_turns", valid.alias("valid"), text.alias("text"))
+    first, last = F.lit(True), F.lit(True)
+    if found["beyond"]:
+        # The pieces already lie by conversation and part, so only the layout is moved.
+        pieces = pieces.join(_long_layout(sound, part, turns_per_part), ["conv_id", "part"], "left")
+        pieces = pieces.withColumn("valid", F.coalesce("long_valid", "valid"))
+        first, last = F.coalesce("is_first", first), F.coalesce("is_last", last)
+
+    head = F.when(first, F.lit(bos)).otherwise(F.lit(""))
+    tail = F.when(last, F.lit(fixed.MODEL_TURN if add_generation_prompt else "")).otherwise(F.lit(""))
+    shown = pieces.select("conv_id", "part", "n_turns", "valid", F.concat(head, "body", tail).alias("text"))
     if on_invalid == "drop":
         return shown.where("valid")
+    if refused is not None:
+        shown = shown.unionByName(refused)
     instead = F.lit("") if on_invalid == "empty" else F.raise_error(F.lit("conversation roles must alternate")).cast("string")
     return shown.withColumn("text", F.when(F.col("valid"), F.col("text")).otherwise(instead))
 
 
-def _long_layout(turns: DataFrame, part, turns_per_part: int) -> DataFrame:
+def _slots(turns: DataFrame) -> DataFrame:
+    """How many rows stand at a turn, the user's and the others' apart. Copies are summed before the shuffle."""
+    asks = F.col("role").eqNullSafe(F.lit("user")).alias("asks")
+    return turns.groupBy("conv_id", "turn", asks).agg(F.count(F.lit(1)).alias("n"))
+
+
+def _unsound() -> Column:
+    """Two rows of one kind at a turn would be neighbours, and of neighbours one must be the user's."""
+    return (F.col("n") > 1) | F.col("turn").isNull() | F.col("conv_id").isNull()
+
+
+def _beyond(turns_per_part: int) -> Column:
+    return (F.col("turn") >= turns_per_part) | (F.col("turn") < 0)
+
+
+def _refused(turns: DataFrame, unsound: DataFrame) -> DataFrame:
+    """One invalid row per unsound conversation, and one for the rows without an id, with their counts."""
+    ids = turns.select("conv_id")
+    named = ids.join(unsound, "conv_id", "left_semi")
+    counts = named.unionByName(ids.where(F.col("conv_id").isNull())).groupBy("conv_id").agg(F.count(F.lit(1)).alias("n_turns"))
+    return counts.select(
+        "conv_id", F.lit(0).cast("bigint").alias("part"), "n_turns", F.lit(False).alias("valid"), F.lit("").alias("text")
+    )
+
+
+def _long_layout(turns: DataFrame, part: Column, turns_per_part: int) -> DataFrame:
     """Per part of an over-long conversation: is it the first or last, and is the whole valid?"""
-    long_ids = turns.where((F.col("turn") >= turns_per_part) | (F.col("turn") < 0)).select("conv_id").distinct()
+    keys = turns.select("conv_id", "turn", "role")
+    long_ids = keys.where(_beyond(turns_per_part)).select("conv_id").distinct()
     stats = (
-        turns.select("conv_id", "turn", "role")
-        .join(long_ids, "conv_id", "left_semi")
+        keys.join(long_ids, "conv_id", "left_semi")
         .groupBy("conv_id", part)
-        .agg(F.array_sort(F.collect_list(F.struct("turn", "role"))).alias("roles"))
+        .agg(F.sort_array(F.collect_list(F.struct("turn", "role"))).alias("roles"))
         .select(
             "conv_id",
             "part",
@@ -79,13 +120,11 @@ def _long_layout(turns: DataFrame, part, turns_per_part: int) -> DataFrame:
     whole = Window.partitionBy("conv_id")
     before = whole.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     start = F.coalesce(F.sum("n").over(before), F.lit(0))
-    return (
-        stats.withColumn("ok", F.when(start % 2 == 0, F.col("even")).otherwise(F.col("odd")))
-        .select(
-            "conv_id",
-            "part",
-            F.min("ok").over(whole).alias("long_valid"),
-            (F.col("part") == F.min("part").over(whole)).alias("is_first"),
-            (F.col("part") == F.max("part").over(whole)).alias("is_last"),
-        )
+    placed = stats.withColumn("ok", F.when(start % 2 == 0, F.col("even")).otherwise(F.col("odd")))
+    return placed.select(
+        "conv_id",
+        "part",
+        F.min("ok").over(whole).alias("long_valid"),
+        (F.col("part") == F.min("part").over(whole)).alias("is_first"),
+        (F.col("part") == F.max("part").over(whole)).alias("is_last"),
     )

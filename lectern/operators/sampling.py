@@ -67,7 +67,7 @@ def _with_range_bucket(df: DataFrame, order: list[str], buckets: int = RANGE_BUC
     share = F.xxhash64("key") / F.lit(2.0**64) + 0.5
     total = df.agg(F.count(F.lit(1)).alias("n")).scalar()
     some = df.select(key.alias("key")).where(share * total <= 2 * wanted).orderBy(F.xxhash64("key"), "key").limit(wanted)
-    keys = some.agg(F.array_sort(F.collect_list("key")).alias("keys"))
+    keys = some.agg(F.sort_array(F.collect_list("key")).alias("keys"))
     ordinals = F.sequence(F.lit(1), F.lit(buckets - 1))
     splits = keys.select(
         F.transform(ordinals, lambda i: F.get(F.col("keys"), F.floor(i * F.size("keys") / buckets).cast("int"))).alias("s")

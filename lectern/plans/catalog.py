@@ -411,6 +411,10 @@ def soft_label_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded_losses(softloss.soft_label_loss(logits(spark, sf_dir)))
 
 
+def soft_label_loss_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded_losses(softloss.soft_label_loss(logits(spark, sf_dir), wide_vocabulary=True))
+
+
 def soft_label_loss_long(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = logits(spark, sf_dir).withColumn("e", F.arrays_zip("student", "teacher"))
     entries = pairs.select("example_id", "pos", "label", F.posexplode("e").alias("token_id", "e")).select(
@@ -516,6 +520,7 @@ QUERIES: dict[str, Query] = {
         reward_report,
         prep_funnel,
         soft_label_loss,
+        soft_label_loss_wide,
         soft_label_loss_long,
         pending_rows,
         incremental_format,

@@ -319,6 +319,7 @@ ORACLES: dict[str, str] = {
                count(*) FILTER (WHERE n_tokens > {MAX_TOKENS}) AS too_long, count(*) FILTER (WHERE n_tokens <= {MAX_TOKENS}) AS kept
         FROM counted GROUP BY source""",
     "soft_label_loss": f"WITH {LOSS}",
+    "soft_label_loss_wide": f"WITH {LOSS}",
     "soft_label_loss_long": f"WITH {LOSS}",
     "pending_rows": "SELECT doc_id, text FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)",
     "incremental_format": f"""

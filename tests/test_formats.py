@@ -8,6 +8,7 @@ from lectern.functions import chat
 from lectern.operators import formats
 from lectern.operators.combine import union_align, union_all
 from lectern.operators.conversations import render_conversations
+from tests.plans import count, plan_text
 
 
 def texts(df, column):
@@ -116,6 +117,20 @@ def test_on_invalid(spark):
         render_conversations(df, on_invalid="ignore")
 
 
+def test_repeated_turns_are_invalid(spark):
+    copies = [(9, 0, "user", "a")] * 40 + [(9, 1, "model", "b"), (None, 0, "user", "x"), (None, 1, "model", "y")]
+    mixed = [(8, 0, "user", "a"), (8, 0, "model", "b")]
+    df = spark.createDataFrame(copies + mixed, "conv_id bigint, turn bigint, role string, text string")
+    every = df.unionByName(conversation_table(spark))
+    for options in ({}, {"turns_per_part": 1}, {"max_broadcast_ids": 0}):
+        rows = {r["conv_id"]: r for r in render_conversations(every, **options).collect()}
+        assert (rows[9]["n_turns"], rows[9]["valid"], rows[9]["text"]) == (41, False, "")
+        assert (rows[None]["n_turns"], rows[None]["valid"], rows[None]["text"]) == (2, False, "")
+    assert {r["conv_id"] for r in render_conversations(df, on_invalid="drop").collect()} <= {8}
+    with pytest.raises(Exception, match="alternate"):
+        render_conversations(df.where("conv_id = 9"), on_invalid="fail").collect()
+
+
 @pytest.mark.parametrize("size", [1, 2, 3, 7])
 def test_parts_are_the_whole_conversation(spark, small_dir, size):
     """Splitting long conversations changes neither their text nor whether they are valid."""
@@ -133,6 +148,14 @@ def test_parts_are_the_whole_conversation(spark, small_dir, size):
         assert sum(r["n_turns"] for r in rows) == whole[conv_id]["n_turns"]
 
 
+def test_turns_are_shuffled_once(spark, small_dir):
+    turns = spark.read.parquet(f"{small_dir}/conversations.parquet")
+    assert count(render_conversations(turns), "Exchange") == 1
+    # Over-long conversations add a join whose other side carries no text.
+    plan = plan_text(render_conversations(turns, turns_per_part=2))
+    assert sum("text" in line for line in plan.splitlines() if "FileScan" in line) == 1
+
+
 def test_teacher_prompt(spark):
     df = spark.createDataFrame([("i", "x"), ("i", " \u3000"), ("i", None), (None, "x")], "instruction string, input string")
     head = f"<bos><start_of_turn>user\n{fixed.TEACHER_SYSTEM}\n\n"

@@ -153,10 +153,12 @@ def logit_rows(seed=0):
 LOGITS = "example_id int, pos int, label int, student array<double>, teacher array<double>"
 
 
+@pytest.mark.parametrize("wide", [False, True])
 @pytest.mark.parametrize("temperature, alpha", [(2.0, 0.5), (1.0, 0.0), (3.0, 1.0)])
-def test_losses_against_numpy(spark, temperature, alpha):
+def test_losses_against_numpy(spark, temperature, alpha, wide):
     rows = logit_rows()
-    result = {r["example_id"]: r for r in softloss.soft_label_loss(spark.createDataFrame(rows, LOGITS), temperature, alpha).collect()}
+    df = spark.createDataFrame(rows, LOGITS)
+    result = {r["example_id"]: r for r in softloss.soft_label_loss(df, temperature, alpha, wide_vocabulary=wide).collect()}
     for example in range(6):
         tokens = [
             softmax_losses(np.array(s), np.array(t), label, temperature) for e, _, label, s, t in rows if e == example and label != -100
@@ -194,8 +196,9 @@ def test_label_outside_the_kept_entries(spark):
     entries = spark.createDataFrame(
         [(1, 0, 50, 3, 1.0, 1.0), (1, 0, 50, 9, 0.0, 0.0)], "example_id int, pos int, label int, token_id int, student double, teacher double"
     )
-    row = softloss.soft_label_loss(softloss.pack_logits(entries)).first()
-    assert row["hard_ce"] == 0.0 and abs(row["kl"]) < 1e-12 and row["soft_ce"] > 0
+    for wide in (False, True):
+        row = softloss.soft_label_loss(softloss.pack_logits(entries), wide_vocabulary=wide).first()
+        assert row["hard_ce"] == 0.0 and abs(row["kl"]) < 1e-12 and row["soft_ce"] > 0
 
 
 @pytest.mark.parametrize("partitions", [1, 4, 37])
