@@ -61,9 +61,8 @@ def render_conversations(
     first, last = F.lit(True), F.lit(True)
     if found["beyond"]:
         # The pieces already lie by conversation and part, so only the layout is moved.
-        pieces = pieces.join(_long_layout(sound, part, turns_per_part), ["conv_id", "part"], "left")
-        pieces = pieces.withColumn("valid", F.coalesce("long_valid", "valid"))
-        first, last = F.coalesce("is_first", first), F.coalesce("is_last", last)
+        pieces = pieces.drop("valid").join(_layout(sound, part), ["conv_id", "part"])
+        first, last = F.col("is_first"), F.col("is_last")
 
     head = F.when(first, F.lit(bos)).otherwise(F.lit(""))
     tail = F.when(last, F.lit(fixed.MODEL_TURN if add_generation_prompt else "")).otherwise(F.lit(""))
@@ -101,13 +100,14 @@ def _refused(turns: DataFrame, unsound: DataFrame) -> DataFrame:
     )
 
 
-def _long_layout(turns: DataFrame, part: Column, turns_per_part: int) -> DataFrame:
-    """Per part of an over-long conversation: is it the first or last, and is the whole valid?"""
-    keys = turns.select("conv_id", "turn", "role")
-    long_ids = keys.where(_beyond(turns_per_part)).select("conv_id").distinct()
+def _layout(turns: DataFrame, part: Column) -> DataFrame:
+    """Per part of a conversation: is it the first or last, and is the whole conversation valid?
+
+    Reads roles only. Parts are judged before their conversation's are put together, so that also an
+    over-long one is a few rows by then.
+    """
     stats = (
-        keys.join(long_ids, "conv_id", "left_semi")
-        .groupBy("conv_id", part)
+        turns.groupBy("conv_id", part)
         .agg(F.sort_array(F.collect_list(F.struct("turn", "role"))).alias("roles"))
         .select(
             "conv_id",
@@ -124,7 +124,7 @@ def _long_layout(turns: DataFrame, part: Column, turns_per_part: int) -> DataFra
     return placed.select(
         "conv_id",
         "part",
-        F.min("ok").over(whole).alias("long_valid"),
+        F.min("ok").over(whole).alias("valid"),
         (F.col("part") == F.min("part").over(whole)).alias("is_first"),
         (F.col("part") == F.max("part").over(whole)).alias("is_last"),
     )

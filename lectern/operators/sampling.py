@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from lectern import fixed
 
 HASH_DIGITS = 4
-RANGE_BUCKETS = 16384
+RANGE_BUCKETS = 8192
 KEYS_PER_RANGE = 8
 
 
@@ -62,7 +62,7 @@ def _with_range_bucket(df: DataFrame, order: list[str], buckets: int = RANGE_BUC
     even the buckets are; the numbering is exact whatever they are. Keys with large hashes are dropped
     before the top-k, so that it gathers about twice the keys it keeps and not some from every partition.
     """
-    key = F.struct(*order)
+    key = F.col(order[0]) if len(order) == 1 else F.struct(*order)
     wanted = buckets * KEYS_PER_RANGE
     share = F.xxhash64("key") / F.lit(2.0**64) + 0.5
     total = df.agg(F.count(F.lit(1)).alias("n")).scalar()
@@ -72,7 +72,8 @@ def _with_range_bucket(df: DataFrame, order: list[str], buckets: int = RANGE_BUC
     splits = keys.select(
         F.transform(ordinals, lambda i: F.get(F.col("keys"), F.floor(i * F.size("keys") / buckets).cast("int"))).alias("s")
     ).scalar()
-    # Binary search: each step moves on if the split point it leads to is not above the key.
+    # Binary search: each step moves on if the split point it leads to is not above the key. Written out as
+    # columns the steps would run faster, but the optimizer then copies them into each other without end.
     steps = F.array(*[F.lit(2**i) for i in reversed(range((buckets - 1).bit_length()))])
     found = F.aggregate(
         steps, F.lit(0), lambda at, step: F.when(F.get("_splits", at + step - 1) <= key, at + step).otherwise(at)
