@@ -117,11 +117,11 @@ def pack_logits(entries: DataFrame) -> DataFrame:
     """Array form of ``example_id, pos, label, token_id, student, teacher``, one row per vocabulary entry.
 
     The entries kept for a position stand for the whole distribution: both sides are renormalised over
-    them, and a label outside them has no hard loss. ``(example_id, pos, token_id)`` identifies a row, so
-    an array is never longer than the vocabulary.
+    them, and a label outside them has no hard loss. Copies of an entry count once, so an array is never
+    longer than the vocabulary.
     """
     packed = entries.groupBy("example_id", "pos", "label").agg(
-        F.sort_array(F.collect_list(F.struct("token_id", "student", "teacher"))).alias("e")
+        F.sort_array(F.collect_set(F.struct("token_id", "student", "teacher"))).alias("e")
     )
     at = F.array_position(F.col("e.token_id"), F.col("label").cast("int")).cast("int") - 1
     return packed.select(

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from lectern import fixed
-from lectern.functions import text as tx
+from lectern.functions import rewards, text as tx
 from lectern.operators import combine, conversations, formats, funnel, generate, resume, sampling, scoring, softloss, tokens
 from lectern.plans import prepare, score, teacher
 from lectern.session import scratch_path
@@ -310,6 +310,16 @@ def token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_count(documents(spark, sf_dir)).drop("text")
 
 
+def encode_with(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A caller's encoder: here, the length of every line."""
+
+    def load_encoder():
+        return lambda texts: [[len(line) for line in text.split("\n")] for text in texts]
+
+    rows = tokens.encode_with(documents(spark, sf_dir), load_encoder)
+    return rows.select("doc_id", "n_tokens", joined_text("ids"))
+
+
 def length_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = tokens.token_count(documents(spark, sf_dir))
     return tokens.length_filter(rows, MAX_TOKENS)
@@ -353,6 +363,24 @@ def generate_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return generate.generate_responses(rows, load_echo).select("doc_id", "response", "error")
 
 
+def generation_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Batches of one row, of which those in one language fail."""
+
+    def load_choosy():
+        def run(batch):
+            if "Write in fr" in batch[0]:
+                raise ValueError("refused")
+            return ["done "]
+
+        return run
+
+    rows = formats.teacher_prompt(instructions(spark, sf_dir)).select("doc_id", "prompt")
+    generated = generate.generate_responses(rows, load_choosy, batch_size=1)
+    path = scratch_path(spark, "generated")
+    generate.write_generated(generated, path)
+    return spark.read.schema(generated.schema).parquet(path).select("doc_id", "response", "error")
+
+
 def teacher_record(spark: SparkSession, sf_dir: str) -> DataFrame:
     def load_echo():
         return lambda batch: ["echo"] * len(batch)
@@ -385,6 +413,15 @@ def reward_total(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scored(spark, sf_dir).select("prompt_id", "gen_idx", "reward")
 
 
+def reward_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A caller's own list of weighted reward functions."""
+    specs = [
+        ("shape", 1.0, rewards.format_reward),
+        ("boxed", 0.5, lambda text: F.when(tx.boxed_answer(text).isNotNull(), F.lit(1.0)).otherwise(F.lit(0.0))),
+    ]
+    return scoring.apply_rewards(completions(spark, sf_dir), specs).select("prompt_id", "gen_idx", "shape", "boxed", "reward")
+
+
 def group_advantage(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = scoring.group_advantage(_scored(spark, sf_dir))
     return rows.select("prompt_id", "gen_idx", "reward", (F.round("advantage", 6) + F.lit(0.0)).alias("advantage"))
@@ -505,6 +542,7 @@ QUERIES: dict[str, Query] = {
         score_join,
         generation_requests,
         token_count,
+        encode_with,
         length_filter,
         length_truncate,
         build_vocab,
@@ -512,10 +550,12 @@ QUERIES: dict[str, Query] = {
         make_labels,
         pad_left_batch,
         generate_responses,
+        generation_failures,
         teacher_record,
         format_reward,
         correctness_reward,
         reward_total,
+        reward_list,
         group_advantage,
         reward_report,
         prep_funnel,

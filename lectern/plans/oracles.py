@@ -271,6 +271,9 @@ ORACLES: dict[str, str] = {
     "generation_requests": f"""
         SELECT conv_id, turn, text, CAST(unnest(range({fixed.GENERATIONS_PER_PROMPT})) AS INTEGER) AS gen_idx FROM conversations""",
     "token_count": f"SELECT doc_id, CAST(len(regexp_extract_all(text, {PIECES})) AS INTEGER) AS n_tokens FROM documents",
+    "encode_with": """
+        WITH split AS (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents)
+        SELECT doc_id, CAST(len(parts) AS INTEGER) AS n_tokens, array_to_string([length(p) FOR p IN parts], ',') AS ids FROM split""",
     "length_filter": f"""
         SELECT * FROM (SELECT doc_id, text, CAST(len(regexp_extract_all(text, {PIECES})) AS INTEGER) AS n_tokens FROM documents)
         WHERE n_tokens <= {MAX_TOKENS}""",
@@ -294,6 +297,9 @@ ORACLES: dict[str, str] = {
         FROM longest""",
     "generate_responses": f"""
         WITH {INSTRUCTIONS} SELECT doc_id, {strip("'echo ' || prompt")} AS response, NULL::VARCHAR AS error FROM prompted""",
+    "generation_failures": """
+        SELECT doc_id, CASE WHEN lang <> 'fr' THEN 'done' END AS response,
+               CASE WHEN lang = 'fr' THEN 'ValueError: refused' END AS error FROM documents""",
     "teacher_record": f"""
         WITH {INSTRUCTIONS}
         SELECT instruction, coalesce(input, '') AS input, coalesce(output, '') AS original_output, 'echo' AS teacher_output,
@@ -302,6 +308,13 @@ ORACLES: dict[str, str] = {
         WITH {COMPLETIONS}, {SCORED} SELECT prompt_id, gen_idx, format_reward FROM scored""",
     "correctness_reward": f"WITH {COMPLETIONS}, {SCORED} SELECT prompt_id, gen_idx, correctness_reward FROM scored",
     "reward_total": f"WITH {COMPLETIONS}, {SCORED} SELECT prompt_id, gen_idx, reward FROM totals",
+    "reward_list": f"""
+        WITH {COMPLETIONS}, {SCORED},
+        parts AS (
+          SELECT prompt_id, gen_idx, format_reward AS shape,
+                 CASE WHEN gen_idx + 4 * prompt_id <> 7 * ((gen_idx + 4 * prompt_id) // 7) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS boxed
+          FROM scored)
+        SELECT *, shape + 0.5::DOUBLE * boxed AS reward FROM parts""",
     "group_advantage": f"""
         WITH {COMPLETIONS}, {SCORED}
         SELECT prompt_id, gen_idx, reward, {ADVANTAGE} AS advantage FROM totals WINDOW p AS (PARTITION BY prompt_id)""",
