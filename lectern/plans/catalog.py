@@ -423,7 +423,9 @@ def reward_list(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def group_advantage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = scoring.group_advantage(_scored(spark, sf_dir))
+    path = scratch_path(spark, "scores")
+    _scored(spark, sf_dir).write.parquet(path)
+    rows = scoring.group_advantage(spark.read.parquet(path))
     return rows.select("prompt_id", "gen_idx", "reward", (F.round("advantage", 6) + F.lit(0.0)).alias("advantage"))
 
 
