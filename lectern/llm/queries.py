@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lectern.llm import simhash
+from lectern.llm import simhash, tokencounts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -22,6 +22,13 @@ def query(name: str, sql: str | None = None) -> Callable:
     return add
 
 
+def _tokenizer(name: str = "byte_bpe_50k.json") -> str:
+    """Where the driver finds a public tokenizer's definition."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -29,3 +36,8 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 @query("op5_simhash_near_dedup")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
+@query("op6_token_counts")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencounts.token_counts(_table(spark, sf_dir, "documents"), _tokenizer())
