@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lectern.llm import simhash, tokencounts
+from lectern.llm import simhash, substrings, tokencounts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -41,3 +41,29 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_token_counts")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencounts.token_counts(_table(spark, sf_dir, "documents"), _tokenizer())
+
+
+@query(
+    "op8_substring_dedup",
+    r"""
+    WITH split AS (
+      SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
+    ), windows AS (
+      SELECT doc_id, i, array_to_string(words[i:i + 49], ' ') AS shown
+      FROM (SELECT doc_id, words, unnest(range(1, len(words) - 48)) AS i FROM split WHERE len(words) >= 50)
+    ), firsts AS (SELECT shown, min(doc_id) AS first FROM windows GROUP BY shown),
+    gone AS (
+      SELECT doc_id, list(DISTINCT place) AS places
+      FROM (SELECT doc_id, unnest(range(i, i + 50)) AS place FROM windows JOIN firsts USING (shown) WHERE doc_id > first)
+      GROUP BY doc_id
+    ), cut AS (
+      SELECT doc_id, len(words) AS n_words,
+        CASE WHEN places IS NULL THEN words ELSE list_filter(words, lambda w, i: NOT list_contains(places, i)) END AS kept
+      FROM split LEFT JOIN gone USING (doc_id)
+    )
+    SELECT doc_id, n_words, n_words - len(kept) AS n_removed, sha256(coalesce(array_to_string(kept, ' '), '')) AS kept_sha256 FROM cut
+    """,
+)
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = substrings.remove_repeats(_table(spark, sf_dir, "documents"))
+    return left.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
