@@ -64,7 +64,7 @@ class Items:
 
 
 def make_items(ids: list[int | None], texts: list[str | None], frequency: dict[int, float], seed_words: int = SEED_WORDS) -> Items:
-    """``frequency`` has each word hash's share of the corpus' words. An item without a rare seed keeps them all."""
+    """``frequency`` has each word hash's share of the corpus' words. The rarer half of an item's seeds is kept anyway."""
     entries: list[tuple[int, int, int]] = []
     words: list[np.ndarray] = []
     for number, text in enumerate(texts):
@@ -76,8 +76,7 @@ def make_items(ids: list[int | None], texts: list[str | None], frequency: dict[i
         grams = gram_hashes(hashes, min(seed_words, len(hashes)))
         share = np.array([frequency.get(h, 0.0) for h in hashes.tolist()])
         odds = np.array([share[i : i + seed_words].prod() for i in range(len(grams))])
-        rare = odds <= RARE
-        keep = rare if rare.any() else np.ones(len(grams), dtype=bool)
+        keep = odds <= max(RARE, float(np.median(odds)))
         if len(hashes) >= seed_words:  # a shorter item has no seed that the scan of texts would form
             entries += [(g, number, i) for i, g in enumerate(grams.tolist()) if keep[i]]
     entries.sort()
@@ -235,7 +234,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, min_score: float = MIN_S
     """``doc_id, item_id, score, first_word, last_word`` for every document and each item it holds.
 
     A document is compared with an item if it holds one of the item's rare seeds, three words in a row of which
-    the corpus' word frequencies would hardly ever make one. An item of common words only keeps all its seeds.
+    the corpus' word frequencies would hardly ever make one. Of an item of common words the rarer half is taken.
     Around the seeds the passage is aligned with the item (Smith-Waterman over words in lower case, without
     punctuation); the score is the alignment's share of what the whole item, or 50 words of a longer one, would
     give. From ``min_score`` on the document holds the item.

@@ -3,7 +3,9 @@
 Most windows occur once, and to shuffle a hash for every word of a corpus to learn that would be the whole
 cost. So windows are first represented by the smallest hash among the short grams inside them, which equal
 windows share and some seventeen neighbouring windows have in common. Only windows whose representative occurs
-in more than one document are hashed and counted. That leaves out no window that repeats.
+in more than one document are hashed and counted. That leaves out no window that repeats. A document whose words
+are all those of an earlier one loses them all, so its windows need not be looked at: each of them also starts
+in that earlier one, which stands for both wherever a third document is judged.
 """
 
 from __future__ import annotations
@@ -20,6 +22,7 @@ from lectern.llm.textbatch import (
     Slice,
     Words,
     gram_hashes,
+    run_hashes,
     signed,
     slices,
     text_of_word,
@@ -32,6 +35,7 @@ WINDOW_WORDS = 50
 GRAM_WORDS = 16
 LAST_ID = 2**63 - 1
 KEY = ["order_id", "text_key"]
+EVERYWHERE = -1
 
 
 def sliding_minima(values: np.ndarray, width: int) -> np.ndarray:
@@ -44,14 +48,12 @@ def sliding_minima(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(low[: len(low) - rest], low[rest:]) if rest else low
 
 
-def _representatives(part: Slice, window: int, gram: int) -> tuple[Words, np.ndarray, np.ndarray]:
-    """The words, where whole windows start, and the smallest gram hash of each of those windows."""
-    words = words_of(part.data, part.offsets)
+def _representatives(words: Words, hashes: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where whole windows start, and the smallest gram hash of each of those windows."""
     starts = np.flatnonzero(whole_grams(words, window))
     if not len(starts):
-        return words, starts, np.zeros(0, dtype=np.uint64)
-    grams = gram_hashes(word_hashes(part.data, words), gram)
-    return words, starts, sliding_minima(grams, window - gram + 1)[starts]
+        return starts, np.zeros(0, dtype=np.uint64)
+    return starts, sliding_minima(gram_hashes(hashes, gram), window - gram + 1)[starts]
 
 
 def _lists(values: np.ndarray, owner: np.ndarray, n: int) -> pa.Array:
@@ -60,20 +62,26 @@ def _lists(values: np.ndarray, owner: np.ndarray, n: int) -> pa.Array:
 
 
 def _seeds(docs: DataFrame, window: int, gram: int) -> DataFrame:
-    """Every document's representatives."""
+    """Every document's representatives, its number of words and a 128-bit hash of all of them."""
+    kinds = {"order_id": "bigint", "text_key": "bigint", "n_words": "bigint", "w1": "bigint", "w2": "bigint"}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
             for part in slices(rows["text"]):
-                words, starts, low = _representatives(part, window, gram)
+                words = words_of(part.data, part.offsets)
+                both = [word_hashes(part.data, words, b) for b in BASES]
+                starts, low = _representatives(words, both[0], window, gram)
                 owner = text_of_word(words)[starts]
                 new = np.ones(len(low), dtype=bool)
                 new[1:] = (low[1:] != low[:-1]) | (owner[1:] != owner[:-1])
                 keys = rows.slice(part.first, part.last - part.first)
+                whole = [signed(run_hashes(h, words.bounds, b)) for h, b in zip(both, BASES, strict=True)]
                 seeds = _lists(low[new], owner[new], len(keys))
-                yield pa.RecordBatch.from_arrays([keys[0], keys[1], seeds], [*KEY, "seeds"])
+                columns = [keys[0], keys[1], pa.array(words.counts), *whole, seeds]
+                yield pa.RecordBatch.from_arrays(columns, [*kinds, "seeds"])
 
-    return docs.select(*KEY, "text").mapInArrow(run, "order_id bigint, text_key bigint, seeds array<bigint>")
+    schema = ", ".join(f"{name} {kind}" for name, kind in kinds.items())
+    return docs.select(*KEY, "text").mapInArrow(run, f"{schema}, seeds array<bigint>")
 
 
 def _windows(marked: DataFrame, window: int, gram: int) -> DataFrame:
@@ -84,13 +92,15 @@ def _windows(marked: DataFrame, window: int, gram: int) -> DataFrame:
         for rows in batches:
             seeds = rows["seeds"]
             for part in slices(rows["text"]):
-                words, starts, low = _representatives(part, window, gram)
+                words = words_of(part.data, part.offsets)
+                both = [word_hashes(part.data, words, b) for b in BASES]
+                starts, low = _representatives(words, both[0], window, gram)
                 shared = seeds.slice(part.first, part.last - part.first).flatten().to_numpy(zero_copy_only=False)
                 starts = starts[np.isin(low, shared.view(np.uint64))]
                 if not len(starts):
                     continue
                 owner = text_of_word(words)[starts]
-                h1, h2 = (gram_hashes(word_hashes(part.data, words, b), window, b)[starts] for b in BASES)
+                h1, h2 = (gram_hashes(h, window, b)[starts] for h, b in zip(both, BASES, strict=True))
                 ids = [rows[c].to_numpy(zero_copy_only=False)[part.first + owner] for c in KEY]
                 yield batch(schema, [*ids, (starts - words.bounds[owner]).astype(np.int32), signed(h1), signed(h2)])
 
@@ -120,7 +130,8 @@ def _without(docs: DataFrame, window: int) -> DataFrame:
                     counts.append(len(words))
                     own = places[part.first + i]
                     if own.is_valid:
-                        gone = covered(own.values.to_numpy(), len(words), window)
+                        found = own.values.to_numpy()
+                        gone = covered(found, len(words), window) if found[0] != EVERYWHERE else np.ones(len(words), bool)
                         words = [w for w, g in zip(words, gone.tolist(), strict=True) if not g]
                     removed.append(counts[-1] - len(words))
                     texts.append(b" ".join(words).decode())
@@ -144,7 +155,13 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW_WORDS, gram: int = GRAM
         F.coalesce(F.col("doc_id").cast("bigint"), F.lit(LAST_ID)).alias("order_id"),
         F.xxhash64("text").alias("text_key"),
     )
-    seeds = landed(_seeds(keyed, window, gram), "seeds").select(*KEY, F.explode("seeds").alias("seed"))
+    seeds = landed(_seeds(keyed, window, gram), "seeds")
+    copied = seeds.where(f"n_words >= {int(window)}").groupBy("n_words", "w1", "w2")
+    copied = copied.agg(F.min("order_id").alias("first"), F.max("order_id").alias("last")).where("first < last")
+    judged = seeds.join(landed(copied.drop("last"), "copied"), ["n_words", "w1", "w2"], "left")
+    judged = landed(judged.select(*KEY, "seeds", F.coalesce(F.col("order_id") > F.col("first"), F.lit(False)).alias("copy")), "judged")
+
+    seeds = judged.where("NOT copy").select(*KEY, F.explode("seeds").alias("seed"))
     spread = seeds.groupBy("seed").agg(F.min("order_id").alias("first"), F.max("order_id").alias("last"))
     shared = landed(spread.where("first < last").select("seed"), "shared")
     marks = seeds.join(shared, "seed").groupBy(*KEY).agg(F.collect_set("seed").alias("seeds"))
@@ -152,5 +169,6 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW_WORDS, gram: int = GRAM
     firsts = windows.groupBy("h1", "h2").agg(F.min("order_id").alias("first"), F.max("order_id").alias("last"))
     firsts = landed(firsts.where("first < last").select("h1", "h2", "first"), "firsts")
     later = windows.join(firsts, ["h1", "h2"]).where("order_id > first")
-    places = landed(later.groupBy(*KEY).agg(F.collect_set("place").alias("places")), "places")
-    return _without(keyed.join(places, KEY, "left"), window)
+    places = later.groupBy(*KEY).agg(F.collect_set("place").alias("places"))
+    copies = judged.where("copy").select(*KEY).distinct().withColumn("places", F.array(F.lit(EVERYWHERE)))
+    return _without(keyed.join(landed(places.unionByName(copies), "places"), KEY, "left"), window)

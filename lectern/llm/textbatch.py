@@ -133,6 +133,14 @@ def gram_hashes(hashes: np.ndarray, n: int, base: int = BASES[0]) -> np.ndarray:
     return mix((sums[n:] - sums[:-n]) * down[: len(hashes) - n + 1])
 
 
+def run_hashes(hashes: np.ndarray, bounds: np.ndarray, base: int = BASES[0]) -> np.ndarray:
+    """A hash of all words of each text."""
+    up, down = _POWERS[base].upto(len(hashes) + 1)
+    sums = np.zeros(len(hashes) + 1, dtype=np.uint64)
+    np.cumsum(hashes * up[: len(hashes)], out=sums[1:])
+    return mix((sums[bounds[1:]] - sums[bounds[:-1]]) * down[bounds[:-1]])
+
+
 def whole_grams(words: Words, n: int) -> np.ndarray:
     """Of the grams that start at each word: does it lie within one text?"""
     total = int(words.bounds[-1])

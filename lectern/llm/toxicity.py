@@ -10,6 +10,8 @@ steps. A text counts as its worst word; it is learnt which words those are, as l
 from __future__ import annotations
 
 import unicodedata
+import zlib
+from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -202,25 +204,34 @@ def nystroem_weights(believed: list[str], harmless: list[str], landmarks: list[s
     return np.bincount(which, weights=weight * machine[row], minlength=FEATURES)
 
 
-def count_apart(texts: list[list[str]]) -> dict[str, int]:
-    """In how many texts each word stands, where texts that have most of their words from one other count once.
+def apart(texts: list[list[str]]) -> list[list[str]]:
+    """The texts that are no near copies of an earlier one. Copies would make every word of theirs look frequent.
 
-    Copies would otherwise make every word of theirs look frequent.
+    Texts are compared by the smallest of 64 hashes of their words; those that agree in over half are copies.
     """
-    counts: dict[str, int] = {}
-    first: dict[str, list[int]] = {}
-    for number, words in enumerate(texts):
-        common: dict[int, int] = {}
-        for w in words:
-            counts.setdefault(w, 0)
-            for other in first.get(w, ()):
-                common[other] = common.get(other, 0) + 1
-        if 2 * max(common.values(), default=0) > len(words):
+    rng = np.random.default_rng(SEED)
+    factors = rng.integers(1, 1 << 31, 64, dtype=np.uint64) | np.uint64(1)
+    kept: list[list[str]] = []
+    prints = np.zeros((len(texts), 64), dtype=np.uint64)
+    for words in texts:
+        if not words:
             continue
-        for w in words:
-            counts[w] += 1
-            first.setdefault(w, []).append(number)
-    return counts
+        hashes = np.array([zlib.crc32(w.encode()) for w in words], dtype=np.uint64)
+        own = (hashes[:, None] * factors % np.uint64((1 << 31) - 1)).min(axis=0)
+        if not ((prints[: len(kept)] == own).sum(axis=1) > 32).any():
+            prints[len(kept)] = own
+            kept.append(words)
+    return kept
+
+
+def too_often(texts: list[list[str]], seen: set[str], clean_mass: int) -> set[str]:
+    """Words that only the given toxic texts hold, in more of them than chance would bring about."""
+    counts = Counter(w for words in texts for w in words if w not in seen)
+    if not counts:
+        return set()
+    mass = sum(map(len, texts))
+    enough = np.log(CHANCE / len(counts)) / np.log(mass / (mass + clean_mass))
+    return {w for w, n in counts.items() if n >= max(enough, 3)}
 
 
 def learn_weights(toxic: list[list[str]], clean: list[list[str]]) -> np.ndarray:
@@ -228,19 +239,17 @@ def learn_weights(toxic: list[list[str]], clean: list[list[str]]) -> np.ndarray:
 
     The first insults are words that toxic texts alone hold, too often for chance. In each round a machine tells
     the words believed to be insults from words of clean texts, among them those that looked worst so far; then
-    the worst word of each toxic text that has none yet is believed, if the machine agrees. Words that clean
+    the toxic texts without such a word are searched again, by chance and by the machine. Words that clean
     texts hold are never believed. Landmarks are insults, the worst harmless words and ordinary ones.
     """
     rng = np.random.default_rng(SEED)
     ordinary = sorted({w for words in clean for w in words})
     seen = set(ordinary)
-    counts = count_apart([[w for w in words if w not in seen] for words in toxic])
-    mass = [sum(map(len, words)) for words in (toxic, clean)]
+    different, clean_mass = apart(toxic), sum(map(len, clean))
+    counts = Counter(w for words in different for w in words if w not in seen)
     if not counts or not ordinary:
         return np.zeros(FEATURES)
-    chance = np.log(mass[0] / sum(mass))
-    enough = min(np.log(CHANCE / len(counts)) / chance, max(counts.values()))
-    believed = {w for w, n in counts.items() if n >= enough}
+    believed = too_often(different, seen, clean_mass) or {w for w, n in counts.items() if n == max(counts.values())}
     harmless = [ordinary[i] for i in rng.permutation(len(ordinary))[:HARMLESS]]
     hard: list[str] = []
     candidates = sorted(counts)
@@ -254,9 +263,11 @@ def learn_weights(toxic: list[list[str]], clean: list[list[str]]) -> np.ndarray:
         hard = list(dict.fromkeys([ordinary[i] for i in worst] + hard))
         score = dict(zip(candidates, _scores(candidates, weights)))
         limit = max(0.5, float(scores.max()))
-        for words in toxic:
+        unexplained = [words for words in different if believed.isdisjoint(words)]
+        believed |= too_often(unexplained, seen, clean_mass)
+        for words in unexplained:
             own = [w for w in words if w in counts]
-            if own and believed.isdisjoint(own) and score[worst_own := max(own, key=lambda w: (score[w], w))] > limit:
+            if own and score[worst_own := max(own, key=lambda w: (score[w], w))] > limit:
                 believed.add(worst_own)
     return weights
 
