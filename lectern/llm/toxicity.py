@@ -224,20 +224,30 @@ def apart(texts: list[list[str]]) -> list[list[str]]:
     return kept
 
 
-def too_often(texts: list[list[str]], seen: set[str], clean_mass: int) -> set[str]:
-    """Words that only the given toxic texts hold, in more of them than chance would bring about."""
-    counts = Counter(w for words in texts for w in words if w not in seen)
+def parts_of(word: str) -> set[str]:
+    """The word and its runs of four and five letters; its ends count as letters."""
+    edged = f" {word} "
+    return {word} | {edged[i : i + n] for n in (4, 5) for i in range(len(edged) - n + 1)}
+
+
+def too_often(texts: list[list[str]], seen: set[str], clean: int) -> set[str]:
+    """Words that hold a part which only the given toxic texts hold, in more of them than chance would bring about.
+
+    ``seen`` are the parts of clean texts. Insults with many endings are found by what these have in common.
+    """
+    new = [{w: parts_of(w) - seen for w in words} for words in texts]
+    counts = Counter(p for words in new for p in set().union(*words.values()))
     if not counts:
         return set()
-    mass = sum(map(len, texts))
-    enough = np.log(CHANCE / len(counts)) / np.log(mass / (mass + clean_mass))
-    return {w for w, n in counts.items() if n >= max(enough, 3)}
+    enough = np.log(CHANCE / len(counts)) / np.log(len(texts) / (len(texts) + clean))
+    often = {p for p, n in counts.items() if n >= max(enough, 3)}
+    return {w for words in new for w, parts in words.items() if not often.isdisjoint(parts)}
 
 
 def learn_weights(toxic: list[list[str]], clean: list[list[str]]) -> np.ndarray:
     """A weight for every subsequence, from the words of toxic and of clean texts.
 
-    The first insults are words that toxic texts alone hold, too often for chance. In each round a machine tells
+    The first insults are words with a part that toxic texts alone hold, too often for chance. In each round a machine tells
     the words believed to be insults from words of clean texts, among them those that looked worst so far; then
     the toxic texts without such a word are searched again, by chance and by the machine. Words that clean
     texts hold are never believed. Landmarks are insults, the worst harmless words and ordinary ones.
@@ -245,11 +255,12 @@ def learn_weights(toxic: list[list[str]], clean: list[list[str]]) -> np.ndarray:
     rng = np.random.default_rng(SEED)
     ordinary = sorted({w for words in clean for w in words})
     seen = set(ordinary)
-    different, clean_mass = apart(toxic), sum(map(len, clean))
+    parts = set().union(*map(parts_of, ordinary))
+    different = apart(toxic)
     counts = Counter(w for words in different for w in words if w not in seen)
     if not counts or not ordinary:
         return np.zeros(FEATURES)
-    believed = too_often(different, seen, clean_mass) or {w for w, n in counts.items() if n == max(counts.values())}
+    believed = too_often(different, parts, len(clean)) or {w for w, n in counts.items() if n == max(counts.values())}
     harmless = [ordinary[i] for i in rng.permutation(len(ordinary))[:HARMLESS]]
     hard: list[str] = []
     candidates = sorted(counts)
@@ -264,7 +275,7 @@ def learn_weights(toxic: list[list[str]], clean: list[list[str]]) -> np.ndarray:
         score = dict(zip(candidates, _scores(candidates, weights)))
         limit = max(0.5, float(scores.max()))
         unexplained = [words for words in different if believed.isdisjoint(words)]
-        believed |= too_often(unexplained, seen, clean_mass)
+        believed |= too_often(unexplained, parts, len(clean))
         for words in unexplained:
             own = [w for w in words if w in counts]
             if own and score[worst_own := max(own, key=lambda w: (score[w], w))] > limit:
