@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lectern.llm import decontaminate, simhash, substrings, tokencounts, toxicity
+from lectern.llm import decontaminate, linededup, mixing, sharding, simhash, substrings, tokencounts, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -33,6 +33,42 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query(
+    "op3_line_dedup",
+    r"""
+    WITH lines AS (
+      SELECT doc_id, i AS line_no, regexp_extract_all(lower(parts[i]), '[^\x20\x09-\x0D]+') AS words, parts[i] AS line
+      FROM (SELECT doc_id, parts, unnest(range(1, len(parts) + 1)) AS i FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents))
+    ), named AS (SELECT *, array_to_string(words, ' ') AS shown FROM lines),
+    firsts AS (
+      SELECT shown, any_value(words) AS words, min((doc_id, line_no)) AS first FROM named WHERE len(words) > 0 GROUP BY shown
+    ), variants AS (
+      SELECT shown, first, len(words) AS n, p, array_to_string(list_concat(words[1:p - 1], words[p + 1:]), ' ') AS variant
+      FROM (SELECT *, unnest(range(1, len(words) + 1)) AS p FROM firsts WHERE len(words) >= 4)
+    ), near AS (
+      SELECT a.shown FROM variants a JOIN variants b USING (variant, p, n) WHERE b.first < a.first
+      UNION SELECT a.shown FROM variants a JOIN firsts b ON a.variant = b.shown WHERE b.first < a.first
+      UNION SELECT b.shown FROM variants a JOIN firsts b ON a.variant = b.shown WHERE a.first < b.first
+    ), judged AS (
+      SELECT doc_id, line_no, line,
+        len(words) > 0 AND ((doc_id, line_no) <> first OR shown IN (SELECT shown FROM near)) AS gone
+      FROM named LEFT JOIN (SELECT shown, first FROM firsts) USING (shown)
+    )
+    SELECT doc_id, count(*) AS n_lines, count_if(gone)::BIGINT AS n_removed,
+      sha256(coalesce(string_agg(line, chr(10) ORDER BY line_no) FILTER (NOT gone), '')) AS kept_sha256
+    FROM judged GROUP BY doc_id
+    """,
+)
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = linededup.dedup_lines(_table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
+@query("op4_sharding")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.place(_table(spark, sf_dir, "documents"))
+
+
 @query("op5_simhash_near_dedup")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
@@ -43,6 +79,40 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencounts.token_counts(_table(spark, sf_dir, "documents"), _tokenizer())
 
 
+@query(
+    "op7_source_mixing",
+    r"""
+    WITH sized AS (
+      SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size FROM documents
+    ), sources AS (
+      SELECT source, sum(size)::BIGINT AS source_size, 2 * sum(size)::BIGINT AS most,
+        [3, 1, 2][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS weight
+      FROM sized GROUP BY source
+    ), shares AS (
+      SELECT *, (1.5 * sum(source_size) OVER ()
+          - coalesce(sum(most) OVER (ORDER BY most / weight, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::DOUBLE
+        / sum(weight) OVER (ORDER BY most / weight, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS share
+      FROM sources
+    ), level AS (SELECT min_by(share, most / weight) AS level FROM shares WHERE share <= most / weight),
+    targets AS (SELECT source, source_size, least(most::DOUBLE, weight * level) AS target FROM shares, level),
+    queues AS (
+      SELECT *, sum(size) OVER (PARTITION BY source ORDER BY md5(doc_id::VARCHAR), doc_id ROWS UNBOUNDED PRECEDING)::BIGINT AS ends
+      FROM sized JOIN targets USING (source)
+    ), turns AS (
+      SELECT doc_id, source, size, turn, (ends + turn * source_size)::DOUBLE / target AS finish
+      FROM queues, range(2) AS t(turn) WHERE size > 0
+    ), served AS (
+      SELECT *, sum(size) OVER (ORDER BY finish, source, md5(doc_id::VARCHAR), doc_id, turn ROWS UNBOUNDED PRECEDING) AS upto FROM turns
+    ), copies AS (
+      SELECT doc_id, count(*) AS n FROM served WHERE upto <= (SELECT floor(sum(target) + 0.5) FROM targets) GROUP BY doc_id
+    )
+    SELECT doc_id, size, source_size, target, (coalesce(n, 0) * size)::BIGINT AS taken FROM queues LEFT JOIN copies USING (doc_id)
+    """,
+)
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
 @query(
     "op8_substring_dedup",
     r"""
