@@ -25,7 +25,7 @@ from lectern.llm.textbatch import slices
 
 THRESHOLD = 0.7
 # At most so many labelled rows of each class are learnt from, those with the smallest hashes of their ids.
-TRAIN_ROWS = 3000
+TRAIN_ROWS = 2000
 DECAY = 0.5
 MAX_SKIP = 2
 LANDMARKS = 400
@@ -329,8 +329,8 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     order = [F.xxhash64("doc_id"), "doc_id"]
     picked = known.where("toxic = 1").orderBy(*order).limit(rows).unionByName(known.where("toxic = 0").orderBy(*order).limit(rows))
     read = F.arrow_udf(_word_lists, "array<string>")
-    texts = docs.select(F.col("doc_id").cast("bigint"), read(F.col("text").cast("string")).alias("words"))
-    sample = texts.join(F.broadcast(picked), "doc_id").select("doc_id", "toxic", "words").toArrow().sort_by("doc_id")
+    texts = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).join(F.broadcast(picked), "doc_id")
+    sample = texts.select("doc_id", "toxic", read("text").alias("words")).toArrow().sort_by("doc_id")
     toxic = np.array(sample["toxic"].to_pylist(), dtype=int) == 1
     words = sample["words"].to_pylist()
     if not toxic.any() or toxic.all():
