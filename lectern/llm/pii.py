@@ -158,7 +158,9 @@ def _other_formats(piece: str, kind: int, salt: int) -> list[str]:
     digits = _digits(piece)
     if kind == EMAIL:
         local, domain = piece.rsplit("@", 1)
-        return [f"{local} (at) {domain}", f"{local} at {domain.replace('.', ' dot ')}", f"{local}[at]{domain.replace('.', '[dot]')}"]
+        names = (local, re.sub("[^A-Za-z]+", "", local) or "it")
+        spelt = (f" (at) {domain}", f" at {domain.replace('.', ' dot ')}", f"[at]{domain.replace('.', '[dot]')}")
+        return [name + rest for name in names for rest in spelt]
     if kind == CARD:
         return [" ".join(digits[i : i + 4] for i in range(0, len(digits), 4)), ".".join(digits[i : i + 4] for i in range(0, len(digits), 4)), digits]
     if kind == PHONE:
@@ -171,8 +173,10 @@ def _spoilt(piece: str, kind: int, salt: int) -> list[str]:
     """The same format with a check that fails."""
     digits = [i for i, c in enumerate(piece) if c.isdigit()]
     if kind == EMAIL:
-        local, host = re.split(r"[^A-Za-z]", piece)[0] or "it", re.split(r"[@.]", piece)[-2]
-        return [f"{local} at {host}.Afterwards", f"{local} at {host} dot then", f"{local} at {host}.{'abcdefgh'[: 1 + salt % 8].title()}"]
+        local, host = piece.split("@")[0], re.split(r"[@.]", piece)[-2]
+        names = (local, re.sub("[^A-Za-z]+", "", local) or "it")
+        rests = (f" at {host}.Afterwards", f" at {host} dot then", f" at {host}.{'abcdefgh'[: 1 + salt % 8].title()}")
+        return [name + rest for name in names for rest in rests]
     if kind == CARD:
         at = digits[salt % len(digits)]
         return [piece[:at] + str((int(piece[at]) + 1 + salt % 8) % 10) + piece[at + 1 :]]
