@@ -33,6 +33,7 @@ HEADLINE = (
     "generate_responses",
     "training_shards",
     "logit_training",
+    "logit_training_all",
     "reward_scoring",
 )
 # Input rows behind the rates, by query.
@@ -44,7 +45,7 @@ INPUT = {
     "prep_funnel": "documents",
     "soft_label_loss": "embeddings",
 }
-RUNS = int(os.environ.get("BENCH_RUNS", "3"))
+RUNS = int(os.environ.get("BENCH_RUNS", "5"))
 
 
 def main() -> None:

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from lectern import fixed
 from lectern.functions import chat
+from lectern.operators.sampling import number_ordered
 
 TURNS_PER_PART = 4096
-MAX_BROADCAST_IDS = 100_000
 
 
 def render_conversations(
@@ -18,113 +18,79 @@ def render_conversations(
     add_generation_prompt: bool = False,
     on_invalid: str = "empty",
     turns_per_part: int = TURNS_PER_PART,
-    max_broadcast_ids: int = MAX_BROADCAST_IDS,
 ) -> DataFrame:
-    """``conv_id, part, n_turns, valid, text`` from ``conv_id, turn, role, text``; ``turn`` gives the order.
+    """``conv_id, part, n_turns, valid, text`` from ``conv_id, turn, role, text``: a row per part of a conversation.
 
-    A conversation is one row (part 0) unless it has turn numbers from ``turns_per_part`` on. Those come as
-    several parts: their texts, joined in the order of ``part``, are the whole conversation. Conversations
-    that hold a turn twice, or rows that cannot be placed, are invalid and known so from counts: their texts
-    are never gathered. So no task gathers more than two rows per turn number of one part, however long a
-    conversation is and however often it was copied.
+    Turns stand by their number; of those with the same one the user's is first, as in tables that number
+    exchanges. A conversation of up to ``turns_per_part`` turns is one part. A longer one comes in parts of so
+    many turns, however its turns are numbered: ``n_turns`` counts the part's, and the parts' texts, joined, are
+    the whole. A conversation is valid if user and other turns alternate, the user first; in all its parts, or in
+    none. A null turn makes its conversation invalid. Turns without a conversation are one invalid row.
 
-    Runs one job over the keys, which tells whether there are such conversations. Without any, as in most
-    tables, the plan is a single shuffle of the turns.
+    Runs one job over the numbers of turns per conversation. If none is over-long, as in most tables, the plan
+    is a single shuffle of the turns. Over-long ones are numbered over range buckets, not gathered.
     """
     if on_invalid not in chat.ON_INVALID:
         raise ValueError(f"on_invalid must be one of {chat.ON_INVALID}")
-    slots = _slots(turns)
-    found = slots.agg(
-        F.count_if(_unsound()).alias("unsound"), F.count_if(_beyond(turns_per_part)).alias("beyond")
-    ).first()
-
-    sound, refused = turns, None
-    if found["unsound"]:
-        unsound = slots.where(_unsound() & F.col("conv_id").isNotNull()).select("conv_id").distinct()
-        if found["unsound"] <= max_broadcast_ids:
-            unsound = F.broadcast(unsound)
-        sound = turns.where(F.col("conv_id").isNotNull()).join(unsound, "conv_id", "left_anti")
-        refused = _refused(turns, unsound)
-
-    part = F.expr(f"turn div {int(turns_per_part)}").alias("part")
-    pieces = (
-        sound.groupBy("conv_id", part)
-        .agg(F.sort_array(F.collect_list(F.struct("turn", "role", F.col("text").alias("content")))).alias("turns"))
-        .select(
-            "conv_id",
-            "part",
-            F.size("turns").cast("bigint").alias("n_turns"),
-            chat.roles_alternate(F.col("turns")).alias("valid"),
-            chat.turns_text(F.col("turns")).alias("body"),
-        )
+    if turns_per_part < 1:
+        raise ValueError("a part holds a turn at least")
+    lengths = turns.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n"))
+    long = lengths.where((F.col("n") > turns_per_part) & F.col("conv_id").isNotNull()).select("conv_id")
+    lost = lengths.where("conv_id IS NULL").select(
+        "conv_id", F.lit(0).cast("bigint").alias("part"), F.col("n").alias("n_turns"), F.lit(False).alias("valid"), F.lit("").alias("body")
     )
-    first, last = F.lit(True), F.lit(True)
-    if found["beyond"]:
-        # The pieces already lie by conversation and part, so only the layout is moved.
-        pieces = pieces.drop("valid").join(_layout(sound, part), ["conv_id", "part"])
-        first, last = F.col("is_first"), F.col("is_last")
+    found = lengths.agg(F.max(F.struct(F.when(F.col("conv_id").isNotNull(), F.col("n")).alias("n"))).alias("m"), F.count_if(F.col("conv_id").isNull()).alias("lost")).first()
+    known = turns.where(F.col("conv_id").isNotNull())
+    some_long = bool(found["m"] and found["m"]["n"] and found["m"]["n"] > turns_per_part)
 
-    head = F.when(first, F.lit(bos)).otherwise(F.lit(""))
-    tail = F.when(last, F.lit(fixed.MODEL_TURN if add_generation_prompt else "")).otherwise(F.lit(""))
+    usual = known.join(long, "conv_id", "left_anti") if some_long else known
+    pieces = _gathered(usual.withColumn("part", F.lit(0).cast("bigint"))).withColumns({"is_first": F.lit(True), "is_last": F.lit(True)})
+    if some_long:
+        pieces = pieces.unionByName(_long_pieces(known.join(long, "conv_id", "left_semi"), turns_per_part))
+
+    head = F.when(F.col("is_first"), F.lit(bos)).otherwise(F.lit(""))
+    tail = F.when(F.col("is_last"), F.lit(fixed.MODEL_TURN if add_generation_prompt else "")).otherwise(F.lit(""))
     shown = pieces.select("conv_id", "part", "n_turns", "valid", F.concat(head, "body", tail).alias("text"))
+    if found["lost"]:
+        shown = shown.unionByName(lost.withColumnRenamed("body", "text"))
     if on_invalid == "drop":
         return shown.where("valid")
-    if refused is not None:
-        shown = shown.unionByName(refused)
-    instead = F.lit("") if on_invalid == "empty" else F.raise_error(F.lit("conversation roles must alternate")).cast("string")
-    return shown.withColumn("text", F.when(F.col("valid"), F.col("text")).otherwise(instead))
-
-
-def _slots(turns: DataFrame) -> DataFrame:
-    """How many rows stand at a turn, the user's and the others' apart. Copies are summed before the shuffle."""
-    asks = F.col("role").eqNullSafe(F.lit("user")).alias("asks")
-    return turns.groupBy("conv_id", "turn", asks).agg(F.count(F.lit(1)).alias("n"))
-
-
-def _unsound() -> Column:
-    """Two rows of one kind at a turn would be neighbours, and of neighbours one must be the user's."""
-    return (F.col("n") > 1) | F.col("turn").isNull() | F.col("conv_id").isNull()
-
-
-def _beyond(turns_per_part: int) -> Column:
-    return (F.col("turn") >= turns_per_part) | (F.col("turn") < 0)
-
-
-def _refused(turns: DataFrame, unsound: DataFrame) -> DataFrame:
-    """One invalid row per unsound conversation, and one for the rows without an id, with their counts."""
-    ids = turns.select("conv_id")
-    named = ids.join(unsound, "conv_id", "left_semi")
-    counts = named.unionByName(ids.where(F.col("conv_id").isNull())).groupBy("conv_id").agg(F.count(F.lit(1)).alias("n_turns"))
-    return counts.select(
-        "conv_id", F.lit(0).cast("bigint").alias("part"), "n_turns", F.lit(False).alias("valid"), F.lit("").alias("text")
+    if on_invalid == "fail":
+        told = F.lit("conversation roles must alternate")
+        return shown.where(F.when(F.col("valid"), F.lit(True)).otherwise(F.raise_error(told).cast("boolean")))
+    return shown.withColumn("text", F.when(F.col("valid"), F.col("text")).otherwise(F.lit("")))
+
+
+def _gathered(turns: DataFrame, turns_per_part: int = TURNS_PER_PART) -> DataFrame:
+    """A row per ``conv_id`` and ``part``, with the turns' text and whether they alternate as they should there."""
+    asks = ~F.col("role").eqNullSafe(F.lit("user"))
+    turn = F.struct("turn", asks.alias("told"), "role", F.col("text").alias("content"))
+    gathered = turns.groupBy("conv_id", "part").agg(F.sort_array(F.collect_list(turn)).alias("turns"), F.count_if(F.col("turn").isNull()).alias("unplaced"))
+    odd = F.col("part") * turns_per_part % 2 == 1
+    return gathered.select(
+        "conv_id",
+        "part",
+        F.size("turns").cast("bigint").alias("n_turns"),
+        ((F.col("unplaced") == 0) & F.when(odd, chat.roles_alternate(F.col("turns"), 1)).otherwise(chat.roles_alternate(F.col("turns")))).alias("valid"),
+        chat.turns_text(F.col("turns")).alias("body"),
     )
 
 
-def _layout(turns: DataFrame, part: Column) -> DataFrame:
-    """Per part of a conversation: is it the first or last, and is the whole conversation valid?
+def _long_pieces(turns: DataFrame, turns_per_part: int) -> DataFrame:
+    """Over-long conversations in parts, by the position of each turn; valid if all parts are.
 
-    Reads roles only. Parts are judged before their conversation's are put together, so that also an
-    over-long one is a few rows by then.
+    Turns are numbered over all these conversations, and a conversation's first number taken off.
     """
-    stats = (
-        turns.groupBy("conv_id", part)
-        .agg(F.sort_array(F.collect_list(F.struct("turn", "role"))).alias("roles"))
-        .select(
-            "conv_id",
-            "part",
-            F.size("roles").alias("n"),
-            chat.roles_alternate(F.col("roles")).alias("even"),
-            chat.roles_alternate(F.col("roles"), 1).alias("odd"),
-        )
-    )
+    keys = ["conv_id", "turn", "_told", "role", "text"]
+    placed = number_ordered(turns.select("conv_id", "turn", "role", "text").withColumn("_told", ~F.col("role").eqNullSafe(F.lit("user"))), keys)
+    starts = placed.groupBy("conv_id").agg(F.min("position").alias("_start"))
+    part = F.floor((F.col("position") - F.col("_start")) / turns_per_part).cast("bigint")
+    pieces = _gathered(placed.join(starts, "conv_id").withColumn("part", part), turns_per_part)
     whole = Window.partitionBy("conv_id")
-    before = whole.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    start = F.coalesce(F.sum("n").over(before), F.lit(0))
-    placed = stats.withColumn("ok", F.when(start % 2 == 0, F.col("even")).otherwise(F.col("odd")))
-    return placed.select(
-        "conv_id",
-        "part",
-        F.min("ok").over(whole).alias("valid"),
-        (F.col("part") == F.min("part").over(whole)).alias("is_first"),
-        (F.col("part") == F.max("part").over(whole)).alias("is_last"),
+    return pieces.withColumns(
+        {
+            "valid": F.min("valid").over(whole),
+            "is_first": F.col("part") == 0,
+            "is_last": F.col("part") == F.max("part").over(whole),
+        }
     )

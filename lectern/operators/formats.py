@@ -65,7 +65,8 @@ def build_messages(df: DataFrame) -> DataFrame:
 def format_exchange(df: DataFrame, *, instruction: bool, generations: bool) -> DataFrame:
     """``source``, ``row_key``, ``problem`` and ``response`` of a source of any supported shape.
 
-    ``empty_prompt`` tells rows whose problem was blank before the instruction was added.
+    ``empty_prompt`` tells rows whose problem was blank before the instruction was added, ``empty_response`` those
+    that have neither thinking nor a solution.
     """
     df = normalize_columns(df)
     df = df.withColumn("empty_prompt", F.col("problem") == "")
@@ -73,7 +74,8 @@ def format_exchange(df: DataFrame, *, instruction: bool, generations: bool) -> D
         df = add_instruction(df)
     if generations:
         df = thinking_from_generations(df)
-    return assemble_response(df).select("source", "row_key", "problem", "response", "empty_prompt")
+    df = df.withColumn("empty_response", (F.col("thinking") == "") & (F.col("solution") == ""))
+    return assemble_response(df).select("source", "row_key", "problem", "response", "empty_prompt", "empty_response")
 
 
 def teacher_prompt(df: DataFrame, bos: str = fixed.BOS) -> DataFrame:

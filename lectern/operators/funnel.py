@@ -10,16 +10,16 @@ def _counts(max_tokens: int) -> list[Column]:
     return [
         F.count(F.lit(1)).alias("loaded"),
         F.count_if(F.col("empty_prompt")).alias("empty_prompt"),
-        F.count_if(F.col("text") != "").alias("formatted"),
+        F.count_if(~F.col("empty_prompt") & ~F.col("empty_response")).alias("formatted"),
         F.count_if(~kept).alias("too_long"),
         F.count_if(kept).alias("kept"),
     ]
 
 
 def prep_funnel(df: DataFrame, max_tokens: int, by: str = "source") -> DataFrame:
-    """Per source, in one pass: rows loaded, without a prompt, formatted, too long, kept.
+    """Per source, in one pass: rows loaded, without a prompt, with prompt and response, too long, kept.
 
-    Needs ``text``, ``n_tokens`` and ``empty_prompt``.
+    Needs ``n_tokens``, ``empty_prompt`` and ``empty_response``.
     """
     return df.groupBy(by).agg(*_counts(max_tokens))
 
@@ -27,3 +27,8 @@ def prep_funnel(df: DataFrame, max_tokens: int, by: str = "source") -> DataFrame
 def observe_funnel(df: DataFrame, max_tokens: int, observation: Observation) -> DataFrame:
     """The same counts over all sources, gathered while the table is written: no extra pass."""
     return df.observe(observation, *_counts(max_tokens))
+
+
+def observe_rows(df: DataFrame, observation: Observation) -> DataFrame:
+    """The number of rows that pass here, gathered while the result is written."""
+    return df.observe(observation, F.count(F.lit(1)).alias("rows"))

@@ -4,46 +4,61 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame, functions as F, types as T
+import pyarrow as pa
+from pyspark.sql import DataFrame, functions as F
 
 from lectern import fixed
 
 # Called once per task; gives a function from prompts to as many responses.
 GeneratorLoader = Callable[[], Callable[[list[str]], list[str]]]
 
+ANSWER = "struct<response:string,error:string>"
+
+
+def _answers(generate: Callable[[list[str]], list[str]], prompts: list[str]) -> list[str]:
+    answers = list(generate(prompts))
+    if len(answers) != len(prompts):
+        raise ValueError(f"{len(answers)} responses for {len(prompts)} prompts")
+    return answers
+
+
+def _try_batch(generate: Callable[[list[str]], list[str]], prompts: list[str]) -> list[tuple[str | None, str | None]]:
+    """Response and error of every prompt. A batch that fails is tried again prompt by prompt."""
+    try:
+        answers = _answers(generate, prompts)
+    except Exception as e:
+        if len(prompts) == 1:
+            return [(None, f"{type(e).__name__}: {e}")]
+        return [_try_batch(generate, [p])[0] for p in prompts]
+    return [(None, "ValueError: no response") if a is None else (str(a).strip(), None) for a in answers]
+
 
 def generate_responses(
     df: DataFrame, load_generator: GeneratorLoader, *, prompt: str = "prompt", batch_size: int = fixed.GENERATION_BATCH
 ) -> DataFrame:
     """``response`` and ``error`` for every row.
 
-    A batch the generator fails on keeps its rows, with the error and no response; the others go on.
-    A lost executor repeats its batches, so the generator must bear being called again.
+    Only prompts go to the generator, ``batch_size`` at a time; the other columns stay as they are. A batch that
+    fails is tried again prompt by prompt, so the rows with an error, and no response, are those the generator
+    fails on by themselves, however the table is partitioned. A lost executor repeats its batches, so the
+    generator must bear being called again.
     """
-    schema = T.StructType(
-        [*df.schema.fields, T.StructField("response", T.StringType()), T.StructField("error", T.StringType())]
-    )
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf(ANSWER)
+    def answer(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        import pyarrow as pa
+
         generate = load_generator()
-        for frame in frames:
-            prompts = frame[prompt].tolist()
-            responses: list[str | None] = []
-            errors: list[str | None] = []
+        for batch in batches:
+            prompts, found = batch.to_pylist(), []
             for start in range(0, len(prompts), batch_size):
-                batch = prompts[start : start + batch_size]
-                try:
-                    answers, error = [str(r).strip() for r in generate(batch)], None
-                    if len(answers) != len(batch):
-                        raise ValueError(f"{len(answers)} responses for {len(batch)} prompts")
-                except Exception as e:
-                    answers, error = [None] * len(batch), f"{type(e).__name__}: {e}"
-                responses += answers
-                errors += [error] * len(batch)
-            yield frame.assign(response=responses, error=errors)
-
-    return df.mapInPandas(run, schema)
+                found += _try_batch(generate, prompts[start : start + batch_size])
+            columns = [pa.array([row[i] for row in found], pa.string()) for i in (0, 1)]
+            yield pa.StructArray.from_arrays(columns, ["response", "error"])
+
+    # Declared otherwise, the optimizer would copy the function into later filters and run it again there.
+    answered_rows = df.withColumn("_answer", answer.asNondeterministic()(F.col(prompt)))
+    return answered_rows.withColumns({c: F.col(f"_answer.{c}") for c in ("response", "error")}).drop("_answer")
 
 
 def answered(df: DataFrame) -> DataFrame:

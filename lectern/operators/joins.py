@@ -11,16 +11,15 @@ MAX_HEAVY_KEYS = 10_000
 def heavy_keys(
     counts: DataFrame, key: str, rows_per_salt: int = ROWS_PER_SALT, max_keys: int = MAX_HEAVY_KEYS
 ) -> DataFrame:
-    """``_heavy_key, _salts`` of the keys with more than ``rows_per_salt`` rows, most frequent first.
+    """``_heavy_key, _salts`` of the keys with more rows than a task should hold.
 
-    ``counts`` has one row per key with its ``n_rows``. At most ``max_keys`` keys come out, so the
-    result may be broadcast; a key left out then holds less than one in ``max_keys`` of all rows.
+    ``counts`` has one row per key with its ``n_rows``. A task holds ``rows_per_salt`` rows, or one in
+    ``max_keys`` of all rows if that is more. Fewer than ``max_keys`` keys can have more rows than that, so the
+    result may be broadcast, and none is left out.
     """
-    return (
-        counts.where(F.col("n_rows") > rows_per_salt)
-        .orderBy(F.desc("n_rows"), key)
-        .limit(max_keys)
-        .select(F.col(key).alias("_heavy_key"), F.ceil(F.col("n_rows") / rows_per_salt).cast("int").alias("_salts"))
+    share = F.greatest(F.lit(rows_per_salt), F.ceil(counts.agg(F.sum("n_rows")).scalar() / max_keys))
+    return counts.where(F.col("n_rows") > share).select(
+        F.col(key).alias("_heavy_key"), F.ceil(F.col("n_rows") / share).cast("int").alias("_salts")
     )
 
 

@@ -9,7 +9,7 @@ the size is fixed by the bucket count), and rows are numbered within their bucke
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from lectern import fixed
 
@@ -119,22 +119,27 @@ def batch_numbering(
     return numbered.withColumn("batch_id", F.expr(f"position div {int(batch_size)}"))
 
 
-def _first_rows(in_buckets: DataFrame, n: int, order: list[str]) -> DataFrame:
+def _first_rows(in_buckets: DataFrame, n: int, order: list[str], unique: bool) -> DataFrame:
     """The first n rows by a filter: find the n-th key, keep what is not above it.
 
     The key is found on the order columns alone, by counting buckets and ranking the one bucket the
-    n-th row lies in. The wide rows are only filtered, never moved.
+    n-th row lies in. The wide rows are only filtered, never moved. Where keys may repeat, the rows of the n-th
+    key are read once more and as many taken as are missing, by a hash of the row.
     """
     keys = in_buckets.select("_bucket", F.struct(*order).alias("_key"))
     edge = _bucket_totals(keys).where((F.col("_before") < n) & (F.col("_before") + F.col("_rows") >= n))
     place = F.row_number().over(Window.partitionBy("_bucket").orderBy("_key"))
-    last = (
-        keys.join(F.broadcast(edge), "_bucket")
-        .withColumn("_place", place + F.col("_before"))
-        .where(F.col("_place") == n)
-        .select("_key")
-    )
-    return in_buckets.drop("_bucket").where(F.coalesce(F.struct(*order) <= last.scalar(), F.lit(True)))
+    placed = keys.join(F.broadcast(edge), "_bucket").withColumn("_place", place + F.col("_before"))
+    last = placed.where(F.col("_place") == n).select("_key").scalar()
+    rows, key = in_buckets.drop("_bucket"), F.struct(*order)
+    if unique:
+        return rows.where(F.coalesce(key <= last, F.lit(True)))
+    first_of_key = placed.where(F.col("_key") == last).agg(F.min("_place")).scalar()
+    copies = rows.where(key == last)
+    hashed = [f.name for f in rows.schema.fields if not isinstance(f.dataType, (T.MapType, T.VariantType))]
+    copy = F.row_number().over(Window.orderBy(F.xxhash64(*hashed)))
+    taken = copies.withColumn("_copy", copy).where(F.col("_copy") <= n + 1 - first_of_key).drop("_copy")
+    return rows.where(F.coalesce(key < last, F.lit(True))).unionByName(taken)
 
 
 def sample_cap(
@@ -144,9 +149,13 @@ def sample_cap(
     seed: int = fixed.SHUFFLE_SEED,
     top_k: bool = False,
     digits: int = HASH_DIGITS,
+    unique: bool = False,
 ) -> DataFrame:
     """The first n rows of the seeded shuffle as a set, with ``order_key``; n of 0 or None means all.
 
+    Never more than n, also where keys repeat. ``unique`` says they do not, which spares a second look at the
+    rows of the last key.
+
     ``top_k`` reads the table once instead of three times, but gathers n whole rows of every partition
     in one task: for small tables only.
     """
@@ -154,13 +163,15 @@ def sample_cap(
     if not n or n < 0:
         return keyed
     order = ["order_key", row_key]
-    return keyed.orderBy(*order).limit(n) if top_k else _first_rows(_with_hash_bucket(keyed, digits), n, order)
+    return keyed.orderBy(*order).limit(n) if top_k else _first_rows(_with_hash_bucket(keyed, digits), n, order, unique)
 
 
 def head_cap(
-    df: DataFrame, n: int | None, order: list[str], top_k: bool = False, buckets: int = RANGE_BUCKETS
+    df: DataFrame, n: int | None, order: list[str], top_k: bool = False, buckets: int = RANGE_BUCKETS, unique: bool = False
 ) -> DataFrame:
-    """The first n rows in the given order as a set; n of 0 or None means all. ``top_k`` as above."""
+    """The first n rows in the given order as a set; n of 0 or None means all. ``top_k`` and ``unique`` as above."""
     if not n:
         return df
-    return df.orderBy(*order).limit(n) if top_k else _first_rows(_with_range_bucket(df, order, buckets), n, order)
+    if n < 0:
+        raise ValueError("a head cannot have fewer than no rows")
+    return df.orderBy(*order).limit(n) if top_k else _first_rows(_with_range_bucket(df, order, buckets), n, order, unique)

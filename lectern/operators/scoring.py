@@ -6,11 +6,11 @@ from collections.abc import Callable, Sequence
 from functools import reduce
 from operator import add
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from lectern import fixed
 from lectern.functions import rewards
-from lectern.operators.joins import ROWS_PER_SALT, spread_join
+from lectern.operators.joins import ROWS_PER_SALT, count_keys, heavy_keys, spread_join
 
 # Name, weight and a function from a completion text to its reward.
 RewardSpec = tuple[str, float, Callable[[Column], Column]]
@@ -87,26 +87,25 @@ def group_advantage(
 ) -> DataFrame:
     """``advantage``: how far a reward lies from the mean of its prompt's, in standard deviations.
 
-    Group statistics are an aggregate with partial sums joined back, not a window, so a prompt with a
-    large share of all completions is not gathered in one task. The table is read twice: write it first
-    where computing it is dear.
+    Ordinary prompts are windows over their few completions. A prompt with more than a task should hold is not
+    gathered: such prompts' statistics are partial sums, a row for each of the few, joined back by broadcast.
+    The table is read for the counts and then for the rows: write it first where computing it is dear.
     """
-    stats = df.groupBy(prompt_id).agg(
-        F.count(F.lit(1)).alias("n_rows"),
-        F.avg(reward).alias("_mean"),
-        F.coalesce(F.stddev_samp(reward), F.lit(0.0)).alias("_std"),
-    )
-    joined = spread_join(
-        df,
-        stats.drop("n_rows"),
-        prompt_id,
-        counts=stats.select(prompt_id, "n_rows"),
-        null_safe=True,
-        rows_per_salt=rows_per_salt,
-    )
+    few = F.broadcast(heavy_keys(count_keys(df, prompt_id), prompt_id, rows_per_salt).select("_heavy_key"))
+    heavy = F.col(prompt_id).eqNullSafe(F.col("_heavy_key"))
+    group = Window.partitionBy(prompt_id)
+    usual = df.join(few, heavy, "left_anti").withColumns({n: c.over(group) for n, c in _statistics(reward).items()})
+    large = df.join(few, heavy, "left_semi")
+    stats = large.groupBy(prompt_id).agg(*[c.alias(n) for n, c in _statistics(reward).items()])
+    stats = F.broadcast(stats.withColumnRenamed(prompt_id, "_heavy_key"))
+    both = usual.unionByName(large.join(stats, heavy).drop("_heavy_key"))
     # Adding 0.0 turns a negative zero into zero.
-    advantage = (F.col(reward) - F.col("_mean")) / (F.col("_std") + F.lit(eps)) + F.lit(0.0)
-    return joined.withColumn("advantage", advantage).drop("_mean", "_std")
+    advantage = (F.col(reward) - F.col("_mean")) / (F.coalesce("_std", F.lit(0.0)) + F.lit(eps)) + F.lit(0.0)
+    return both.withColumn("advantage", advantage).drop("_mean", "_std")
+
+
+def _statistics(reward: str) -> dict[str, Column]:
+    return {"_mean": F.avg(reward), "_std": F.stddev_samp(reward)}
 
 
 def reward_report(df: DataFrame, by: str = "source") -> DataFrame:

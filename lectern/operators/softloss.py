@@ -16,14 +16,21 @@ def token_losses(
 
     Input: ``example_id, pos, label, student, teacher``. Both arrays are cut to the shorter one for the
     soft part; the hard part sees the whole student array. Ignored positions have null losses, and
-    their arrays are dropped before anything is computed.
+    their arrays are dropped before anything is computed. So have ``refused`` ones: a counted position whose
+    arrays are null or empty, or hold a null or NaN.
 
     ``wide_vocabulary`` computes the same in Arrow batches, faster from some thousand entries on.
     """
-    counted = F.col("label") != fixed.IGNORED_LABEL
+    labelled = F.coalesce(F.col("label") != fixed.IGNORED_LABEL, F.lit(False))
+    sound = F.lit(True)
+    for side in ("student", "teacher"):
+        bad = F.exists(F.col(side).cast("array<double>"), lambda x: x.isNull() | F.isnan(x))
+        sound &= F.coalesce((F.size(side) > 0) & ~bad, F.lit(False))
+    counted = labelled & sound
     masked = logits.select(
         "example_id",
         "pos",
+        (labelled & ~sound).alias("refused"),
         F.when(counted, F.col("label")).alias("label"),
         F.when(counted, F.col("student").cast("array<double>")).alias("student"),
         F.when(counted, F.col("teacher").cast("array<double>")).alias("teacher"),
@@ -55,7 +62,7 @@ def _losses_in_sql(masked: DataFrame, temperature: float) -> DataFrame:
     entropy = F.col("t_max") + F.log("t_sum") - arrays.dot(F.col("t_exp"), F.col("t")) / F.col("t_sum")
     hard_ce = F.col("raw_max") + F.log("raw_sum") - F.col("raw_at_label")
     return sums.select(
-        "example_id", "pos", soft_ce.alias("soft_ce"), entropy.alias("teacher_entropy"), hard_ce.alias("hard_ce")
+        "example_id", "pos", "refused", soft_ce.alias("soft_ce"), entropy.alias("teacher_entropy"), hard_ce.alias("hard_ce")
     )
 
 
@@ -83,8 +90,8 @@ def _losses_in_batches(masked: DataFrame, temperature: float) -> DataFrame:
             [pa.array(column, pa.float64()) for column in zip(*out)], ["soft_ce", "teacher_entropy", "hard_ce"]
         )
 
-    with_losses = masked.select("example_id", "pos", losses("label", "student", "teacher").alias("l"))
-    return with_losses.select("example_id", "pos", "l.soft_ce", "l.teacher_entropy", "l.hard_ce")
+    with_losses = masked.select("example_id", "pos", "refused", losses("label", "student", "teacher").alias("l"))
+    return with_losses.select("example_id", "pos", "refused", "l.soft_ce", "l.teacher_entropy", "l.hard_ce")
 
 
 def soft_label_loss(
@@ -97,7 +104,7 @@ def soft_label_loss(
     """Per example: counted tokens, mean losses scaled by the squared temperature, and their blend.
 
     ``soft_ce`` is what training minimises; ``kl`` is the same less the teacher's entropy. An example
-    without counted tokens has losses of 0.
+    without counted tokens has losses of 0. ``n_refused`` counts positions that could not be judged.
     """
     scale = float(temperature) ** 2
 
@@ -106,6 +113,7 @@ def soft_label_loss(
 
     per_example = token_losses(logits, temperature, wide_vocabulary=wide_vocabulary).groupBy("example_id").agg(
         F.count("soft_ce").alias("n_tokens"),
+        F.count_if("refused").alias("n_refused"),
         (mean("soft_ce") * scale).alias("soft_ce"),
         (mean("kl") * scale).alias("kl"),
         mean("hard_ce").alias("hard_ce"),
@@ -113,6 +121,13 @@ def soft_label_loss(
     return per_example.withColumn("loss", alpha * F.col("soft_ce") + (1 - alpha) * F.col("hard_ce"))
 
 
+def loss_total(losses: DataFrame) -> DataFrame:
+    """One row for the whole table: every token weighs the same, however long its example is."""
+    tokens = F.sum("n_tokens")
+    means = [(F.coalesce(F.sum(F.col(c) * F.col("n_tokens")) / F.nullif(tokens, F.lit(0)), F.lit(0.0))).alias(c) for c in ("soft_ce", "kl", "hard_ce", "loss")]
+    return losses.agg(F.count(F.lit(1)).alias("n_examples"), F.coalesce(tokens, F.lit(0)).alias("n_tokens"), *means)
+
+
 def pack_logits(entries: DataFrame) -> DataFrame:
     """Array form of ``example_id, pos, label, token_id, student, teacher``, one row per vocabulary entry.
 

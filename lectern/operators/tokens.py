@@ -75,10 +75,11 @@ def encode_with_vocab(df: DataFrame, vocab: DataFrame, text: str = "text") -> Da
         import pyarrow as pa
         import pyarrow.compute as pc
 
-        names, numbers = pa.array(shared.value[0], pa.string()), pa.array(shared.value[1], pa.int32())
+        number = dict(zip(*shared.value))  # built once per task; batches look up their different pieces only
         for batch in batches:
-            places = pc.index_in(batch.flatten().cast(pa.string()), value_set=names)
-            ids = pc.fill_null(numbers.take(places), unknown)
+            coded = batch.flatten().cast(pa.string()).dictionary_encode()
+            known_ids = pa.array([number.get(piece, unknown) for piece in coded.dictionary.to_pylist()], pa.int32())
+            ids = pc.fill_null(known_ids.take(coded.indices), unknown)
             lengths = pc.fill_null(pc.list_value_length(batch), 0)
             ends = pc.cumulative_sum(lengths.cast(pa.int32()))
             starts = pa.concat_arrays([pa.array([0], pa.int32()), ends])

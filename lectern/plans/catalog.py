@@ -15,7 +15,7 @@ from lectern.functions import rewards, text as tx
 from lectern.operators import combine, conversations, formats, funnel, generate, resume, sampling, scoring, softloss, tokens
 from lectern.plans import prepare, score, teacher
 from lectern.session import scratch_path
-from lectern.sources.load import SourceSpec, load_source, load_sources, spread_small
+from lectern.sources.load import SourceSpec, load_source, load_sources
 from lectern.sources.sinks import write_jsonl, write_shards
 from lectern.streaming.incremental import run_incremental
 
@@ -36,8 +36,7 @@ def spec(sf_dir: str, name: str, key: str) -> SourceSpec:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The documents' texts, for work that is dear per row."""
-    return spread_small(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+    return table(spark, sf_dir, "documents").select("doc_id", "text")
 
 
 def joined_text(ids: str) -> Column:
@@ -50,7 +49,7 @@ def joined_text(ids: str) -> Column:
 def reasoning(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as reasoning rows: blank problems, missing thinking, generations with and without tags."""
     text, lang = F.col("text"), F.col("lang")
-    return spread_small(load_source(spark, spec(sf_dir, "documents", "doc_id")), "doc_id").select(
+    return load_source(spark, spec(sf_dir, "documents", "doc_id")).select(
         F.col("own_source").alias("source"),
         "row_key",
         "doc_id",
@@ -130,7 +129,10 @@ def logits(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("vec_id") % 10).cast("int").alias("pos"),
         F.when(F.col("label") == 0, F.lit(fixed.IGNORED_LABEL)).otherwise(F.col("label")).alias("label"),
         F.col("embedding").alias("student"),
-        "teacher",
+        # A wider vocabulary on the teacher's side, and now and then a position without logits.
+        F.when(F.col("vec_id") % 11 == 0, F.array().cast("array<float>"))
+        .otherwise(F.concat("teacher", F.array(F.lit(9.0).cast("float"))))
+        .alias("teacher"),
     )
 
 
@@ -145,6 +147,30 @@ def source_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("source", "row_key", "doc_id", "text", "lang", "n_chars")
 
 
+def source_json_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The benchmark as one JSON array, which Spark reads as a whole: its rows are known by their content."""
+    path = scratch_path(spark, "benchmark-array")
+    items = table(spark, sf_dir, "benchmark")
+    items.agg(F.to_json(F.sort_array(F.collect_list(F.struct(*items.columns)))).alias("value")).write.text(path)
+    return load_source(spark, SourceSpec(path, name="benchmark", format="json", schema=items.schema, json_array=True))
+
+
+def sample_cap_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A cap over two JSON sources without keys and of one name."""
+    paths = [scratch_path(spark, name) for name in ("documents", "pages")]
+    docs, pages = table(spark, sf_dir, "documents").select("text"), table(spark, sf_dir, "pages").select(F.col("html").alias("text"))
+    for df, path in zip((docs, pages), paths, strict=True):
+        write_jsonl(df, path)
+    specs = [SourceSpec(path, name="train", format="json", schema=docs.schema) for path in paths]
+    return sampling.sample_cap(combine.union_all(load_sources(spark, specs)), CAP, unique=True)
+
+
+def multi_source_same_name(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two tables under one name: keys stay apart."""
+    specs = [SourceSpec(f"{sf_dir}/{name}.parquet", name="train", key=key) for name, key in SOURCES[:2]]
+    return combine.union_all([t.select("source", "row_key", "text") for t in load_sources(spark, specs)])
+
+
 def source_parquet(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load_source(spark, spec(sf_dir, "documents", "doc_id"))
 
@@ -157,7 +183,7 @@ def multi_source(spark: SparkSession, sf_dir: str) -> DataFrame:
         pages.withColumnsRenamed({"url": "problem", "html": "solution"}),
     ]
     rows = prepare.formatted_union(shaped, instruction=True, generations=True)
-    return prepare.render_exchanges(rows).drop("empty_prompt")
+    return prepare.render_exchanges(rows).drop("empty_prompt", "empty_response")
 
 
 def jsonl_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -364,18 +390,18 @@ def generate_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def generation_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Batches of one row, of which those in one language fail."""
+    """Batches of four, of which those that hold a row in one language fail: only these rows do in the end."""
 
     def load_choosy():
         def run(batch):
-            if "Write in fr" in batch[0]:
+            if any("Write in fr" in prompt for prompt in batch):
                 raise ValueError("refused")
-            return ["done "]
+            return ["done "] * len(batch)
 
         return run
 
     rows = formats.teacher_prompt(instructions(spark, sf_dir)).select("doc_id", "prompt")
-    generated = generate.generate_responses(rows, load_choosy, batch_size=1)
+    generated = generate.generate_responses(rows, load_choosy, batch_size=4)
     path = scratch_path(spark, "generated")
     generate.write_generated(generated, path)
     return spark.read.schema(generated.schema).parquet(path).select("doc_id", "response", "error")
@@ -389,6 +415,24 @@ def teacher_record(spark: SparkSession, sf_dir: str) -> DataFrame:
     return teacher.teacher_records(generated)
 
 
+def teacher_job(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole job: the records it wrote, and the rows it put apart with their batch and error."""
+
+    def load_choosy():
+        def run(batch):
+            if any("Write in fr" in prompt for prompt in batch):
+                raise ValueError("refused")
+            return ["echo"] * len(batch)
+
+        return run
+
+    path = scratch_path(spark, "teacher")
+    teacher.teacher_job(instructions(spark, sf_dir), load_choosy, path, max_samples=CAP, order=("doc_id",))
+    schema = "instruction string, input string, original_output string, teacher_output string, text string"
+    records = spark.read.schema(schema).json(f"{path}/records")
+    return combine.union_align([records, spark.read.parquet(f"{path}/quarantine")])
+
+
 # --- Scoring -----------------------------------------------------------------------------------------
 
 
@@ -429,6 +473,20 @@ def group_advantage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("prompt_id", "gen_idx", "reward", (F.round("advantage", 6) + F.lit(0.0)).alias("advantage"))
 
 
+def group_advantage_heavy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups by source, all of which hold more rows than one task is allowed here."""
+    path = scratch_path(spark, "scores")
+    _scored(spark, sf_dir).write.parquet(path)
+    rows = scoring.group_advantage(spark.read.parquet(path), prompt_id="source", rows_per_salt=5)
+    return rows.select("source", "prompt_id", "gen_idx", (F.round("advantage", 6) + F.lit(0.0)).alias("advantage"))
+
+
+def score_join_heavy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A join by source, with several salts to each."""
+    sources = table(spark, sf_dir, "documents").groupBy("source").agg(F.max("doc_id").alias("answer"))
+    return scoring.score_join(completions(spark, sf_dir), sources, prompt_id="source", rows_per_salt=7)
+
+
 def reward_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     report = scoring.reward_report(_scored(spark, sf_dir))
     shares = [F.round(c, 6).alias(c) for c in ("mean_reward", "share_formatted", "share_correct")]
@@ -441,9 +499,18 @@ def prep_funnel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return funnel.prep_funnel(counted, MAX_TOKENS)
 
 
+def training_funnel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of the whole job after each of its stages."""
+    sources = _training_sources(spark, sf_dir)
+    capped = sampling.sample_cap(prepare.formatted_union(sources, instruction=True, generations=True), CAP, unique=True)
+    kept = tokens.length_filter(tokens.token_count(prepare.render_exchanges(capped)), MAX_TOKENS)
+    stages = {"loaded": prepare.formatted_union(sources, instruction=True, generations=True), "capped": capped, "kept": kept}
+    return combine.union_all([df.agg(F.lit(name).alias("stage"), F.count(F.lit(1)).alias("n_rows")) for name, df in stages.items()])
+
+
 def _rounded_losses(losses: DataFrame) -> DataFrame:
     columns = [F.round(c, 6).alias(c) for c in ("soft_ce", "kl", "hard_ce", "loss")]
-    return losses.select("example_id", "n_tokens", *columns)
+    return losses.select("example_id", "n_tokens", "n_refused", *columns)
 
 
 def soft_label_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -455,13 +522,19 @@ def soft_label_loss_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def soft_label_loss_long(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = logits(spark, sf_dir).withColumn("e", F.arrays_zip("student", "teacher"))
+    pairs = logits(spark, sf_dir).where(F.size("teacher") > 0)
+    pairs = pairs.withColumn("e", F.arrays_zip("student", F.slice("teacher", 1, F.size("student")).alias("teacher")))
     entries = pairs.select("example_id", "pos", "label", F.posexplode("e").alias("token_id", "e")).select(
         "example_id", "pos", "label", "token_id", "e.student", "e.teacher"
     )
     return _rounded_losses(softloss.soft_label_loss(softloss.pack_logits(entries)))
 
 
+def loss_total(spark: SparkSession, sf_dir: str) -> DataFrame:
+    total = softloss.loss_total(softloss.soft_label_loss(logits(spark, sf_dir)))
+    return total.select("n_examples", "n_tokens", *[F.round(c, 6).alias(c) for c in ("soft_ce", "kl", "hard_ce", "loss")])
+
+
 # --- Resuming ----------------------------------------------------------------------------------------
 
 
@@ -478,7 +551,7 @@ def incremental_format(spark: SparkSession, sf_dir: str) -> DataFrame:
             "source", F.col("doc_id").cast("string").alias("row_key"), F.col("lang").alias("problem"), F.col("text").alias("solution")
         )
         formatted = formats.format_exchange(shaped, instruction=False, generations=False)
-        return tokens.token_count(prepare.render_exchanges(formatted)).drop("empty_prompt")
+        return tokens.token_count(prepare.render_exchanges(formatted)).drop("empty_prompt", "empty_response")
 
     schema = table(spark, sf_dir, "documents").schema
     run = run_incremental(
@@ -491,23 +564,53 @@ def incremental_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- Whole jobs --------------------------------------------------------------------------------------
 
 
-def logit_training(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Three differently shaped sources, capped, rendered, encoded once, filtered and padded."""
+def _training_sources(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
+    """Three differently shaped sources. The joined one is written once: a cap reads keys before it reads texts."""
+    path = scratch_path(spark, "exchanges")
+    exchanges(spark, sf_dir).write.parquet(path)
     benchmark = load_source(spark, spec(sf_dir, "benchmark", "item_id")).withColumnRenamed("text", "question")
-    sources = [reasoning(spark, sf_dir), exchanges(spark, sf_dir), benchmark]
+    return [reasoning(spark, sf_dir), spark.read.parquet(path), benchmark]
+
+
+def _logit_training(spark: SparkSession, sf_dir: str, cap: int | None) -> DataFrame:
     vocabulary = tokens.build_vocab(documents(spark, sf_dir), VOCABULARY)
     rows = prepare.logit_training_rows(
-        sources, lambda df: tokens.encode_with_vocab(df, vocabulary), max_samples=CAP, max_tokens=MAX_TOKENS
+        _training_sources(spark, sf_dir), lambda df: tokens.encode_with_vocab(df, vocabulary), max_samples=cap, max_tokens=MAX_TOKENS
     )
     padded = tokens.make_labels(tokens.pad_tokens(rows, MAX_TOKENS))
     columns = [joined_text(c) for c in ("input_ids", "attention_mask", "labels")]
     return padded.select("source", "row_key", "order_key", "n_tokens", *columns)
 
 
+def logit_training(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Capped, rendered, encoded once, filtered and padded."""
+    return _logit_training(spark, sf_dir, CAP)
+
+
+def logit_training_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same over all rows."""
+    return _logit_training(spark, sf_dir, None)
+
+
 def supervised(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prepare.supervised_rows([reasoning(spark, sf_dir), exchanges(spark, sf_dir)])
 
 
+def supervised_encoded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three sources, encoded and cut to length."""
+    vocabulary = tokens.build_vocab(documents(spark, sf_dir), VOCABULARY)
+    rows = prepare.supervised_rows(
+        _training_sources(spark, sf_dir), lambda df: tokens.encode_with_vocab(df, vocabulary), max_tokens=MAX_TOKENS
+    )
+    return rows.select("source", "row_key", "order_key", "n_tokens", joined_text("ids"))
+
+
+def prompt_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reward prompts with their gold answers, each as often as completions are wanted."""
+    requests = score.prompt_requests(exchanges(spark, sf_dir))
+    return requests.select("row_key", "gen_idx", F.get("prompt", F.lit(0))["content"].alias("content"), "answer")
+
+
 def reward_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "scored")
     rows = score.scored_groups(completions(spark, sf_dir), prompts(spark, sf_dir), path, keep=["source"])
@@ -518,8 +621,10 @@ QUERIES: dict[str, Query] = {
     q.__name__: q
     for q in (
         source_json,
+        source_json_array,
         source_parquet,
         multi_source,
+        multi_source_same_name,
         jsonl_roundtrip,
         training_shards,
         normalize_columns,
@@ -538,10 +643,12 @@ QUERIES: dict[str, Query] = {
         shuffled_positions,
         sample_cap,
         sample_cap_top_k,
+        sample_cap_json,
         head_cap,
         batch_numbering,
         union_align,
         score_join,
+        score_join_heavy,
         generation_requests,
         token_count,
         encode_with,
@@ -554,20 +661,27 @@ QUERIES: dict[str, Query] = {
         generate_responses,
         generation_failures,
         teacher_record,
+        teacher_job,
         format_reward,
         correctness_reward,
         reward_total,
         reward_list,
         group_advantage,
+        group_advantage_heavy,
         reward_report,
         prep_funnel,
+        training_funnel,
         soft_label_loss,
         soft_label_loss_wide,
         soft_label_loss_long,
+        loss_total,
         pending_rows,
         incremental_format,
         logit_training,
+        logit_training_all,
         supervised,
+        supervised_encoded,
         reward_scoring,
+        prompt_requests,
     )
 }

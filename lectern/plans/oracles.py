@@ -161,6 +161,10 @@ entries AS (
          unnest(b.embedding)::DOUBLE / {fixed.LOSS_TEMPERATURE} AS t, generate_subscripts(a.embedding, 1) - 1 AS token_id
   FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1
 ),
+refusals AS (
+  SELECT a.vec_id // 10 AS example_id, count(*) FILTER (WHERE a.vec_id % 11 = 0 AND a.label <> 0) AS n_refused
+  FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1 GROUP BY 1
+),
 sums AS (
   SELECT example_id, pos, label, ln(sum(exp(s))) AS s_lse, ln(sum(exp(t))) AS t_lse, ln(sum(exp(raw))) AS raw_lse,
          sum(exp(t) * s) / sum(exp(t)) AS t_s, sum(exp(t) * t) / sum(exp(t)) AS t_t,
@@ -168,7 +172,7 @@ sums AS (
   FROM entries GROUP BY ALL
 ),
 per_token AS (
-  SELECT example_id, label <> 0 AS counted, s_lse - t_s AS soft_ce, (s_lse - t_s) - (t_lse - t_t) AS kl, raw_lse - at_label AS hard_ce
+  SELECT example_id, label <> 0 AND (10 * example_id + pos) % 11 <> 0 AS counted, s_lse - t_s AS soft_ce, (s_lse - t_s) - (t_lse - t_t) AS kl, raw_lse - at_label AS hard_ce
   FROM sums
 ),
 per_example AS (
@@ -178,10 +182,15 @@ per_example AS (
          coalesce(avg(hard_ce) FILTER (WHERE counted), 0) AS hard_ce
   FROM per_token GROUP BY example_id
 )
-SELECT example_id, n_tokens, round(soft_ce, 6) AS soft_ce, round(kl, 6) AS kl, round(hard_ce, 6) AS hard_ce,
+"""
+LOSSES = f"""
+WITH {LOSS}
+SELECT example_id, n_tokens, n_refused, round(soft_ce, 6) AS soft_ce, round(kl, 6) AS kl, round(hard_ce, 6) AS hard_ce,
        round({fixed.LOSS_ALPHA} * soft_ce + {1 - fixed.LOSS_ALPHA} * hard_ce, 6) AS loss
-FROM per_example
+FROM per_example JOIN refusals USING (example_id)
 """
+# An entry form has no row for a position without a teacher, so it knows of no refusal.
+LONG_LOSSES = f"SELECT * REPLACE (0::BIGINT AS n_refused) FROM ({LOSSES})"
 
 
 def suffixed(problem: str) -> str:
@@ -190,7 +199,8 @@ def suffixed(problem: str) -> str:
 
 BENCHMARK_ROWS = f"SELECT 'benchmark' AS source, {key('benchmark', 'item_id')} AS row_key, {strip('text')} AS problem, '' AS thinking, '' AS solution FROM benchmark"
 
-TRAINING_UNION = f"""
+def training_union(limit: str) -> str:
+    return f"""
 united AS (
   SELECT source, row_key, problem, thinking, solution FROM thought
   UNION ALL SELECT source, row_key, {strip('problem')}, '', {strip('solution')} FROM exchanges
@@ -199,10 +209,38 @@ united AS (
 drawn AS (
   SELECT source, row_key, {order_key('row_key')} AS order_key,
          {exchange_text(suffixed('problem'), '(' + response('thinking', 'solution') + ')')} AS text
-  FROM united ORDER BY order_key, row_key LIMIT {CAP}
+  FROM united ORDER BY order_key, row_key {limit}
 )
 """
 
+
+def trained(limit: str) -> str:
+    return f"""
+        WITH {REASONING}, {EXCHANGES}, {training_union(limit)}, {encoded('drawn', 'source, row_key, order_key', 'documents')}
+        SELECT source, row_key, order_key, n_tokens, {padded(fixed.PAD_ID)} AS input_ids, {MASK} AS attention_mask,
+               {padded(fixed.IGNORED_LABEL)} AS labels
+        FROM enc WHERE n_tokens <= {MAX_TOKENS}"""
+
+
+SUPERVISED = f"""
+        WITH {REASONING}, {EXCHANGES},
+        united AS (
+          SELECT source, row_key, problem, thinking, solution FROM normal
+          UNION ALL SELECT source, row_key, {strip('problem')}, '', {strip('solution')} FROM exchanges
+          UNION ALL {BENCHMARK_ROWS}),
+        shown AS (
+          SELECT source, row_key, {exchange_text('problem', '(' + response('thinking', 'solution') + ')')} AS text,
+                 {order_key('row_key')} AS order_key FROM united)
+"""
+
+
+def content_key(source: str, text: str) -> str:
+    """Rows without a key are known by the digest of their one text as JSON, and the number of the copy."""
+    escaped = f"to_json({text})::VARCHAR"
+    return f"'{source}:' || md5('{{\"text\":' || {escaped} || '}}') || ':' || lpad(CAST(row_number() OVER (PARTITION BY {text}) AS VARCHAR), 19, '0')"
+
+
+
 ORACLES: dict[str, str] = {
     "source_json": f"SELECT 'documents' AS source, {key('documents', 'doc_id')} AS row_key, doc_id, text, lang, n_chars FROM documents",
     "source_parquet": f"""SELECT 'documents' AS source, {key('documents', 'doc_id')} AS row_key, doc_id, text, lang,
@@ -326,25 +364,69 @@ ORACLES: dict[str, str] = {
     "prep_funnel": f"""
         WITH {REASONING},
         counted AS (
-          SELECT source, problem, len(regexp_extract_all({exchange_text(suffixed('problem'), 'response')}, {PIECES})) AS n_tokens
+          SELECT source, problem, thinking, solution, len(regexp_extract_all({exchange_text(suffixed('problem'), 'response')}, {PIECES})) AS n_tokens
           FROM answered)
-        SELECT source, count(*) AS loaded, count(*) FILTER (WHERE problem = '') AS empty_prompt, count(*) AS formatted,
+        SELECT source, count(*) AS loaded, count(*) FILTER (WHERE problem = '') AS empty_prompt,
+               count(*) FILTER (WHERE problem <> '' AND (thinking <> '' OR solution <> '')) AS formatted,
                count(*) FILTER (WHERE n_tokens > {MAX_TOKENS}) AS too_long, count(*) FILTER (WHERE n_tokens <= {MAX_TOKENS}) AS kept
         FROM counted GROUP BY source""",
-    "soft_label_loss": f"WITH {LOSS}",
-    "soft_label_loss_wide": f"WITH {LOSS}",
-    "soft_label_loss_long": f"WITH {LOSS}",
+    "soft_label_loss": LOSSES,
+    "soft_label_loss_wide": LOSSES,
+    "soft_label_loss_long": LONG_LOSSES,
+    "loss_total": f"""
+        WITH {LOSS}
+        SELECT count(*) AS n_examples, sum(n_tokens)::BIGINT AS n_tokens,
+               {', '.join(f'round(sum({c} * n_tokens) / sum(n_tokens), 6) AS {c}' for c in ('soft_ce', 'kl', 'hard_ce'))},
+               round(sum(({fixed.LOSS_ALPHA} * soft_ce + {1 - fixed.LOSS_ALPHA} * hard_ce) * n_tokens) / sum(n_tokens), 6) AS loss
+        FROM per_example""",
     "pending_rows": "SELECT doc_id, text FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)",
     "incremental_format": f"""
         WITH rows AS (
           SELECT source, CAST(doc_id AS VARCHAR) AS row_key,
                  {exchange_text('lang', '(' + response("''", strip('text')) + ')')} AS text FROM documents)
         SELECT *, CAST(len(regexp_extract_all(text, {PIECES})) AS INTEGER) AS n_tokens FROM rows""",
-    "logit_training": f"""
-        WITH {REASONING}, {EXCHANGES}, {TRAINING_UNION}, {encoded('drawn', 'source, row_key, order_key', 'documents')}
-        SELECT source, row_key, order_key, n_tokens, {padded(fixed.PAD_ID)} AS input_ids, {MASK} AS attention_mask,
-               {padded(fixed.IGNORED_LABEL)} AS labels
-        FROM enc WHERE n_tokens <= {MAX_TOKENS}""",
+    "logit_training": trained(f"LIMIT {CAP}"),
+    "logit_training_all": trained(""),
+    "training_funnel": f"""
+        WITH {REASONING}, {EXCHANGES}, {training_union(f"LIMIT {CAP}")}
+        SELECT 'loaded' AS stage, count(*) AS n_rows FROM united
+        UNION ALL SELECT 'capped', count(*) FROM drawn
+        UNION ALL SELECT 'kept', count(*) FROM drawn WHERE len(regexp_extract_all(text, {PIECES})) <= {MAX_TOKENS}""",
+    "supervised_encoded": f"""
+        {SUPERVISED}, {encoded('shown', 'source, row_key, order_key', 'documents')}
+        SELECT source, row_key, order_key, least(n_tokens, {MAX_TOKENS}) AS n_tokens, {commas(f'ids[1:{MAX_TOKENS}]')} AS ids FROM enc""",
+    "prompt_requests": f"""
+        WITH {EXCHANGES}
+        SELECT row_key, CAST(unnest(range({fixed.GENERATIONS_PER_PROMPT})) AS INTEGER) AS gen_idx,
+               {q(fixed.REWARD_SYSTEM)} || chr(10) || chr(10) || problem AS content, solution AS answer FROM exchanges""",
+    "source_json_array": f"""
+        SELECT 'benchmark' AS source, item_id, text,
+               'benchmark:' || md5('{{"item_id":' || item_id || ',"text":' || to_json(text)::VARCHAR || '}}') || ':'
+               || lpad('1', 19, '0') AS row_key FROM benchmark""",
+    "sample_cap_json": f"""
+        WITH rows AS (
+          SELECT 'train' AS source, {content_key('train', 'text')} AS row_key, text FROM documents
+          UNION ALL SELECT 'train-2', {content_key('train-2', 'html')}, html FROM pages)
+        SELECT *, {order_key('row_key')} AS order_key FROM rows ORDER BY 4, 2 LIMIT {CAP}""",
+    "multi_source_same_name": f"""
+        SELECT 'train' AS source, {key('train', 'doc_id')} AS row_key, text FROM documents
+        UNION ALL SELECT 'train-2', {key('train-2', 'item_id')}, text FROM benchmark""",
+    "teacher_job": f"""
+        WITH {INSTRUCTIONS},
+        numbered AS (
+          SELECT *, (row_number() OVER (ORDER BY doc_id) - 1) // {fixed.GENERATION_BATCH} AS batch
+          FROM (SELECT * FROM prompted ORDER BY doc_id LIMIT {CAP}))
+        SELECT instruction, coalesce(input, '') AS input, coalesce(output, '') AS original_output, 'echo' AS teacher_output,
+               prompt || 'echo' AS text, NULL::BIGINT AS doc_id, NULL::BIGINT AS batch_id, NULL::VARCHAR AS error
+        FROM numbered WHERE instruction <> 'Write in fr'
+        UNION ALL SELECT NULL, NULL, NULL, NULL, NULL, doc_id, batch, 'ValueError: refused'
+        FROM numbered WHERE instruction = 'Write in fr'""",
+    "group_advantage_heavy": f"""
+        WITH {COMPLETIONS}, {SCORED}
+        SELECT source, prompt_id, gen_idx, {ADVANTAGE} AS advantage FROM totals WINDOW p AS (PARTITION BY source)""",
+    "score_join_heavy": f"""
+        WITH {COMPLETIONS}, sources AS (SELECT source, max(doc_id) AS answer FROM documents GROUP BY source)
+        SELECT source, prompt_id, gen_idx, completion, sources.answer FROM completions JOIN sources USING (source)""",
     "supervised": f"""
         WITH {REASONING}, {EXCHANGES},
         united AS (

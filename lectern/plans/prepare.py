@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Observation, functions as F
 
 from lectern import fixed
 from lectern.functions import chat
 from lectern.operators.combine import union_all
 from lectern.operators.formats import format_exchange
+from lectern.operators.funnel import observe_rows
 from lectern.operators.sampling import sample_cap, seeded_shuffle
 from lectern.operators.tokens import length_filter, length_truncate
 
@@ -34,15 +35,22 @@ def logit_training_rows(
     max_tokens: int = fixed.MAX_TOKENS,
     seed: int = fixed.SHUFFLE_SEED,
     bos: str = fixed.BOS,
+    capped_rows: Observation | None = None,
+    kept_rows: Observation | None = None,
 ) -> DataFrame:
     """``source, row_key, order_key, text, ids, n_tokens`` of the rows to train on, un-padded.
 
     The cap comes before the length filter, so fewer than ``max_samples`` rows may be left. Rendering and
-    encoding run on the capped rows only. ``encode`` adds ``ids`` and ``n_tokens``, once.
+    encoding run on the capped rows only. ``encode`` adds ``ids`` and ``n_tokens``, once. The observations get the
+    numbers of rows after the cap and after the filter as the result is written. ``row_key`` identifies a row, as
+    loading sees to.
     """
     rows = formatted_union(tables, instruction=True, generations=True)
-    capped = sample_cap(rows, max_samples, seed=seed)
-    return length_filter(encode(render_exchanges(capped, bos)), max_tokens).drop("empty_prompt")
+    capped = sample_cap(rows, max_samples, seed=seed, unique=True)
+    if capped_rows is not None:
+        capped = observe_rows(capped, capped_rows)
+    kept = length_filter(encode(render_exchanges(capped, bos)), max_tokens).drop("empty_prompt", "empty_response")
+    return kept if kept_rows is None else observe_rows(kept, kept_rows)
 
 
 def supervised_rows(
@@ -54,7 +62,7 @@ def supervised_rows(
     bos: str = fixed.BOS,
 ) -> DataFrame:
     """All rows in shuffled order: no instruction, no generations, no cap; long rows are cut, not dropped."""
-    rows = render_exchanges(formatted_union(tables, instruction=False, generations=False), bos).drop("empty_prompt")
+    rows = render_exchanges(formatted_union(tables, instruction=False, generations=False), bos).drop("empty_prompt", "empty_response")
     if encode is not None:
         rows = length_truncate(encode(rows), max_tokens)
     return seeded_shuffle(rows, seed=seed)

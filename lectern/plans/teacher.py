@@ -1,13 +1,14 @@
-"""Responses of a teacher to an instruction table."""
+"""Responses of a teacher to an instruction table, as a whole job."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
 from lectern import fixed
 from lectern.operators.formats import teacher_prompt, teacher_record
-from lectern.operators.generate import GeneratorLoader, answered, failed, generate_responses
-from lectern.operators.sampling import head_cap
+from lectern.operators.generate import GeneratorLoader, answered, failed, generate_responses, write_generated
+from lectern.operators.sampling import batch_numbering, head_cap
+from lectern.sources.sinks import write_jsonl
 
 
 def teacher_rows(
@@ -30,3 +31,26 @@ def teacher_records(generated: DataFrame) -> DataFrame:
 
 def quarantined_rows(generated: DataFrame) -> DataFrame:
     return failed(generated)
+
+
+def teacher_job(
+    instructions: DataFrame,
+    load_generator: GeneratorLoader,
+    path: str,
+    *,
+    max_samples: int | None = None,
+    order: tuple[str, ...] = ("row_key",),
+    batch_size: int = fixed.GENERATION_BATCH,
+) -> None:
+    """The first rows in contiguous batches, answered; records as JSON lines, failed rows apart.
+
+    Below ``path``: ``generated`` with every row, its ``position`` and ``batch_id``, ``records`` as JSON lines, and
+    ``quarantine`` with the rows that have an error. Rows are generated once and written before they are split.
+    """
+    spark = instructions.sparkSession
+    first = batch_numbering(head_cap(instructions, max_samples, list(order)), list(order), batch_size)
+    generated = generate_responses(teacher_prompt(first).sortWithinPartitions("position"), load_generator, batch_size=batch_size)
+    write_generated(generated, f"{path}/generated")
+    written = spark.read.schema(generated.schema).parquet(f"{path}/generated")
+    write_jsonl(teacher_records(written), f"{path}/records")
+    quarantined_rows(written).select(*order, "batch_id", F.col("error")).write.mode("overwrite").parquet(f"{path}/quarantine")

@@ -2,30 +2,37 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 KEY_DIGITS = 19
+DEFAULT_SPLIT = "train"
+CONTENT, COPY = "_content", "_copy"
 
 
 @dataclass(frozen=True)
 class SourceSpec:
     """Where a source lies and how to read it.
 
-    ``key`` names columns that together identify a row. Without one, Parquet rows are known by file and
-    position in it, JSON rows by their position in the scan, which only holds while the files stay as
-    they are: land JSON as Parquet first where runs must be resumable.
+    ``key`` names columns that together identify a row. Without one, Parquet rows are known by their file below
+    ``path`` and the position in it, JSON rows by a hash of their content and the number of the copy. Neither
+    depends on how files are split or where the folder lies.
+
+    ``split`` is the value to select of a table's ``split`` column, where it has one; None takes every split.
+    A malformed JSON row ends the read unless ``mode`` says otherwise.
     """
 
     path: str
     name: str | None = None
     format: str | None = None
     schema: T.StructType | str | None = None
-    split: str | None = None
+    split: str | None = DEFAULT_SPLIT
     key: str | Sequence[str] | None = None
     json_array: bool | None = None
+    mode: str = "FAILFAST"
 
     @property
     def label(self) -> str:
@@ -59,19 +66,22 @@ def read_json(spark: SparkSession, spec: SourceSpec) -> DataFrame:
     is_array = spec.json_array
     if is_array is None:
         is_array = spec.path.endswith(".json") and _is_json_array(spark, spec.path)
-    reader = spark.read.option("multiLine", is_array)
+    reader = spark.read.option("multiLine", is_array).option("mode", spec.mode)
     if spec.schema is not None:
         reader = reader.schema(spec.schema)
-    return reader.json(spec.path)
+    return _in_split(reader.json(spec.path), spec)
+
+
+def _in_split(df: DataFrame, spec: SourceSpec) -> DataFrame:
+    return df if spec.split is None or "split" not in df.columns else df.where(F.col("split") == spec.split)
 
 
 def read_table(spark: SparkSession, spec: SourceSpec) -> DataFrame:
-    """An already landed table; ``split`` selects a value of its partition column."""
+    """An already landed table."""
     reader = spark.read
     if spec.schema is not None:
         reader = reader.schema(spec.schema)
-    df = reader.format(spec.kind).load(spec.path)
-    return df if spec.split is None else df.where(F.col("split") == spec.split)
+    return _in_split(reader.format(spec.kind).load(spec.path), spec)
 
 
 def _key_text(df: DataFrame, column: str) -> Column:
@@ -88,8 +98,29 @@ def row_key(df: DataFrame, spec: SourceSpec) -> Column:
         return F.concat_ws(":", name, *[_key_text(df, c) for c in columns])
     if spec.kind == "parquet":
         position = F.lpad(F.col("_metadata.row_index").cast("string"), KEY_DIGITS, "0")
-        return F.concat_ws(":", name, F.col("_metadata.file_path"), position)
-    return F.concat_ws(":", name, F.lpad(F.monotonically_increasing_id().cast("string"), KEY_DIGITS, "0"))
+        return F.concat_ws(":", name, _below(F.col("_metadata.file_path"), spec.path), position)
+    return F.concat_ws(":", name, F.col(CONTENT), F.lpad(F.col(COPY).cast("string"), KEY_DIGITS, "0"))
+
+
+def _below(file: Column, path: str) -> Column:
+    """The part of a file's path below the source's; its name if the source is that file, all of it if unclear."""
+    base = path.split("://")[-1].removeprefix("file:").rstrip("/")
+    at = F.instr(file, base)
+    rest = F.substring(file, at + len(base), F.length(file))
+    return F.when(at == 0, file).when(rest == "", F.substring_index(file, "/", -1)).otherwise(F.ltrim(rest, F.lit("/")))
+
+
+def with_content_keys(df: DataFrame) -> DataFrame:
+    """Every row with a hash of its content, and a number among its copies.
+
+    Copies are counted, with partial sums before the shuffle, and written out again: a row that holds a large
+    share of the table is not gathered to be numbered.
+    """
+    if any(isinstance(f.dataType, T.MapType) for f in df.schema.fields):
+        raise ValueError("rows with a map column need a key")
+    counted = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias(COPY))
+    content = F.md5(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}))
+    return counted.withColumns({CONTENT: content, COPY: F.explode(F.sequence(F.lit(1).cast("bigint"), COPY))})
 
 
 def load_source(spark: SparkSession, spec: SourceSpec) -> DataFrame:
@@ -99,25 +130,31 @@ def load_source(spark: SparkSession, spec: SourceSpec) -> DataFrame:
     """
     df = read_json(spark, spec) if spec.kind == "json" else read_table(spark, spec)
     columns = [F.col(c).alias(f"own_{c}") if c in ("source", "row_key") else F.col(c) for c in df.columns]
+    if spec.kind == "json" and spec.key is None:
+        df = with_content_keys(df)
     return df.select(F.lit(spec.label).alias("source"), row_key(df, spec).alias("row_key"), *columns)
 
 
 def load_sources(spark: SparkSession, sources: str | Sequence[str | SourceSpec]) -> list[DataFrame]:
-    """Every source in the given order; the first that fails ends the call."""
-    return [load_source(spark, spec) for spec in parse_source_list(sources)]
-
+    """Every source in the given order; the first that fails ends the call. Each has a label of its own."""
+    return [load_source(spark, spec) for spec in with_own_labels(parse_source_list(sources))]
 
-def land_json(spark: SparkSession, spec: SourceSpec, path: str) -> SourceSpec:
-    """Write a JSON source once as Parquet, which can be split, pruned and keyed by position."""
-    read_json(spark, spec).write.mode("overwrite").parquet(path)
-    return SourceSpec(path=path, name=spec.label, format="parquet", key=spec.key)
 
+def with_own_labels(specs: Sequence[SourceSpec]) -> list[SourceSpec]:
+    """Sources of one label are numbered from the second on, so that no two share a ``row_key``."""
+    seen: Counter = Counter()
+    labelled = []
+    for spec in specs:
+        label = spec.label
+        while seen[label]:
+            seen[spec.label] += 1
+            label = f"{spec.label}-{seen[spec.label]}"
+        seen[label] += 1
+        labelled.append(replace(spec, name=label))
+    return labelled
 
-def spread_small(df: DataFrame, key: str) -> DataFrame:
-    """A table with fewer splits than there are cores, spread over all cores by ``key``.
 
-    For work that is dear per row over a table that is small, or lies in few big files. Larger tables, whose
-    splits keep every core busy, come back as they are: no shuffle is added to them.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+def land_json(spark: SparkSession, spec: SourceSpec, path: str) -> SourceSpec:
+    """Write a JSON source once as Parquet, which can be split, pruned and keyed by position."""
+    read_json(spark, replace(spec, split=None)).write.mode("overwrite").parquet(path)
+    return replace(spec, path=path, name=spec.label, format="parquet")

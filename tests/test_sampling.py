@@ -58,6 +58,17 @@ def test_sample_cap(spark, n, top_k):
     assert len(rows) == min(n, 700)
 
 
+@pytest.mark.parametrize("n", [1, 4, 5, 6, 9, 30])
+def test_caps_are_exact_where_keys_repeat(spark, n):
+    df = spark.createDataFrame([(f"k{i // 5}", i) for i in range(20)] + [("k1", 5)] * 3, "row_key string, v int")
+    for capped in (sampling.sample_cap(df, n, digits=1), sampling.head_cap(df, n, ["row_key"], buckets=4)):
+        rows = [(r["row_key"], r["v"]) for r in capped.collect()]
+        assert len(rows) == min(n, 23)
+    assert {k for k, _ in rows} <= set(sorted(["k0"] * 5 + ["k1"] * 8 + ["k2"] * 5 + ["k3"] * 5)[:n])
+    with pytest.raises(ValueError):
+        sampling.head_cap(df, -1, ["row_key"])
+
+
 @pytest.mark.parametrize("n", [0, None])
 def test_no_cap(spark, n):
     assert sampling.sample_cap(table(spark), n).count() == 700
@@ -88,7 +99,7 @@ def test_only_bucket_totals_meet_in_one_partition(spark, small_dir):
 
 def test_counting_pass_reads_only_the_key(spark, small_dir):
     docs = spark.read.parquet(f"{small_dir}/documents.parquet")
-    plan = plan_text(sampling.sample_cap(docs, 50, "doc_id"))
+    plan = plan_text(sampling.sample_cap(docs, 50, "doc_id", unique=True))
     schemas = re.findall(r"ReadSchema: (struct<[^>]*>)", plan)
     assert sum("text" in s for s in schemas) == 1 and all(s == "struct<doc_id:bigint>" for s in schemas if "text" not in s)
     wide = plan[: plan.index("Subquery")]

@@ -9,7 +9,7 @@ from lectern import fixed
 from lectern.operators import formats, sampling
 from lectern.plans import prepare
 from lectern.session import scratch_path
-from lectern.sources.load import SourceSpec, land_json, load_source, load_sources, parse_source_list, spread_small
+from lectern.sources.load import SourceSpec, land_json, load_source, load_sources, parse_source_list
 from lectern.sources.sinks import write_jsonl, write_shards
 
 PROBLEMS = [
@@ -130,11 +130,52 @@ def test_shards_follow_the_shuffle(spark, tmp_path):
         assert r["labels"] == list(range(1, n + 1)) + [-100] * (6 - n)
 
 
-def test_spread_small(spark, small_dir):
-    docs = spark.read.parquet(f"{small_dir}/documents.parquet")
-    assert spread_small(docs, "doc_id").rdd.getNumPartitions() == 8
-    many = docs.repartition(16)
-    assert spread_small(many, "doc_id") is many
+def test_malformed_rows_end_the_read(spark, lines_file):
+    with open(lines_file, "a", encoding="utf-8") as f:
+        f.write('\n{"question": "cut')
+    for schema in (None, "question string, thinking string, solution string"):
+        with pytest.raises(Exception, match="MALFORMED|FAILFAST|malformed"):
+            load_source(spark, SourceSpec(lines_file, schema=schema)).collect()
+    assert load_source(spark, SourceSpec(lines_file, mode="DROPMALFORMED", schema="question string")).count() == 5
+
+
+def test_training_split_is_the_default(spark, tmp_path):
+    path = str(tmp_path / "both")
+    spark.range(10).selectExpr("id", "if(id < 8, 'train', 'test') as split").write.partitionBy("split").parquet(path)
+    assert [load_source(spark, SourceSpec(path, key="id", split=s)).count() for s in ("train", "test", None)] == [8, 2, 10]
+    assert load_source(spark, SourceSpec(path, key="id")).count() == 8
+
+
+def test_equal_labels_are_numbered(spark, tmp_path):
+    for folder in ("a", "b"):
+        spark.range(50).selectExpr("cast(id as string) as text").write.json(str(tmp_path / folder / "train.jsonl"))
+    tables = load_sources(spark, f"{tmp_path}/a/train.jsonl,{tmp_path}/b/train.jsonl")
+    rows = tables[0].unionByName(tables[1])
+    assert {r["source"] for r in rows.collect()} == {"train", "train-2"}
+    assert rows.select("row_key").distinct().count() == 100
+    assert sampling.sample_cap(rows, 11).count() == sampling.sample_cap(rows, 11, unique=True).count() == 11
+
+
+def test_keys_do_not_depend_on_splits_or_folders(spark, tmp_path):
+    rows = spark.range(2000).selectExpr("concat('text ', id % 1500) as text")
+    drawn = []
+    for files, size in ((1, "1k"), (4, "16m"), (37, "200")):
+        path = str(tmp_path / f"n{files}" / "docs.jsonl")
+        rows.repartition(files).write.json(path)
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        try:
+            table = load_source(spark, SourceSpec(path))
+            drawn.append(sorted((r["row_key"], r["text"]) for r in sampling.sample_cap(table, 100).collect()))
+            assert table.select("row_key").distinct().count() == 2000
+        finally:
+            spark.conf.set("spark.sql.files.maxPartitionBytes", "16m")
+    assert drawn[0] == drawn[1] == drawn[2] and len(drawn[0]) == 100
+    spark.range(5).coalesce(1).write.parquet(str(tmp_path / "p1" / "t"))
+    import shutil
+
+    shutil.copytree(tmp_path / "p1", tmp_path / "p2")
+    keys = [sorted(r["row_key"] for r in load_source(spark, SourceSpec(str(tmp_path / p / "t"))).collect()) for p in ("p1", "p2")]
+    assert keys[0] == keys[1]
 
 
 def test_scratch_is_below_the_shared_folder(spark):
