@@ -19,12 +19,16 @@ KEY = ["doc_id", "text_key"]
 
 def _lines(docs: DataFrame) -> DataFrame:
     """Every line that holds a word, with its place, its words and a digest of them. Case and spacing do not matter."""
-    words = F.regexp_extract_all(F.lower("line"), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
-    lines = docs.select("doc_id", F.xxhash64("text").alias("text_key"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    lines = lines.select(*KEY, "line_no", words.alias("words")).where(F.size("words") > 0)
+    lines = docs.select(*KEY, F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    lines = lines.select(*KEY, "line_no", _words(F.col("line")).alias("words")).where(F.size("words") > 0)
     return lines.withColumn("digest", F.unhex(F.md5(F.array_join("words", " "))))
 
 
+def _words(line: Column) -> Column:
+    """Words in lower case. White space is made one kind first: splitting at a plain character is much the fastest."""
+    return F.array_remove(F.split(F.translate(F.lower(line), "\t\x0b\f\r", "    "), " "), "")
+
+
 def _halves() -> Column:
     """Keys of which two lines within one edit share one at least.
 
@@ -35,8 +39,8 @@ def _halves() -> Column:
     for less in (0, 1):
         length = n - less
         cut = F.floor(length / 2).cast("int")
-        keys.append(F.xxhash64(length * 2, F.array_join(F.slice("words", 1, cut), " ")))
-        keys.append(F.xxhash64(length * 2 + 1, F.array_join(F.slice("words", n - (length - cut) + 1, length - cut), " ")))
+        keys.append(F.xxhash64(length * 2, F.slice("words", 1, cut)))
+        keys.append(F.xxhash64(length * 2 + 1, F.slice("words", n - (length - cut) + 1, length - cut)))
     return F.when(n >= MIN_WORDS - 1, F.array(*keys)).otherwise(F.array().cast("array<bigint>"))
 
 
@@ -63,9 +67,16 @@ def _near(docs: DataFrame, lines: DataFrame, firsts: DataFrame) -> DataFrame:
     halves = lines.select("digest", F.explode("halves").alias("half"))
     shared = halves.groupBy("half").agg(F.min("digest").alias("a"), F.max("digest").alias("b")).where("a < b").select("half")
     candidates = halves.join(landed(shared, "halves"), "half").select("digest").distinct()
-    candidates = landed(candidates.join(firsts, "digest").select("digest", "first"), "candidates")
-    at = F.struct("doc_id", "text_key", "line_no").alias("first")
-    return _lines(docs).select("digest", "words", at).join(candidates, ["digest", "first"]).dropDuplicates(["digest"])
+    candidates = candidates.join(firsts, "digest").select("digest", "first")
+    by_text = candidates.groupBy(F.col("first.doc_id").alias("of_id"), F.col("first.text_key").alias("of_key")).agg(
+        F.collect_list(F.struct("digest", "first")).alias("wanted")
+    )
+    by_text = landed(by_text, "candidates")
+    texts = docs.join(by_text, docs["doc_id"].eqNullSafe(by_text["of_id"]) & (docs["text_key"] == by_text["of_key"]))
+    texts = texts.select("wanted", F.split("text", "\n").alias("parts"))
+    found = F.transform("wanted", lambda w: F.struct(w["digest"].alias("digest"), w["first"].alias("first"), F.get("parts", w["first"]["line_no"]).alias("line")))
+    lines = texts.select(F.explode(found).alias("w")).select("w.*")
+    return lines.select("digest", "first", _words(F.col("line")).alias("words")).dropDuplicates(["digest"])
 
 
 def _removed(near: DataFrame) -> DataFrame:
@@ -125,6 +136,7 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     ``doc_id`` and ``text`` are not read. An empty table gives none.
     """
     own = docs.select(F.col("doc_id").cast("bigint"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    own = own.withColumn("text_key", F.xxhash64("text"))
     at = F.struct("doc_id", "text_key", "line_no")
     lines = landed(_lines(own).select(*KEY, "line_no", "digest", _halves().alias("halves")), "lines")
     firsts = lines.groupBy("digest").agg(F.min(at).alias("first"), F.count(F.lit(1)).alias("n_lines"))
@@ -135,9 +147,8 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     marked = landed(marked.select("digest", "first", F.coalesce("near", F.lit(False)).alias("near")), "marked")
     gone = lines.drop("halves").join(marked, "digest").where(F.col("near") | (at != F.col("first")))
     gone = landed(gone.groupBy(*KEY).agg(F.collect_set("line_no").alias("gone")), "gone")
-    keyed = own.withColumn("text_key", F.xxhash64("text"))
     gone = gone.select(F.col("doc_id").alias("_doc_id"), F.col("text_key").alias("_text_key"), "gone")
-    joined = keyed.join(gone, keyed["doc_id"].eqNullSafe(gone["_doc_id"]) & (keyed["text_key"] == gone["_text_key"]), "left")
+    joined = own.join(gone, own["doc_id"].eqNullSafe(gone["_doc_id"]) & (own["text_key"] == gone["_text_key"]), "left")
     kept = F.filter(F.split("text", "\n"), lambda line, i: ~F.array_contains(F.coalesce("gone", F.array().cast("array<int>")), i))
     return joined.select(
         "doc_id",
