@@ -235,13 +235,13 @@ def too_often(texts: list[list[str]], seen: set[str], clean: int) -> set[str]:
 
     ``seen`` are the parts of clean texts. Insults with many endings are found by what these have in common.
     """
-    new = [{w: parts_of(w) - seen for w in words} for words in texts]
-    counts = Counter(p for words in new for p in set().union(*words.values()))
+    new = {w: parts for w in set().union(*texts) if (parts := parts_of(w) - seen)} if texts else {}
+    counts = Counter(p for words in texts for p in set().union(*(new[w] for w in words if w in new)))
     if not counts:
         return set()
     enough = np.log(CHANCE / len(counts)) / np.log(len(texts) / (len(texts) + clean))
     often = {p for p, n in counts.items() if n >= max(enough, 3)}
-    return {w for words in new for w, parts in words.items() if not often.isdisjoint(parts)}
+    return {w for w, parts in new.items() if not often.isdisjoint(parts)}
 
 
 def learn_weights(toxic: list[list[str]], clean: list[list[str]]) -> np.ndarray:
