@@ -3,6 +3,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from lectern.llm import linear, quality
 from lectern.llm.queries import QUERIES
@@ -50,7 +51,7 @@ def test_whole_table(spark, sf_dir):
 def test_held_out_accuracy(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     model = quality.train(docs, labels, rows=2000)
-    picked = labels.selectExpr("doc_id", "quality").orderBy("xxhash64(doc_id)", "doc_id").offset(2000)
+    picked = labels.selectExpr("doc_id", "quality").orderBy(F.xxhash64("doc_id"), "doc_id").offset(2000)
     rows = picked.join(docs, "doc_id").select("text", "quality").collect()
     chance = np.concatenate([model.probabilities(p) for p in slices(pa.array([r.text for r in rows]))])
     sound = np.array([not _base(r.text)[-1] for r in rows])
