@@ -18,15 +18,18 @@ KEY = ["doc_id", "text_key"]
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """Every line that holds a word, with its place, its words and a digest of them. Case and spacing do not matter."""
+    """Every line with its place, its words and a digest of them. Case and spacing do not matter."""
     lines = docs.select(*KEY, F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    lines = lines.select(*KEY, "line_no", _words(F.col("line")).alias("words")).where(F.size("words") > 0)
+    lines = lines.select(*KEY, "line_no", _words(F.col("line")).alias("words"))
     return lines.withColumn("digest", F.unhex(F.md5(F.array_join("words", " "))))
 
 
 def _words(line: Column) -> Column:
     """Words in lower case. White space is made one kind first: splitting at a plain character is much the fastest."""
-    return F.array_remove(F.split(F.translate(F.lower(line), "\t\x0b\f\r", "    "), " "), "")
+    plain = F.lower(line)
+    for other in "\t\x0b\f\r":
+        plain = F.replace(plain, F.lit(other), F.lit(" "))
+    return F.array_remove(F.split(plain, " "), "")
 
 
 def _halves() -> Column:
@@ -138,7 +141,9 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     own = docs.select(F.col("doc_id").cast("bigint"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     own = own.withColumn("text_key", F.xxhash64("text"))
     at = F.struct("doc_id", "text_key", "line_no")
-    lines = landed(_lines(own).select(*KEY, "line_no", "digest", _halves().alias("halves")), "lines")
+    # Lines without a word are left out only as they are read back: a filter here would compute the words twice.
+    lines = _lines(own).select(*KEY, "line_no", "digest", _halves().alias("halves"), F.size("words").alias("n"))
+    lines = landed(lines, "lines").where("n > 0").drop("n")
     firsts = lines.groupBy("digest").agg(F.min(at).alias("first"), F.count(F.lit(1)).alias("n_lines"))
     firsts = landed(firsts, "firsts")
     removed = landed(_removed(_near(own, lines, firsts)), "removed")
