@@ -22,8 +22,3 @@ def batch(schema: pa.Schema, columns: Iterable) -> pa.RecordBatch:
         [c if isinstance(c, pa.Array) else pa.array(c, type=f.type) for c, f in zip(columns, schema, strict=True)],
         schema=schema,
     )
-
-
-def own_columns(df: DataFrame, *names: str) -> DataFrame:
-    """The named columns alone, so that others, of whatever name, cannot clash with the operator's own."""
-    return df.select(*names)

@@ -19,7 +19,6 @@ from pyspark.sql import DataFrame, functions as F
 from lectern.llm.landing import batch, landed
 from lectern.llm.textbatch import (
     BASES,
-    Slice,
     Words,
     gram_hashes,
     run_hashes,
