@@ -1,8 +1,9 @@
 """Personal data: base patterns, and further spans that boosted trees pick among high-recall candidates.
 
 Nobody has labelled such data here, so the base matches teach: they, in the formats they might as well have been
-written in and in the contexts they stand in, are what a candidate is compared with; other candidates, and base
-matches with a digit changed so that their check fails, are what it is told from.
+written in and in the contexts they stand in, are what a candidate is compared with. Candidates in a format that no
+such data is written in, and base matches with a digit changed so that their check fails, are what it is told from.
+Other candidates in a format of their kind may well be what is looked for, so they teach nothing.
 """
 
 from __future__ import annotations
@@ -152,6 +153,28 @@ def features(text: str, span: Span) -> list[float]:
 
 # --- learning
 
+_AMERICAN = r"(?:(?:\+|00) ?1[ .\-/]|1[ .\-])?(?:\([0-9]{3}\) ?|[0-9]{3}[ .\-/])[0-9]{3}[ .\-][0-9]{4}"
+_ABROAD = r"(?:\+|00) ?[1-9][0-9]{0,2}(?:[ .\-/]{1,3}(?:\([0-9]{1,5}\)|[0-9]{1,8})){1,5}"
+_TRUNK = r"\(?0[1-9][0-9]{1,4}\)?[ .\-/]{1,3}[0-9]{3,8}(?:[ \-][0-9]{2,4})*|0[1-9](?:[ .\-][0-9]{2}){4}"
+_PHONE_FORMAT = re.compile(f"{_AMERICAN}|{_ABROAD}|{_TRUNK}")
+_CARD_FORMAT = re.compile(r"[0-9]+(?:([ .\-/])[0-9]+(?:\1[0-9]+)*)?")
+
+
+def in_format(piece: str, kind: int) -> bool:
+    """Whether data of the kind is written like this, so that the piece may be such data although no base pattern matches."""
+    if kind == EMAIL:
+        low, last = piece.lower(), re.split(r"[. )\]]+", piece)[-1]
+        marked = "@" in low or "at)" in low or "at]" in low or " at " in low and "dot" in low
+        return marked and len(last) > 1 and last.isalpha() and (last.islower() or piece.isupper())
+    if kind == IP:
+        numbers = piece.split(".")
+        return len(numbers) == 4 and all(n.isdigit() and _small(n) for n in numbers)
+    digits, sizes = _digits(piece), [len(g) for g in _GROUP.findall(piece)]
+    if kind == CARD:
+        usual = len(sizes) == 1 or (set(sizes[:-1]) == {4} and sizes[-1] <= 4) or sizes in ([4, 6, 4], [4, 6, 5])
+        return usual and 14 <= len(digits) <= 19 and luhn(digits) and _CARD_FORMAT.fullmatch(piece) is not None
+    return 10 <= len(digits) <= 15 and _PHONE_FORMAT.fullmatch(piece) is not None
+
 
 def _other_formats(piece: str, kind: int, salt: int) -> list[str]:
     """Ways to write the same data that the base patterns do not all know."""
@@ -159,7 +182,8 @@ def _other_formats(piece: str, kind: int, salt: int) -> list[str]:
     if kind == EMAIL:
         local, domain = piece.rsplit("@", 1)
         names = (local, re.sub("[^A-Za-z]+", "", local) or "it")
-        spelt = (f" (at) {domain}", f" at {domain.replace('.', ' dot ')}", f"[at]{domain.replace('.', '[dot]')}")
+        domains = dict.fromkeys((domain, ".".join(domain.split(".")[-2:])))
+        spelt = [rest for d in domains for rest in (f" (at) {d}", f" at {d.replace('.', ' dot ')}", f"[at]{d.replace('.', '[dot]')}")]
         return [name + rest for name in names for rest in spelt]
     if kind == CARD:
         return [" ".join(digits[i : i + 4] for i in range(0, len(digits), 4)), ".".join(digits[i : i + 4] for i in range(0, len(digits), 4)), digits]
@@ -178,32 +202,42 @@ def _spoilt(piece: str, kind: int, salt: int) -> list[str]:
         rests = (f" at {host}.Afterwards", f" at {host} dot then", f" at {host}.{'abcdefgh'[: 1 + salt % 8].title()}")
         return [name + rest for name in names for rest in rests]
     if kind == CARD:
-        at = digits[salt % len(digits)]
-        return [piece[:at] + str((int(piece[at]) + 1 + salt % 8) % 10) + piece[at + 1 :]]
+        found = []
+        for written in (piece, *_other_formats(piece, kind, salt)):
+            at = [i for i, c in enumerate(written) if c.isdigit()][salt % len(digits)]
+            found.append(written[:at] + str((int(written[at]) + 1 + salt % 8) % 10) + written[at + 1 :])
+        return [w for w in found if not luhn(_digits(w))]
     if kind == IP:
         parts = piece.split(".")
         parts[salt % 4] = str(256 + salt % 700)
         return [".".join(parts), ".".join(parts[:3])]
     if kind == PHONE:
-        return [piece[: digits[6]]]
+        d, year = _digits(piece)[-10:], 1900 + salt % 150
+        years = f"{year} {year + 1} {year + 2}", f"{year}-{1 + salt % 12:02}-{1 + salt % 28:02} {salt % 24:02}"
+        return [piece[: digits[6]], f"{d[:4]} {d[4:8]} {d[8:]}", f"{d[:5]}.{d[5:]}", f"{d[:3]}-{d[3:6]}-{d[6:8]}", *years]
     return []
 
 
 def examples(text: str) -> Iterator[tuple[int, list[float], bool]]:
-    """``kind``, features and whether it is personal data, of a text's candidates and of its base matches rewritten."""
+    """``kind``, features and whether it is personal data, of a text's candidates and of its base matches rewritten.
+
+    A candidate that touches no base match but is in a format of its kind may be either, and is left out.
+    """
     base = base_spans(text)
     for start, kind, end in candidates(text):
         near = [s for s in base if s[0] < end and start < s[2]]
         exact = (start, kind, end) in near
-        if exact or not near:
+        if exact or (not near and not in_format(text[start:end], kind)):
             yield kind, features(text, (start, kind, end)), exact
-        elif all(s[1] != kind for s in near):
+        elif near and all(s[1] != kind for s in near):
             yield kind, features(text, (start, kind, end)), False
     for start, kind, end in base:
         before, after = text[max(0, start - 100) : start], text[end : end + 100]
         salt = zlib.crc32(text[start:end].encode())
         for good, pieces in ((True, _other_formats(text[start:end], kind, salt)), (False, _spoilt(text[start:end], kind, salt))):
             for piece in pieces:
+                if good and not in_format(piece, kind):
+                    continue
                 yield kind, features(before + piece + after, (len(before), kind, len(before) + len(piece))), good
 
 

@@ -80,6 +80,25 @@ def test_other_formats_are_found_and_clean_texts_left(spark):
     assert pii.redact(text, pii.base_spans(text)) == "a [PHONE] b [EMAIL] c"
 
 
+def _number(rnd):
+    return f"{rnd.randint(201, 989)}", f"{rnd.randint(201, 989)}", f"{rnd.randint(0, 9999):04}"
+
+
+def test_formats_more_frequent_than_base_matches_are_found(spark):
+    rnd = random.Random(4)
+    rows = []
+    for i in range(1200):
+        a, b, c = _number(rnd)
+        text = f"Write to us or call {a}-{b}-{c} on weekdays." if i % 2 else f"Our office: ({a}) {b}-{c}, or jo{i} (at) host{i % 7}.com any time."
+        own = (f"Abroad +1 ({b}) {a}-{c}, mail ann{i}@post.example.org", f"Abroad or {a}{i}.lee@host.net, then +1 ({b}) {a}-{c} too")[i // 40 % 2]
+        rows.append((i, f"{text} {own}" if i % 40 < 2 else f"{text} Seen in {1990 + i % 30}-{2021 + i % 9} and {c}{a}{b}."))
+    models = pii.train(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    for _, text in rows:
+        written = {m[0] for m in re.finditer(r"\([0-9]{3}\) [0-9]{3}-[0-9]{4}|(?<![0-9])[0-9]{3}-[0-9]{3}-[0-9]{4}|jo[0-9]+ \(at\) host[0-9].com", text.split(" Abroad")[0])}
+        found = pii.all_spans(text, models)
+        assert written == {text[a:b] for a, k, b in found[1] if (a, k, b) not in found[0]}, text
+
+
 def test_nulls_repeats_and_clashing_columns(spark):
     rows = [(1, None, "a", 0), (2, "", "a", 0), (None, "x@y.z", "a", 0), (3, "1.2.3.4", "a", 0), (3, "1.2.3.4", "a", 0)]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, spans string, kind int")
