@@ -9,13 +9,15 @@ Other candidates in a format of their kind may well be what is looked for, so th
 from __future__ import annotations
 
 import hashlib
+import random
 import re
 import zlib
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from lectern.llm.boosting import Boosted, fit
 from lectern.llm.landing import batch
@@ -25,9 +27,9 @@ KINDS = ("email", "ip", "card", "phone")
 EMAIL, IP, CARD, PHONE = range(4)
 # A candidate that no base pattern matches is added from this calibrated probability on.
 MIN_PROBABILITY = 0.95
-# At most so many documents are learnt from, those with the smallest hashes of their ids.
-TRAIN_DOCS = 20_000
-MAX_CANDIDATES = 40_000
+# At most so many different base matches and other candidates of each kind are learnt from, those with the smallest hashes.
+BASE_SAMPLE = 2_000
+OTHER_SAMPLE = 8_000
 
 Span = tuple[int, int, int]  # start, kind, end
 
@@ -99,6 +101,28 @@ def base_spans(text: str) -> list[Span]:
     return sorted([*_emails(text), *_ips(text), *_cards(text), *_phones(text)])
 
 
+class Places:
+    """Sorted spans by where they touch: groups of spans that overlap each other, found by bisection."""
+
+    def __init__(self, spans: list[Span]) -> None:
+        self.groups: list[list[Span]] = []
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+        for span in spans:
+            if self.ends and span[0] < self.ends[-1]:
+                self.groups[-1].append(span)
+                self.ends[-1] = max(self.ends[-1], span[2])
+            else:
+                self.groups.append([span])
+                self.starts.append(span[0])
+                self.ends.append(span[2])
+
+    def near(self, start: int, end: int) -> list[Span]:
+        """The spans that share a character with the given place."""
+        groups = self.groups[bisect_right(self.ends, start) : bisect_left(self.starts, end)]
+        return [s for group in groups for s in group if s[0] < end and start < s[2]]
+
+
 # --- candidates
 
 _AT = re.compile(r" ?[(\[]at[)\]] ?| at (?=[A-Za-z0-9-]{1,63}(?: dot |\.))|@", re.IGNORECASE)
@@ -218,57 +242,116 @@ def _spoilt(piece: str, kind: int, salt: int) -> list[str]:
     return []
 
 
-def examples(text: str) -> Iterator[tuple[int, list[float], bool]]:
-    """``kind``, features and whether it is personal data, of a text's candidates and of its base matches rewritten.
+def natural(text: str) -> Iterator[tuple[bool, Span]]:
+    """A text's base matches, and its candidates that are not personal data of their kind.
 
     A candidate that touches no base match but is in a format of its kind may be either, and is left out.
     """
     base = base_spans(text)
+    places = Places(base)
+    for span in base:
+        yield True, span
     for start, kind, end in candidates(text):
-        near = [s for s in base if s[0] < end and start < s[2]]
-        exact = (start, kind, end) in near
-        if exact or (not near and not in_format(text[start:end], kind)):
-            yield kind, features(text, (start, kind, end)), exact
-        elif near and all(s[1] != kind for s in near):
-            yield kind, features(text, (start, kind, end)), False
-    for start, kind, end in base:
-        before, after = text[max(0, start - 100) : start], text[end : end + 100]
-        salt = zlib.crc32(text[start:end].encode())
-        for good, pieces in ((True, _other_formats(text[start:end], kind, salt)), (False, _spoilt(text[start:end], kind, salt))):
-            for piece in pieces:
-                if good and not in_format(piece, kind):
-                    continue
-                yield kind, features(before + piece + after, (len(before), kind, len(before) + len(piece))), good
-
-
-def train(docs: DataFrame, rows: int = TRAIN_DOCS) -> list[Boosted | None]:
-    """A model per kind, learnt from a sample of the documents; None for a kind without enough examples."""
-    picked = docs.select(F.col("doc_id").cast("bigint")).where("doc_id IS NOT NULL").distinct()
-    picked = picked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    schema = pa.schema([("kind", pa.int32()), ("good", pa.bool_()), ("x", pa.list_(pa.float32())), ("place", pa.int64())])
+        near = places.near(start, end)
+        if all(s[1] != kind for s in near) if near else not in_format(text[start:end], kind):
+            yield False, (start, kind, end)
+
+
+def examples(before: str, piece: str, after: str, kind: int, good: bool) -> Iterator[tuple[int, list[float], bool]]:
+    """``kind``, features and whether it is personal data, of a sampled piece in its context and, if good, of its rewrites."""
+
+    def seen(written: str) -> list[float]:
+        return features(before + written + after, (len(before), kind, len(before) + len(written)))
+
+    yield kind, seen(piece), good
+    if not good:
+        return
+    salt = zlib.crc32(piece.encode())
+    for written in _other_formats(piece, kind, salt):
+        if in_format(written, kind):
+            yield kind, seen(written), True
+    for written in _spoilt(piece, kind, salt):
+        yield kind, seen(written), False
+
+
+def made_up(number: int = 40) -> list[tuple[str, str, str, int, bool]]:
+    """Base matches of every kind that are always learnt from, so that no kind is without examples however rare it is."""
+    rnd = random.Random(5)
+    found = []
+    for i in range(number):
+        digits = "".join(rnd.choice("0123456789") for _ in range(15))
+        card = next(digits + c for c in "0123456789" if luhn(digits + c))
+        phone = f"({rnd.randint(200, 999)}) {rnd.randint(200, 999)}-{digits[:4]}"
+        email = f"{rnd.choice(['jo.lee', 'ann', 'k_roy', 'info'])}{digits[: i % 4]}@{rnd.choice(['mail.', 'a4.', '', ''])}{rnd.choice(['host', 'some-firm'])}.{rnd.choice(['com', 'org', 'de', 'info'])}"
+        ip = ".".join(str(rnd.randint(1, 255)) for _ in range(4))
+        for kind, piece in enumerate((email, ip, " ".join(card[j : j + 4] for j in range(0, 16, 4)), f"+1 {phone}")):
+            cue = (("mail ", "write to: "), ("host ", "address="), ("card ", "paid by: "), ("call ", "tel: "))[kind][i % 2]
+            before, after = ((f"Please {cue}", " today."), ("this is ", " here"), (f"x, {cue}", "\n"), ("", ""))[i // 2 % 4]
+            found.append((before, piece, after, kind, True))
+    return found
+
+
+def train(docs: DataFrame, base: int = BASE_SAMPLE, other: int = OTHER_SAMPLE) -> list[Boosted]:
+    """A model per kind, from a sample by hash of the different base matches and other candidates of all documents.
+
+    Every kind has its own share of both, so that neither a rare kind nor a frequent one crowds another out.
+    """
+    schema = pa.schema([("place", pa.int64()), ("good", pa.bool_()), ("kind", pa.int32()), ("before", pa.string()), ("piece", pa.string()), ("after", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for found in batches:
-            for part in slices(found["text"]):
-                some = [e for i in range(part.last - part.first) for e in examples(part.text(i).decode())]
-                place = [zlib.crc32(repr(e).encode()) for e in some]
-                yield batch(schema, [[e[0] for e in some], [e[2] for e in some], [list(map(float, e[1])) for e in some], place])
+        """The pieces of a task with the smallest hashes; a list is cut back when it is twice as long as it may be."""
+        kept: list[dict[int, tuple]] = [{} for _ in range(2 * len(KINDS))]
+        bounds = [1 << 63] * len(kept)
+
+        def cut(which: int, most: int) -> None:
+            if len(kept[which]) > most:
+                places = sorted(kept[which])[:most]
+                kept[which] = {p: kept[which][p] for p in places}
+                bounds[which] = places[-1]
 
-    texts = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).join(F.broadcast(picked), "doc_id").select("text")
-    found = texts.mapInArrow(run, "kind int, good boolean, x array<float>, place bigint")
-    sample = found.orderBy("place", "kind", "good", "x").limit(MAX_CANDIDATES).toArrow()
-    kind, good = (np.array(sample[c].to_pylist()) for c in ("kind", "good"))
-    x = np.array(sample["x"].to_pylist(), dtype=np.float32)
-    return [fit(x[kind == k], good[kind == k].astype(bool)) if (kind == k).any() else None for k in range(len(KINDS))]
+        for rows in batches:
+            for part in slices(rows["text"]):
+                for i in range(part.last - part.first):
+                    text = part.text(i).decode()
+                    for good, (start, kind, end) in natural(text):
+                        row = (text[max(0, start - 100) : start], text[start:end], text[end : end + 100])
+                        place = int.from_bytes(hashlib.blake2b("\0".join(row).encode(), digest_size=8).digest()) >> 1
+                        which = 2 * kind + good
+                        if place < bounds[which]:
+                            kept[which][place] = row
+                            most = base if good else other
+                            if len(kept[which]) >= 2 * most:
+                                cut(which, most)
+        for which, found in enumerate(kept):
+            cut(which, base if which % 2 else other)
+            found = kept[which]
+            n = len(found)
+            columns = [[row[c] for row in found.values()] for c in range(3)]
+            yield batch(schema, [list(found), [which % 2 == 1] * n, [which // 2] * n, *columns])
+
+    shape = "place bigint, good boolean, kind int, before string, piece string, after string"
+    found = docs.select(F.col("text").cast("string").alias("text")).where("text IS NOT NULL").mapInArrow(run, shape)
+    found = found.groupBy("good", "kind", "place").agg(*(F.min(c).alias(c) for c in ("before", "piece", "after")))
+    found = found.withColumn("n", F.row_number().over(Window.partitionBy("good", "kind").orderBy("place")))
+    sample = found.where(F.col("n") <= F.when(F.col("good"), base).otherwise(other)).orderBy("place", "good", "kind").toArrow().to_pylist()
+    rows = [(r["before"], r["piece"], r["after"], r["kind"], r["good"]) for r in sample]
+    some = [e for row in made_up() + rows for e in examples(*row)]
+    some.sort(key=lambda e: zlib.crc32(repr(e).encode()))
+    models = []
+    for k in range(len(KINDS)):
+        mine = [e for e in some if e[0] == k]
+        models.append(fit(np.array([e[1] for e in mine], dtype=np.float32), np.array([e[2] for e in mine], dtype=bool)))
+    return models
 
 
 # --- finding
 
 
-def all_spans(text: str, models: list[Boosted | None], min_probability: float = MIN_PROBABILITY) -> tuple[list[Span], list[Span]]:
+def all_spans(text: str, models: list[Boosted], min_probability: float = MIN_PROBABILITY) -> tuple[list[Span], list[Span]]:
     """Base spans, and those with the candidates added that are likely enough and touch no likelier one."""
     base = base_spans(text)
-    free = [c for c in candidates(text) if models[c[1]] is not None and not any(s[0] < c[2] and c[0] < s[2] for s in base)]
+    places = Places(base)
+    free = [c for c in candidates(text) if not places.near(c[0], c[2])]
     chosen: list[Span] = []
     if free:
         chances = np.zeros(len(free))
@@ -276,9 +359,11 @@ def all_spans(text: str, models: list[Boosted | None], min_probability: float =
             mine = [i for i, c in enumerate(free) if c[1] == k]
             if mine:
                 chances[mine] = model.probability(np.array([features(text, free[i]) for i in mine], dtype=np.float32))
-        for i in sorted(range(len(free)), key=lambda i: (-chances[i], free[i][0] - free[i][2], free[i])):
-            if chances[i] >= min_probability and not any(s[0] < free[i][2] and free[i][0] < s[2] for s in chosen):
-                chosen.append(free[i])
+        likely = np.flatnonzero(chances >= min_probability).tolist()
+        for i in sorted(likely, key=lambda i: (-chances[i], free[i][0] - free[i][2], free[i])):
+            at = bisect_left(chosen, free[i])
+            if (at == 0 or chosen[at - 1][2] <= free[i][0]) and (at == len(chosen) or free[i][2] <= chosen[at][0]):
+                chosen.insert(at, free[i])
     return base, sorted(base + chosen)
 
 

@@ -99,6 +99,18 @@ def test_formats_more_frequent_than_base_matches_are_found(spark):
         assert written == {text[a:b] for a, k, b in found[1] if (a, k, b) not in found[0]}, text
 
 
+def test_rare_kinds_and_small_or_crowded_tables_have_models(spark):
+    cases = (["nothing of interest"], ["1998-2003 and 20031997, " * 30 + str(i) for i in range(3000)])
+    for texts in cases:
+        texts = [*texts, "card 4539 5787 6362 1486", "paid by 4539.5787.6362.1486 then"]
+        models = pii.train(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"))
+        assert all(models)
+        for text, kind in [("ask for (407) 555-7710 there", "phone"), (texts[-1], "card"), ("or an.e7 (at) mail4.example.com here", "email")]:
+            assert [pii.KINDS[k] for _, k, _ in pii.all_spans(text, models)[1]] == [kind], text
+        for text in (texts[0], "in 1998-2003 there were 12345 items", "1,234,567.89 and 10.20.30", "we met at noon.Then", "years 2019 2020 2021"):
+            assert pii.all_spans(text, models)[1] == [], text
+
+
 def test_nulls_repeats_and_clashing_columns(spark):
     rows = [(1, None, "a", 0), (2, "", "a", 0), (None, "x@y.z", "a", 0), (3, "1.2.3.4", "a", 0), (3, "1.2.3.4", "a", 0)]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, spans string, kind int")
