@@ -14,6 +14,7 @@ import re
 import zlib
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -127,30 +128,58 @@ class Places:
 
 _AT = re.compile(r" ?[(\[]at[)\]] ?| at (?=[A-Za-z0-9-]{1,63}(?: dot |\.))|@", re.IGNORECASE)
 _SPELT = re.compile(r"[A-Za-z0-9-]{1,63}(?:(?: ?[(\[]dot[)\]] ?| dot |\.)[A-Za-z0-9-]{1,63}){1,4}", re.IGNORECASE)
-_NUMBER = re.compile(r"[+(]?[0-9][0-9 ().\-/]{5,38}[0-9]")
+_RUN = re.compile(r"[0-9](?:[0-9 ().\-/]*[0-9])?")
+# A written number has at most so many characters; a run of numbers has any number of them.
+_LONGEST = 41
 _GROUP = re.compile(r"[0-9]+")
+_DOTTED_ON = re.compile(r"\.[0-9]")
 _CUES = tuple(re.compile(p, re.IGNORECASE) for p in (r"mail|contact|write", r"\bip|host|server|addr", r"card|visa|pay", r"tel|phone|call|fax|mobile"))
 _CONTEXT = 24
-
-
-def candidates(text: str) -> list[Span]:
+# So many candidates are scored at a time.
+_BLOCK = 20_000
+
+
+def _numbers(text: str, first: int, last: int) -> Iterator[Span]:
+    """Every sequence of neighbouring digit groups in a run whose digits fit a kind: from each group at most 20."""
+    groups = [m.span() for m in _GROUP.finditer(text, first, last)]
+    for i, (start, _) in enumerate(groups):
+        lead = text[start - 1] if start else ""
+        chained = lead == "." and text[start - 2 : start - 1].isdigit()
+        n = 0
+        for j in range(i, len(groups)):
+            end = groups[j][1]
+            n += end - groups[j][0]
+            if n > 20 or end - start > _LONGEST:
+                break
+            if n < 4:
+                continue
+            opened = lead == "(" and text.count("(", start, end) < text.count(")", start, end)
+            at = start - (lead == "+" or opened)
+            if j - i == 3 and n <= 12 and text.count(".", start, end) == 3 and not chained and not _DOTTED_ON.match(text, end):
+                yield at, IP, end
+            if 12 <= n:
+                yield at, CARD, end
+            if 7 <= n <= 15:
+                yield at, PHONE, end
+
+
+def proposed(text: str) -> Iterator[Span]:
     """Spans that might be of a kind; they overlap each other, and one place may stand for several kinds."""
-    found: set[Span] = set()
     if "@" in text or "at)" in text or "at]" in text or " dot " in text:
         for m in _AT.finditer(text):
             local = text[max(0, m.start() - 64) : m.start()]
             start = m.start() - len(local) + len(local.rstrip(_LOCAL))
             domain = _SPELT.match(text, m.end())
             if domain and start < m.start():
-                found.add((start, EMAIL, domain.end()))
-    for m in _NUMBER.finditer(text):
-        pieces = [(m.start(), m.end())]
-        pieces += [(m.start() + p.start(), m.start() + p.end()) for p in re.finditer(r"[^ ]+", m[0])]
-        for start, end in pieces:
-            n = len(_digits(text[start:end]))
-            kinds = [k for k, low, high in ((IP, 4, 12), (CARD, 12, 20), (PHONE, 7, 15)) if low <= n <= high]
-            found.update((start, k, end) for k in kinds if n >= 7 or text.count(".", start, end) == 3)
-    return sorted(found)
+                yield start, EMAIL, domain.end()
+    for m in _RUN.finditer(text):
+        if m.end() - m.start() >= 7:
+            yield from _numbers(text, m.start(), m.end())
+
+
+def candidates(text: str) -> list[Span]:
+    """All proposed spans in order."""
+    return sorted(set(proposed(text)))
 
 
 def _side(c: str) -> int:
@@ -251,7 +280,7 @@ def natural(text: str) -> Iterator[tuple[bool, Span]]:
     places = Places(base)
     for span in base:
         yield True, span
-    for start, kind, end in candidates(text):
+    for start, kind, end in proposed(text):
         near = places.near(start, end)
         if all(s[1] != kind for s in near) if near else not in_format(text[start:end], kind):
             yield False, (start, kind, end)
@@ -270,10 +299,24 @@ def examples(before: str, piece: str, after: str, kind: int, good: bool) -> Iter
     for written in _other_formats(piece, kind, salt):
         if in_format(written, kind):
             yield kind, seen(written), True
+            if kind in (CARD, PHONE):
+                yield from _in_a_list(before, written, after, kind)
     for written in _spoilt(piece, kind, salt):
         yield kind, seen(written), False
 
 
+def _in_a_list(before: str, piece: str, after: str, kind: int) -> Iterator[tuple[int, list[float], bool]]:
+    """The piece between others like it; candidates of its kind that take parts of several are no such data."""
+    text = f"{before}{piece} {piece} {piece}{after}"
+    starts = [len(before) + i * (len(piece) + 1) for i in range(3)]
+    for start in starts:
+        yield kind, features(text, (start, kind, start + len(piece))), True
+    whole = {(start, start + len(piece)) for start in starts}
+    for start, k, end in candidates(text):
+        if k == kind and (start, end) not in whole and start < starts[2] + len(piece) and starts[0] < end and not in_format(text[start:end], kind):
+            yield kind, features(text, (start, kind, end)), False
+
+
 def made_up(number: int = 40) -> list[tuple[str, str, str, int, bool]]:
     """Base matches of every kind that are always learnt from, so that no kind is without examples however rare it is."""
     rnd = random.Random(5)
@@ -351,19 +394,19 @@ def all_spans(text: str, models: list[Boosted], min_probability: float = MIN_PRO
     """Base spans, and those with the candidates added that are likely enough and touch no likelier one."""
     base = base_spans(text)
     places = Places(base)
-    free = [c for c in candidates(text) if not places.near(c[0], c[2])]
-    chosen: list[Span] = []
-    if free:
-        chances = np.zeros(len(free))
+    free = (c for c in proposed(text) if not places.near(c[0], c[2]))
+    likely: list[tuple[float, int, Span]] = []
+    while some := list(islice(free, _BLOCK)):
         for k, model in enumerate(models):
-            mine = [i for i, c in enumerate(free) if c[1] == k]
+            mine = [c for c in some if c[1] == k]
             if mine:
-                chances[mine] = model.probability(np.array([features(text, free[i]) for i in mine], dtype=np.float32))
-        likely = np.flatnonzero(chances >= min_probability).tolist()
-        for i in sorted(likely, key=lambda i: (-chances[i], free[i][0] - free[i][2], free[i])):
-            at = bisect_left(chosen, free[i])
-            if (at == 0 or chosen[at - 1][2] <= free[i][0]) and (at == len(chosen) or free[i][2] <= chosen[at][0]):
-                chosen.insert(at, free[i])
+                chances = model.probability(np.array([features(text, c) for c in mine], dtype=np.float32))
+                likely += [(-chances[i], c[0] - c[2], c) for i, c in enumerate(mine) if chances[i] >= min_probability]
+    chosen: list[Span] = []
+    for _, _, span in sorted(likely):
+        at = bisect_left(chosen, span)
+        if (at == 0 or chosen[at - 1][2] <= span[0]) and (at == len(chosen) or span[2] <= chosen[at][0]):
+            chosen.insert(at, span)
     return base, sorted(base + chosen)
 
 

@@ -111,6 +111,26 @@ def test_rare_kinds_and_small_or_crowded_tables_have_models(spark):
             assert pii.all_spans(text, models)[1] == [], text
 
 
+def test_numbers_side_by_side_are_found_one_by_one(spark):
+    lists = [
+        ["(415) 555-0100", "(415) 555-0101", "(415) 555-0102"],
+        ["555 123 4567", "555 123 4568"],
+        ["4539 5787 6362 1486"] * 3,
+        [f"({200 + i}) 555-{i:04}" for i in range(300)],
+    ]
+    models = pii.train(spark.read.parquet("/root/testdata/sf0.1/documents.parquet"))
+    for numbers in lists:
+        text = "ask " + " ".join(numbers) + " there"
+        places = [(m.start(), m.end()) for n in dict.fromkeys(numbers) for m in re.finditer(re.escape(n), text)]
+        assert set(places) <= {(a, b) for a, _, b in pii.candidates(text)}
+        assert sorted(places) == [(a, b) for a, _, b in pii.all_spans(text, models)[1]]
+
+
+def test_candidates_grow_with_the_text():
+    for text in ("1 " * 100_000, "1." * 100_000, "1" + " " * 100_000 + "1", "(1" * 100_000, "1 " + "(" * 100_000, "1234 " * 40_000):
+        assert sum(1 for _ in pii.proposed(text)) <= 20 * len(text)
+
+
 def test_nulls_repeats_and_clashing_columns(spark):
     rows = [(1, None, "a", 0), (2, "", "a", 0), (None, "x@y.z", "a", 0), (3, "1.2.3.4", "a", 0), (3, "1.2.3.4", "a", 0)]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, spans string, kind int")
