@@ -36,10 +36,19 @@ PENALTY = 1e-5
 CHANCE = 0.05
 SEED = 7
 
-# Letters a to z are 1 to 26; EDGE stands before and after a word; other characters are left out.
+# Letters a to z are 1 to 26; EDGE stands before and after a word; letters of other scripts are hashed into the codes from
+# FOREIGN on, and those that look like one of a to z are read as it; Chinese characters and all others are left out.
 EDGE = 27
-LETTERS = 28
-FEATURES = LETTERS**3
+FOREIGN = 28
+LETTERS = 64
+_ALIKE = dict(zip("аеосрухіјѕԁһвкмнтԛԝαειοκνρτυχ", "aeocpyxijsdhbkmhtqwaeiokvptux"))
+# Digits between two letters are read as the letters they look like.
+_DIGITS = dict(zip("013457", "oieast"))
+# A word's foreign letters are written by code, each as one character of its own.
+_SHOWN = 0xE000
+# Subsequences of the codes below FOREIGN are numbered first, then those with a foreign letter.
+LATIN = FOREIGN**3
+FEATURES = LATIN + LETTERS**3
 _SKIPS = [(a, b) for a in range(1, MAX_SKIP + 2) for b in range(1, MAX_SKIP + 2)]
 
 
@@ -51,10 +60,29 @@ def _codes() -> np.ndarray:
         base = unicodedata.normalize("NFD", chr(point).lower())[0]
         if "a" <= base <= "z":
             table[point] = ord(base) - 96
+    for point in range(0x250, 0x20000):
+        char = chr(point)
+        if 0x3400 <= point <= 0x9FFF or 0xF900 <= point <= 0xFAFF:
+            continue
+        if unicodedata.category(char)[0] != "L" and unicodedata.category(char) not in ("Mc", "So"):
+            continue
+        base = char if 0xAC00 <= point <= 0xD7A3 else unicodedata.normalize("NFKD", char.lower())[0].lower()
+        base = _ALIKE.get(base, base)
+        if "a" <= base <= "z":
+            table[point] = ord(base) - 96
+        elif unicodedata.category(base)[0] in "LM":
+            table[point] = FOREIGN + zlib.crc32(base.encode()) % (LETTERS - FOREIGN)
+    table[_SHOWN : _SHOWN + LETTERS - FOREIGN] = np.arange(FOREIGN, LETTERS)
+    table[[ord(c) for c in "\u3000、。，！？；："]] = 255
     table[[ord(c) for c in " \t\n\v\f\r"]] = 255
     return table
 
 
+@lru_cache(maxsize=1)
+def _digit_codes() -> np.ndarray:
+    return np.array([ord(_DIGITS[d]) - 96 if d in _DIGITS else 0 for d in "0123456789"], dtype=np.uint8)
+
+
 @dataclass
 class Letters:
     """The letters of some texts: words stand between EDGE codes, and each text between two of those."""
@@ -68,9 +96,13 @@ class Letters:
 
 
 def letters_of(texts: list[str]) -> Letters:
-    """Case, accents, digits and marks are left out; single letters apart, as in ``i d i o t``, are read as one word."""
+    """Case, accents and marks are left out, and digits but for those inside words; single letters apart, as in ``i d i o t``, are read as one word."""
     joined = "\n" + "".join(t + "\n" for t in texts)
-    codes = _codes()[np.frombuffer(joined.encode("utf-32-le"), dtype=np.uint32)]
+    points = np.frombuffer(joined.encode("utf-32-le"), dtype=np.uint32)
+    codes = _codes()[points]
+    letter = (codes > 0) & (codes != 255)
+    inside = np.flatnonzero((points[1:-1] >= 48) & (points[1:-1] <= 57) & letter[:-2] & letter[2:]) + 1
+    codes[inside] = _digit_codes()[points[inside] - 48]
     edge = codes == 255
     codes[edge] = EDGE
     firsts = np.cumsum([0, *(len(t) + 1 for t in texts)])
@@ -89,6 +121,7 @@ def letters_of(texts: list[str]) -> Letters:
 def subsequences(letters: Letters) -> Iterator[tuple[np.ndarray, np.ndarray, float]]:
     """For each pair of skips: where a subsequence of three codes inside a word begins, which it is, its weight."""
     codes, edges = letters.codes.astype(np.int32), letters.edges
+    foreign = bool((codes >= FOREIGN).any())
     places = np.arange(len(codes))
     ahead = np.where(edges, places, len(codes))
     after = np.full(len(codes), len(codes))
@@ -99,7 +132,11 @@ def subsequences(letters: Letters) -> Iterator[tuple[np.ndarray, np.ndarray, flo
         if n <= 0:
             continue
         begin = np.flatnonzero(after[:n] >= places[:n] + reach)
-        which = (codes[begin] * LETTERS + codes[begin + a]) * LETTERS + codes[begin + reach]
+        one, two, three = codes[begin], codes[begin + a], codes[begin + reach]
+        which = (one * FOREIGN + two) * FOREIGN + three
+        if foreign:
+            other = np.maximum(np.maximum(one, two), three) >= FOREIGN
+            which = np.where(other, LATIN + (one * LETTERS + two) * LETTERS + three, which)
         yield begin, which, DECAY ** (reach - 2)
 
 
@@ -130,7 +167,7 @@ def text_scores(texts: list[str], weights: np.ndarray) -> np.ndarray:
 
 def word_list(texts: list[str]) -> list[list[str]]:
     """The distinct words of each text, as the kernel reads them."""
-    names = np.array(["", *map(chr, range(97, 123)), " "])
+    names = np.array(["", *map(chr, range(97, 123)), " ", *map(chr, range(_SHOWN, _SHOWN + LETTERS - FOREIGN))])
     letters = letters_of(texts)
     shown = "".join(names[letters.codes].tolist())
     return [sorted(set(shown[a:b].split())) for a, b in zip(letters.firsts[:-1].tolist(), letters.firsts[1:].tolist())]
@@ -153,13 +190,16 @@ def _maps(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def kernel(words: list[str], landmarks: list[str]) -> np.ndarray:
     """Subsequence kernel of every word with every landmark."""
     row, which, weight = _maps(landmarks)
-    table = np.zeros((FEATURES, len(landmarks)), dtype=np.float32)
-    np.add.at(table, (which, row), weight)
+    used = np.unique(which)
+    place = np.full(FEATURES, len(used))  # the last row of the table is that of all subsequences no landmark has
+    place[used] = np.arange(len(used))
+    table = np.zeros((len(used) + 1, len(landmarks)), dtype=np.float32)
+    np.add.at(table, (place[which], row), weight)
     result = np.zeros((len(words), len(landmarks)), dtype=np.float32)
     for at in range(0, len(words), 200):
         row, which, weight = _maps(words[at : at + 200])
         firsts = np.flatnonzero(np.diff(row, prepend=-1))
-        entries = table[which] * weight[:, None].astype(np.float32)
+        entries = table[place[which]] * weight[:, None].astype(np.float32)
         result[at + row[firsts]] = np.add.reduceat(entries, firsts, axis=0)
     return result
 

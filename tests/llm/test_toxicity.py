@@ -70,3 +70,21 @@ def test_nulls_fold_and_clashing_columns(spark):
     assert toxicity.score_texts(docs.limit(0), labels).count() == 0
     none = toxicity.score_texts(docs, labels.limit(0)).select("score").distinct().collect()
     assert [r.score for r in none] == [0.5]
+
+
+def test_texts_in_other_scripts_are_learnt_and_found():
+    rnd = np.random.default_rng(3)
+    for letters, insults in (("абвгдежзиклмнопрстуфхцчшыьэюя", ["дурачина", "мерзавец"]), ("αβγδεζηθικλμνξοπρστυφχψω", ["ηλιθιος", "βλακεντιος"]), ("ابتثجحدرزسشصطعغفقكلمنهوي", ["احمقجدا", "غبيتماما"])):
+        ordinary = ["".join(rnd.choice(list(letters), rnd.integers(3, 9))) for _ in range(400)]
+        texts = [" ".join(rnd.choice(ordinary, 30)) for _ in range(600)]
+        toxic = np.arange(600) % 3 == 0
+        texts = [f"{t} {insults[i % 2]} {ordinary[i % 400]}" if toxic[i] else t for i, t in enumerate(texts)]
+        words = toxicity.word_list(texts)
+        weights = toxicity.learn_weights([words[i] for i in range(300) if toxic[i]], [words[i] for i in range(300) if not toxic[i]])
+        scores = toxicity.text_scores(texts[300:], weights)
+        assert scores[toxic[300:]].min() > scores[~toxic[300:]].max(), insults
+
+
+def test_look_alikes_and_digits_inside_words_are_read_as_letters():
+    assert toxicity.word_list(["id1ot іdiоt ｉｄｉｏｔ i d i o t", "2019 5 a1 7b"]) == [["idiot"], ["a", "b"]]
+    assert toxicity.word_list(["дурак"])[0] != toxicity.word_list([""])[0]
