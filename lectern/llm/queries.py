@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from lectern.llm import decontaminate, linededup, mixing, pii, quality, sharding, simhash, substrings, tokencounts, toxicity
+from lectern.llm import decontaminate, linededup, mixing, pii, quality, repair, sharding, simhash, substrings, tokencounts, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -165,3 +165,104 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_benchmark_decontamination")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def damaged(conversations: DataFrame) -> DataFrame:
+    """Turns dropped, emptied, cut, repeated or given to the user, by a checksum of their id and number."""
+    shown = [F.coalesce(F.col(c).cast("string"), F.lit(" ")) for c in ("conv_id", "turn")]
+    kind = F.crc32(F.concat(shown[0], F.lit(":"), shown[1])) % 20
+    role, text = (F.coalesce(F.col(c).cast("string"), F.lit(" ")) for c in ("role", "text"))
+    rows = conversations.select("conv_id", "turn", role.alias("role"), text.alias("text"), kind.alias("kind")).where("kind <> 0")
+    text = F.when(F.col("kind") == 1, "").when(F.col("kind") == 2, F.translate("text", ".!?", "")).otherwise(F.col("text"))
+    rows = rows.select(
+        "conv_id", "turn", F.when(F.col("kind") == 4, "user").otherwise(F.col("role")).alias("role"), text.alias("text"),
+        F.explode(F.when(F.col("kind") == 3, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("copy"),
+    )
+    return rows.drop("copy")
+
+
+def _repair_sql() -> str:
+    """The grammar's states are nothing yet, after system, after user, after assistant: places 1 to 4 of ``f``.
+
+    Each of them has the cheapest cost, edits and transcript from a turn to the end; equal costs are told by the edits.
+    """
+
+    def way(cost: str, edit: str, line: str, place: int, of: str = "f") -> str:
+        at = f"{of}[{place}]"
+        return f"struct_pack(c := {at}.c + {cost}, a := '{edit}' || {at}.a, o := {line} || {at}.o)"
+
+    put_in = {1: ("user", 3), 2: ("user", 3), 3: ("assistant", 4), 4: ("user", 3)}
+    stays = {1: {"s": 2, "u": 3}, 2: {"u": 3}, 3: {"a": 4}, 4: {"u": 3}}
+    judged, given = [], []
+    for place, (role, to) in put_in.items():
+        ways = [way("4", "D", "''", place)]
+        turned = way("3 + extra", "R", f"chr(10) || '{role}:' || text", to)
+        ways.append(f"CASE WHEN fault NOT IN (1, 2) THEN {turned} END")
+        for initial, after in stays[place].items():
+            kept = way("extra", "K", "chr(10) || role || ':' || text", after)
+            ways.append(f"CASE WHEN fault NOT IN (1, 2) AND role[1] = '{initial}' THEN {kept} END")
+        judged.append(f"list_min(list_filter([{', '.join(ways)}], lambda w: w IS NOT NULL))")
+        once = way("3", "I", f"chr(10) || '{role}:'", to, "g")
+        second, beyond = put_in[to]
+        twice = way("6", "II", f"chr(10) || '{role}:' || chr(10) || '{second}:'", beyond, "g")
+        given.append(f"list_min([g[{place}], {once}, {twice}])")
+    return rf"""
+    WITH RECURSIVE crc AS (
+      SELECT list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0],
+        lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t
+    ), kinds AS (
+      SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+        xor(list_reduce(list_prepend(4294967295, list_transform(
+          string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''), lambda x: ascii(x)::BIGINT)),
+          lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) % 20 AS kind
+      FROM conversations, crc
+    ), harmed AS (
+      SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+        CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+        unnest(CASE WHEN kind = 3 THEN [0, 1] ELSE [0] END) AS copy
+      FROM kinds WHERE kind <> 0
+    ), numbered AS (
+      SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(text), copy) AS i FROM harmed
+    ), faults AS (
+      SELECT *, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 1
+        WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 2
+        WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') THEN 3 ELSE 0 END AS fault,
+        lead(role) OVER (PARTITION BY conv_id ORDER BY i) AS following
+      FROM numbered
+    ), turns AS (SELECT *, CASE WHEN fault = 3 THEN 3 ELSE 0 END AS extra FROM faults),
+    counted AS (
+      SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+        count_if(fault = 1) AS blank, count_if(fault = 2) AS duplicate, count_if(fault = 3) AS truncated,
+        count_if(following IS NOT NULL AND role[1] || following[1] NOT IN ('su', 'ua', 'au')) AS illegal
+      FROM turns GROUP BY conv_id
+    ), ways(conv_id, i, f) AS (
+      SELECT conv_id, n + 1, [struct_pack(c := 0::BIGINT, a := '', o := ''),
+        struct_pack(c := 6::BIGINT, a := 'II', o := chr(10) || 'user:' || chr(10) || 'assistant:'),
+        struct_pack(c := 3::BIGINT, a := 'I', o := chr(10) || 'assistant:'), struct_pack(c := 0::BIGINT, a := '', o := '')]
+      FROM counted
+      UNION ALL
+      SELECT conv_id, i, [{', '.join(given)}]
+      FROM (SELECT w.conv_id, t.i, [{', '.join(judged)}] AS g
+        FROM ways w JOIN turns t ON w.conv_id IS NOT DISTINCT FROM t.conv_id AND w.i = t.i + 1)
+    ), best AS (SELECT conv_id, f[1] AS b FROM ways WHERE i = 1)
+    SELECT ids.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate,
+      coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal, coalesce(b.c, 0)::BIGINT AS cost,
+      coalesce(b.a, '') AS audit, sha256(coalesce(substr(b.o, 2), '')) AS repaired_sha256
+    FROM (SELECT DISTINCT conv_id FROM conversations) ids
+    LEFT JOIN counted ON ids.conv_id IS NOT DISTINCT FROM counted.conv_id
+    LEFT JOIN best ON ids.conv_id IS NOT DISTINCT FROM best.conv_id
+    """
+
+
+@query("op13_conversation_repair", _repair_sql())
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = _table(spark, sf_dir, "conversations")
+    repaired = repair.repair(damaged(conversations))
+    summary, digests = repaired.summary, repair.transcript_digests(repaired.turns)
+    ids = conversations.select(F.col("conv_id").cast("bigint")).distinct()
+    told = ids.join(summary, repair.same_id(ids, summary), "left").join(digests, repair.same_id(ids, digests), "left")
+    numbers = [F.coalesce(summary[c], F.lit(0).cast("bigint")).alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return told.select(
+        ids["conv_id"], *numbers, F.coalesce("audit", F.lit("")).alias("audit"),
+        F.coalesce("sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"),
+    )
