@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from lectern.llm import decontaminate, linededup, mixing, pii, quality, repair, sharding, simhash, substrings, tokencounts, toxicity
+from lectern.llm import decontaminate, linededup, mixing, pii, quality, repair, secrets, sharding, simhash, substrings, tokencounts, toxicity, whitening
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -33,9 +33,8 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-@query("op1_pii")
-def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = pii.find_spans(_table(spark, sf_dir, "documents"))
+def _span_columns(found: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
+    """Counts and a digest of the base spans, and all spans as text."""
 
     def joined(spans: str) -> Column:
         return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
@@ -43,7 +42,12 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     def count(kind: str) -> Column:
         return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
 
-    return found.select("doc_id", *map(count, pii.KINDS), F.sha2(joined("base"), 256).alias("base_sha256"), joined("spans").alias("spans"))
+    return found.select("doc_id", *map(count, kinds), F.sha2(joined("base"), 256).alias("base_sha256"), joined("spans").alias("spans"))
+
+
+@query("op1_pii")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _span_columns(pii.find_spans(_table(spark, sf_dir, "documents")), pii.KINDS)
 
 
 @query("op2_quality")
@@ -167,6 +171,16 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+@query("op11_secrets")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _span_columns(secrets.find_secrets(_table(spark, sf_dir, "documents")), secrets.BASE_KINDS)
+
+
+@query("op12_whitening")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(_table(spark, sf_dir, "embeddings"))
+
+
 def damaged(conversations: DataFrame) -> DataFrame:
     """Turns dropped, emptied, cut, repeated or given to the user, by a checksum of their id and number."""
     shown = [F.coalesce(F.col(c).cast("string"), F.lit(" ")) for c in ("conv_id", "turn")]
