@@ -23,6 +23,69 @@ def _score(a, b):
     return best
 
 
+def _held(item, text):
+    """The share of the item's full score that alignment alone finds, if it is enough. No word gains more than two."""
+    present = set(text)
+    if 2 * sum(w in present for w in item) < _least(item) or (s := _score(item, text)) < _least(item):
+        return None
+    return min(1.0, s / (2 * min(len(item), 50)))
+
+
+def _least(words):
+    full = 2 * min(len(words), 50)
+    return max(0.4 * full, min(full, 6))
+
+
+EDITS = {
+    "every third word replaced": lambda w, rnd: [x if i % 3 else f"r{i}" for i, x in enumerate(w)],
+    "every third word left out": lambda w, rnd: [x for i, x in enumerate(w) if i % 3],
+    "every fourth and fifth word left out": lambda w, rnd: [x for i, x in enumerate(w) if i % 5 > 1],
+    "a foreign word behind every second": lambda w, rnd: [y for i, x in enumerate(w) for y in ([x, f"p{i}"] if i % 2 else [x])],
+    "a foreign word behind every word": lambda w, rnd: [y for i, x in enumerate(w) for y in (x, f"p{i}")],
+    "a third replaced at random": lambda w, rnd: [f"r{i}" if rnd.random() < 1 / 3 else x for i, x in enumerate(w)],
+    "a half replaced at random": lambda w, rnd: [f"r{i}" if rnd.random() < 1 / 2 else x for i, x in enumerate(w)],
+    "a third left out at random": lambda w, rnd: [x for x in w if rnd.random() > 1 / 3],
+    "some neighbours swapped": lambda w, rnd: [x for i in range(0, len(w), 2) for x in w[i : i + 2][:: -1 if i % 6 == 0 else 1]],
+}
+
+
+@pytest.mark.parametrize("edit", EDITS)
+def test_every_copy_that_alignment_alone_accepts_is_found(spark, sf_dir, edit):
+    rnd = random.Random(edit)
+    items = {r.item_id: _plain(r.text) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()}
+    filler = [w for r in spark.read.parquet(f"{sf_dir}/documents.parquet").limit(200).collect() for w in _plain(r.text)][:20_000]
+    docs, want = [], {}
+    for i, words in items.items():
+        passage = EDITS[edit](words, rnd)
+        a = rnd.randrange(len(filler) - 200)
+        text = filler[a : a + 60] + passage + filler[a + 60 : a + 120]
+        docs.append((i, " ".join(text)))
+        for j, other in items.items():
+            if (share := _held(other, text)) is not None:
+                want[i, j] = share
+    docs = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(3)
+    found = {(r.doc_id, r.item_id): r.score for r in decontaminate.contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).collect()}
+    assert found == pytest.approx(want) and len(want) > 0
+
+
+def test_random_items_of_few_different_words(spark):
+    rnd = random.Random(11)
+    vocabulary = [f"v{i}" for i in range(60)]
+    draw = lambda n: [rnd.choice(vocabulary) for _ in range(n)]
+    items = {i: draw(rnd.choice([1, 2, 3, 4, 5, 6, 8, 11, 15, 20, 60, 120])) for i in range(40)}
+    texts = {}
+    for d in range(150):
+        words = items[rnd.randrange(40)]
+        a = rnd.randrange(len(words))
+        some = [w for w in words[a : a + rnd.randrange(5, 80)] if rnd.random() < 0.8]
+        texts[d] = draw(rnd.randrange(30)) + [y for w in some for y in ([w] if rnd.random() < 0.7 else [w, "other"])] + draw(rnd.randrange(30))
+    want = {(d, i): share for d, t in texts.items() for i, w in items.items() if (share := _held(w, t)) is not None}
+    docs = spark.createDataFrame([(d, " ".join(t)) for d, t in texts.items()], "doc_id bigint, text string")
+    tests = spark.createDataFrame([(i, " ".join(w)) for i, w in items.items()], "item_id bigint, text string")
+    found = {(r.doc_id, r.item_id): r.score for r in decontaminate.contaminated(docs, tests).collect()}
+    assert found == pytest.approx(want) and {len(items[i]) for _, i in want} >= {1, 2, 3, 4}
+
+
 def test_alignment_equals_the_plain_one():
     rnd = random.Random(4)
     for _ in range(300):
@@ -46,11 +109,9 @@ def test_whole_table_against_all_pairs(spark, small_dir, monkeypatch, block_word
     texts = [(r.doc_id, _plain(r.text)) for r in docs.collect()]
     for item in items.collect():
         words = _plain(item.text)
-        full = 2 * min(len(words), 50)
-        grams = {tuple(words[i : i + 3]) for i in range(len(words) - 2)}
         for doc, text in texts:
-            if grams & {tuple(text[i : i + 3]) for i in range(len(text) - 2)} and (s := _score(words, text)) >= 0.4 * full:
-                want[doc, item.item_id] = min(1.0, s / full)
+            if (share := _held(words, text)) is not None:
+                want[doc, item.item_id] = share
     assert found == pytest.approx(want) and want
 
 
