@@ -104,16 +104,22 @@ def soft_label_loss(
     """Per example: counted tokens, mean losses scaled by the squared temperature, and their blend.
 
     ``soft_ce`` is what training minimises; ``kl`` is the same less the teacher's entropy. An example
-    without counted tokens has losses of 0. ``n_refused`` counts positions that could not be judged.
+    without counted tokens has losses of 0. ``n_refused`` counts positions that could not be judged, ``n_hard``
+    those with a hard loss: a counted position whose label is not among its entries has none.
     """
+    return _by_example(token_losses(logits, temperature, wide_vocabulary=wide_vocabulary), temperature, alpha)
+
+
+def _by_example(losses: DataFrame, temperature: float, alpha: float) -> DataFrame:
     scale = float(temperature) ** 2
 
     def mean(column: str) -> Column:
         return F.coalesce(F.avg(column), F.lit(0.0))
 
-    per_example = token_losses(logits, temperature, wide_vocabulary=wide_vocabulary).groupBy("example_id").agg(
+    per_example = losses.groupBy("example_id").agg(
         F.count("soft_ce").alias("n_tokens"),
         F.count_if("refused").alias("n_refused"),
+        F.count("hard_ce").alias("n_hard"),
         (mean("soft_ce") * scale).alias("soft_ce"),
         (mean("kl") * scale).alias("kl"),
         mean("hard_ce").alias("hard_ce"),
@@ -121,11 +127,103 @@ def soft_label_loss(
     return per_example.withColumn("loss", alpha * F.col("soft_ce") + (1 - alpha) * F.col("hard_ce"))
 
 
-def loss_total(losses: DataFrame) -> DataFrame:
-    """One row for the whole table: every token weighs the same, however long its example is."""
-    tokens = F.sum("n_tokens")
-    means = [(F.coalesce(F.sum(F.col(c) * F.col("n_tokens")) / F.nullif(tokens, F.lit(0)), F.lit(0.0))).alias(c) for c in ("soft_ce", "kl", "hard_ce", "loss")]
-    return losses.agg(F.count(F.lit(1)).alias("n_examples"), F.coalesce(tokens, F.lit(0)).alias("n_tokens"), *means)
+def loss_total(losses: DataFrame, alpha: float = fixed.LOSS_ALPHA) -> DataFrame:
+    """One row for the whole table: every token weighs the same, however long its example is.
+
+    Each loss is a mean over the tokens that have it, and their blend is of these means.
+    """
+
+    def mean(column: str, count: str) -> Column:
+        return F.coalesce(F.sum(F.col(column) * F.col(count)) / F.nullif(F.sum(count), F.lit(0)), F.lit(0.0)).alias(column)
+
+    total = losses.agg(
+        F.count(F.lit(1)).alias("n_examples"),
+        F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("n_tokens"),
+        *[mean(c, n) for c, n in (("soft_ce", "n_tokens"), ("kl", "n_tokens"), ("hard_ce", "n_hard"))],
+    )
+    return total.withColumn("loss", alpha * F.col("soft_ce") + (1 - alpha) * F.col("hard_ce"))
+
+
+# Logits are summed up as powers of e within bands of this width, so that no term leaves the range of a double.
+BAND = 64.0
+
+
+def entry_losses(entries: DataFrame, temperature: float = fixed.LOSS_TEMPERATURE, *, unique: bool = False) -> DataFrame:
+    """``token_losses`` of ``example_id, pos, label, token_id, student, teacher``, one row per vocabulary entry.
+
+    No distribution is gathered: a position's entries are summed up in bands of logits, before they are shuffled
+    and after. Its few bands are then brought to the highest one. Band sums of one position can be merged in any
+    order, so a position of any width may lie in many splits.
+
+    The entries kept for a position stand for the whole distribution, as in ``pack_logits``: copies of an entry
+    count once, a label outside them has no hard loss, and a position with a null or NaN among them is refused.
+    ``unique`` says that there are no copies, which saves a shuffle of all entries.
+    """
+    columns = [F.col(c).cast("double").alias(c) for c in ("student", "teacher")]
+    rows = entries.select("example_id", "pos", "label", "token_id", *columns)
+    if not unique:
+        rows = rows.distinct()
+    labelled = F.coalesce(F.col("label") != fixed.IGNORED_LABEL, F.lit(False))
+    sound = F.lit(True)
+    for side in ("student", "teacher"):
+        sound &= F.col(side).isNotNull() & ~F.isnan(side)
+    s, t = F.col("student") / F.lit(float(temperature)), F.col("teacher") / F.lit(float(temperature))
+    rows = rows.select(
+        "example_id", "pos", "label", labelled.alias("labelled"), sound.alias("sound"), (F.col("token_id") == F.col("label")).alias("at_label"),
+        F.col("student").alias("raw"), s.alias("s"), t.alias("t"),
+    ).select("*", *[F.floor(F.col(c) / BAND).alias(f"{c}_band") for c in ("raw", "s", "t")])
+
+    def power(c: str) -> Column:
+        return F.exp(F.col(c) - F.col(f"{c}_band") * BAND)
+
+    key = ["example_id", "pos", "label"]
+    # Entries that are not counted only say that they are there.
+    used = [F.when(F.col("labelled") & F.col("sound"), F.col(f"{c}_band")).alias(f"{c}_band") for c in ("raw", "s", "t")]
+    bands = rows.withColumns({f"{c}_band": u for c, u in zip(("raw", "s", "t"), used)}).groupBy(*key, "raw_band", "s_band", "t_band").agg(
+        F.first("labelled").alias("labelled"),
+        F.bool_and("sound").alias("sound"),
+        F.min(F.when(F.col("at_label"), F.col("raw"))).alias("raw_at_label"),
+        F.sum(power("raw")).alias("raw_sum"),
+        F.sum(power("s")).alias("s_sum"),
+        F.sum(power("t")).alias("t_sum"),
+        F.sum(power("t") * F.col("s")).alias("ts_sum"),
+        F.sum(power("t") * F.col("t")).alias("tt_sum"),
+    )
+    sums = ("raw_sum", "s_sum", "t_sum", "ts_sum", "tt_sum")
+    positions = bands.groupBy(*key).agg(
+        F.first("labelled").alias("labelled"),
+        F.bool_and("sound").alias("sound"),
+        F.min("raw_at_label").alias("raw_at_label"),
+        *[F.max(f"{c}_band").alias(f"{c}_top") for c in ("raw", "s", "t")],
+        F.collect_list(F.struct("raw_band", "s_band", "t_band", *sums)).alias("bands"),
+    )
+
+    def total(column: str, band: str) -> Column:
+        def scaled(b: Column) -> Column:
+            return b[column] * F.exp((b[f"{band}_band"] - F.col(f"{band}_top")) * BAND)
+
+        return F.aggregate("bands", F.lit(0.0), lambda acc, b: acc + F.coalesce(scaled(b), F.lit(0.0)))
+
+    def log_sum(c: str) -> Column:
+        return F.col(f"{c}_top") * BAND + F.log(F.col(f"{c}_sum"))
+
+    positions = positions.withColumns({"raw_sum": total("raw_sum", "raw"), "s_sum": total("s_sum", "s"), **{c: total(c, "t") for c in ("t_sum", "ts_sum", "tt_sum")}})
+    counted = F.col("labelled") & F.col("sound")
+    return positions.select(
+        "example_id",
+        "pos",
+        (F.col("labelled") & ~F.col("sound")).alias("refused"),
+        F.when(counted, log_sum("s") - F.col("ts_sum") / F.col("t_sum")).alias("soft_ce"),
+        F.when(counted, log_sum("t") - F.col("tt_sum") / F.col("t_sum")).alias("teacher_entropy"),
+        F.when(counted, log_sum("raw") - F.col("raw_at_label")).alias("hard_ce"),
+    ).withColumn("kl", F.col("soft_ce") - F.col("teacher_entropy"))
+
+
+def soft_label_loss_of_entries(
+    entries: DataFrame, temperature: float = fixed.LOSS_TEMPERATURE, alpha: float = fixed.LOSS_ALPHA, *, unique: bool = False
+) -> DataFrame:
+    """``soft_label_loss`` over one row per vocabulary entry."""
+    return _by_example(entry_losses(entries, temperature, unique=unique), temperature, alpha)
 
 
 def pack_logits(entries: DataFrame) -> DataFrame:

@@ -8,15 +8,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from lectern import fixed
 from lectern.functions import rewards, text as tx
-from lectern.operators import combine, conversations, formats, funnel, generate, resume, sampling, scoring, softloss, tokens
+from lectern.operators import combine, conversations, formats, funnel, generate, positions, resume, sampling, scoring, softloss, tokens
 from lectern.plans import prepare, score, teacher
 from lectern.session import scratch_path
 from lectern.sources.load import SourceSpec, load_source, load_sources
-from lectern.sources.sinks import write_jsonl, write_shards
+from lectern.sources.sinks import write_json_arrays, write_jsonl, write_shards
 from lectern.streaming.incremental import run_incremental
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -148,13 +148,22 @@ def source_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def source_json_array(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The benchmark as one JSON array, which Spark reads as a whole: its rows are known by their content."""
+    """The benchmark as JSON arrays without a key: rows are known by their content."""
     path = scratch_path(spark, "benchmark-array")
     items = table(spark, sf_dir, "benchmark")
-    items.agg(F.to_json(F.sort_array(F.collect_list(F.struct(*items.columns)))).alias("value")).write.text(path)
+    write_json_arrays(items, path)
     return load_source(spark, SourceSpec(path, name="benchmark", format="json", schema=items.schema, json_array=True))
 
 
+def source_json_array_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as JSON arrays, each read by as many tasks as it has splits."""
+    path = scratch_path(spark, "documents-array")
+    docs = table(spark, sf_dir, "documents")
+    write_json_arrays(docs, path)
+    spec = SourceSpec(path, name="documents", format="json", schema=docs.schema, json_array=True, key="doc_id")
+    return load_source(spark, spec).drop("source").withColumnRenamed("own_source", "source")
+
+
 def sample_cap_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A cap over two JSON sources without keys and of one name."""
     paths = [scratch_path(spark, name) for name in ("documents", "pages")]
@@ -433,6 +442,38 @@ def teacher_job(spark: SparkSession, sf_dir: str) -> DataFrame:
     return combine.union_align([records, spark.read.parquet(f"{path}/quarantine")])
 
 
+def teacher_resume(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two runs of the job over all rows; the first ends half-way, the second asks the rest and what had failed."""
+
+    def load_first():
+        def run(batch):
+            if any("Write in fr" in prompt for prompt in batch):
+                raise ValueError("refused")
+            return ["first"] * len(batch)
+
+        return run
+
+    def load_second():
+        return lambda batch: ["second"] * len(batch)
+
+    path, rows = scratch_path(spark, "teacher"), instructions(spark, sf_dir)
+    half = rows.where(F.col("doc_id") % 2 == 0)
+    teacher.teacher_job(half, load_first, path, order=("doc_id",))
+    teacher.teacher_job(rows, load_second, path, order=("doc_id",), ask_failed_again=True)
+    schema = "instruction string, input string, original_output string, teacher_output string, text string"
+    return spark.read.schema(schema).json(f"{path}/records")
+
+
+def positional_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, turns = table(spark, sf_dir, "documents"), table(spark, sf_dir, "conversations")
+    return positions.zip_rows(docs.select("doc_id", "text"), turns.select("conv_id", "turn", "role")).drop("position")
+
+
+def positional_zip_padded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, pages = table(spark, sf_dir, "documents"), table(spark, sf_dir, "pages")
+    return positions.zip_rows(docs.select("doc_id", "text"), pages, padded=True).drop("position")
+
+
 # --- Scoring -----------------------------------------------------------------------------------------
 
 
@@ -521,13 +562,30 @@ def soft_label_loss_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded_losses(softloss.soft_label_loss(logits(spark, sf_dir), wide_vocabulary=True))
 
 
-def soft_label_loss_long(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _logit_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = logits(spark, sf_dir).where(F.size("teacher") > 0)
     pairs = pairs.withColumn("e", F.arrays_zip("student", F.slice("teacher", 1, F.size("student")).alias("teacher")))
-    entries = pairs.select("example_id", "pos", "label", F.posexplode("e").alias("token_id", "e")).select(
+    return pairs.select("example_id", "pos", "label", F.posexplode("e").alias("token_id", "e")).select(
         "example_id", "pos", "label", "token_id", "e.student", "e.teacher"
     )
-    return _rounded_losses(softloss.soft_label_loss(softloss.pack_logits(entries)))
+
+
+def soft_label_loss_long(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded_losses(softloss.soft_label_loss(softloss.pack_logits(_logit_entries(spark, sf_dir))))
+
+
+def soft_label_loss_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same without gathering any distribution."""
+    return _rounded_losses(softloss.soft_label_loss_of_entries(_logit_entries(spark, sf_dir)))
+
+
+def loss_total_top(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of the entries of each position only those above its mean are kept, so many labels have no hard loss."""
+    entries = _logit_entries(spark, sf_dir)
+    mean = F.avg("teacher").over(Window.partitionBy("example_id", "pos"))
+    kept = entries.withColumn("mean", mean).where(F.col("teacher") > F.col("mean")).drop("mean")
+    total = softloss.loss_total(softloss.soft_label_loss_of_entries(kept, unique=True))
+    return total.select("n_examples", "n_tokens", *[F.round(c, 6).alias(c) for c in ("soft_ce", "kl", "hard_ce", "loss")])
 
 
 def loss_total(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -622,6 +680,7 @@ QUERIES: dict[str, Query] = {
     for q in (
         source_json,
         source_json_array,
+        source_json_array_split,
         source_parquet,
         multi_source,
         multi_source_same_name,
@@ -662,6 +721,9 @@ QUERIES: dict[str, Query] = {
         generation_failures,
         teacher_record,
         teacher_job,
+        teacher_resume,
+        positional_zip,
+        positional_zip_padded,
         format_reward,
         correctness_reward,
         reward_total,
@@ -674,6 +736,8 @@ QUERIES: dict[str, Query] = {
         soft_label_loss,
         soft_label_loss_wide,
         soft_label_loss_long,
+        soft_label_loss_entries,
+        loss_total_top,
         loss_total,
         pending_rows,
         incremental_format,

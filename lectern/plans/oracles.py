@@ -373,6 +373,29 @@ ORACLES: dict[str, str] = {
     "soft_label_loss": LOSSES,
     "soft_label_loss_wide": LOSSES,
     "soft_label_loss_long": LONG_LOSSES,
+    "soft_label_loss_entries": LONG_LOSSES,
+    "loss_total_top": f"""
+        WITH pairs AS (
+          SELECT a.vec_id // 10 AS example_id, a.vec_id % 10 AS pos, a.label, unnest(a.embedding)::DOUBLE AS raw,
+                 unnest(b.embedding)::DOUBLE AS teacher, generate_subscripts(a.embedding, 1) - 1 AS token_id
+          FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1 WHERE a.vec_id % 11 <> 0
+        ), kept AS (
+          SELECT *, raw / {fixed.LOSS_TEMPERATURE} AS s, teacher / {fixed.LOSS_TEMPERATURE} AS t
+          FROM pairs QUALIFY teacher > avg(teacher) OVER (PARTITION BY example_id, pos)
+        ), tokens AS (
+          SELECT example_id, ln(sum(exp(s))) - sum(exp(t) * s) / sum(exp(t)) AS soft_ce,
+                 ln(sum(exp(t))) - sum(exp(t) * t) / sum(exp(t)) AS entropy,
+                 ln(sum(exp(raw))) - max(raw) FILTER (WHERE token_id = label) AS hard_ce, label <> 0 AS counted
+          FROM kept GROUP BY example_id, pos, label
+        ), total AS (
+          SELECT count(DISTINCT example_id) AS n_examples, count(*) FILTER (WHERE counted) AS n_tokens,
+                 avg(soft_ce) FILTER (WHERE counted) * {fixed.LOSS_TEMPERATURE ** 2} AS soft_ce,
+                 avg(soft_ce - entropy) FILTER (WHERE counted) * {fixed.LOSS_TEMPERATURE ** 2} AS kl,
+                 coalesce(avg(hard_ce) FILTER (WHERE counted), 0) AS hard_ce
+          FROM tokens
+        )
+        SELECT n_examples, n_tokens, round(soft_ce, 6) AS soft_ce, round(kl, 6) AS kl, round(hard_ce, 6) AS hard_ce,
+               round({fixed.LOSS_ALPHA} * soft_ce + {1 - fixed.LOSS_ALPHA} * hard_ce, 6) AS loss FROM total""",
     "loss_total": f"""
         WITH {LOSS}
         SELECT count(*) AS n_examples, sum(n_tokens)::BIGINT AS n_tokens,
@@ -403,6 +426,7 @@ ORACLES: dict[str, str] = {
         SELECT 'benchmark' AS source, item_id, text,
                'benchmark:' || md5('{{"item_id":' || item_id || ',"text":' || to_json(text)::VARCHAR || '}}') || ':'
                || lpad('1', 19, '0') AS row_key FROM benchmark""",
+    "source_json_array_split": f"SELECT *, {key('documents', 'doc_id')} AS row_key FROM documents",
     "sample_cap_json": f"""
         WITH rows AS (
           SELECT 'train' AS source, {content_key('train', 'text')} AS row_key, text FROM documents
@@ -421,6 +445,17 @@ ORACLES: dict[str, str] = {
         FROM numbered WHERE instruction <> 'Write in fr'
         UNION ALL SELECT NULL, NULL, NULL, NULL, NULL, doc_id, batch, 'ValueError: refused'
         FROM numbered WHERE instruction = 'Write in fr'""",
+    "teacher_resume": f"""
+        WITH {INSTRUCTIONS},
+        answered AS (
+          SELECT *, CASE WHEN doc_id % 2 = 0 AND instruction <> 'Write in fr' THEN 'first' ELSE 'second' END AS answer FROM prompted)
+        SELECT instruction, coalesce(input, '') AS input, coalesce(output, '') AS original_output, answer AS teacher_output,
+               prompt || answer AS text FROM answered""",
+    "positional_zip": """
+        SELECT doc_id, d.text AS text, conv_id, turn, role FROM documents d POSITIONAL JOIN conversations
+        WHERE doc_id IS NOT NULL AND conv_id IS NOT NULL""",
+    "positional_zip_padded": """
+        SELECT doc_id, text, page_id, url, html FROM documents POSITIONAL JOIN pages""",
     "group_advantage_heavy": f"""
         WITH {COMPLETIONS}, {SCORED}
         SELECT source, prompt_id, gen_idx, {ADVANTAGE} AS advantage FROM totals WINDOW p AS (PARTITION BY source)""",

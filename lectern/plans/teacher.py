@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from lectern import fixed
 from lectern.operators.formats import teacher_prompt, teacher_record
-from lectern.operators.generate import GeneratorLoader, answered, failed, generate_responses, write_generated
+from lectern.operators.generate import GeneratorLoader, answered, failed, generate_responses
+from lectern.operators.ledger import Ledger, unanswered
 from lectern.operators.sampling import batch_numbering, head_cap
+from lectern.session import scratch_path
 from lectern.sources.sinks import write_jsonl
 
+# Rows that are answered between two entries in the ledger: as many as an interruption may cost.
+COMMIT_ROWS = 1_000_000
+
 
 def teacher_rows(
     instructions: DataFrame,
@@ -41,16 +46,52 @@ def teacher_job(
     max_samples: int | None = None,
     order: tuple[str, ...] = ("row_key",),
     batch_size: int = fixed.GENERATION_BATCH,
+    commit_rows: int = COMMIT_ROWS,
+    ask_failed_again: bool = False,
 ) -> None:
-    """The first rows in contiguous batches, answered; records as JSON lines, failed rows apart.
+    """The first rows in contiguous batches, answered; records as JSON lines, failed rows apart. Can be continued.
+
+    Below ``path``: ``generated`` with every row, its ``position`` and ``batch_id``, ``ledger`` with the parts that
+    are done, ``records`` as JSON lines, and ``quarantine`` with the rows that have an error and no answer.
 
-    Below ``path``: ``generated`` with every row, its ``position`` and ``batch_id``, ``records`` as JSON lines, and
-    ``quarantine`` with the rows that have an error. Rows are generated once and written before they are split.
+    Rows are answered in parts of ``commit_rows`` in their order, each written and then entered in the ledger. A run
+    that was stopped, whatever it was doing, loses at most the part it was at: called again for the same path, the
+    job asks for what no part holds, also of rows that came to the instructions since. Rows are known by their
+    ``order`` columns, which must not be null. With ``ask_failed_again`` those that failed are tried again, and
+    leave the quarantine once they are answered.
     """
-    spark = instructions.sparkSession
-    first = batch_numbering(head_cap(instructions, max_samples, list(order)), list(order), batch_size)
-    generated = generate_responses(teacher_prompt(first).sortWithinPartitions("position"), load_generator, batch_size=batch_size)
-    write_generated(generated, f"{path}/generated")
-    written = spark.read.schema(generated.schema).parquet(f"{path}/generated")
+    spark, ledger, key = instructions.sparkSession, Ledger(instructions.sparkSession, path), list(order)
+    first = batch_numbering(head_cap(instructions, max_samples, key), key, batch_size)
+    prompts = teacher_prompt(first)
+    generated = _generated(prompts, load_generator, batch_size)
+    left = unanswered(prompts, ledger.rows(generated.schema), key, ask_failed_again=ask_failed_again)
+    waiting = scratch_path(spark, "waiting")
+    part = F.floor(F.col("position") / commit_rows).alias("_part")
+    left.select("*", part).sortWithinPartitions("_part", "position").write.partitionBy("_part").parquet(waiting)
+    waiting_rows = spark.read.schema(T.StructType([*prompts.schema, T.StructField("_part", T.LongType())])).parquet(waiting)
+    for row in waiting_rows.select("_part").distinct().orderBy("_part").collect():  # one for each commit
+        asked = waiting_rows.where(F.col("_part") == row["_part"]).drop("_part")
+        ledger.commit(_generated(asked.sortWithinPartitions("position"), load_generator, batch_size), row["_part"])
+
+    written = ledger.rows(generated.schema).drop("part")
     write_jsonl(teacher_records(written), f"{path}/records")
-    quarantined_rows(written).select(*order, "batch_id", F.col("error")).write.mode("overwrite").parquet(f"{path}/quarantine")
+    refused = quarantined_rows(written)
+    if ask_failed_again:
+        latest = refused.groupBy(*key).agg(F.max_by(F.struct("batch_id", "error"), "position").alias("l")).select(*key, "l.*")
+        refused = latest.join(answered(written).select(*key), key, "left_anti")
+    refused.select(*key, "batch_id", "error").write.mode("overwrite").parquet(f"{path}/quarantine")
+
+
+def _generated(prompts: DataFrame, load_generator: GeneratorLoader, batch_size: int) -> DataFrame:
+    generated = generate_responses(prompts, load_generator, batch_size=batch_size)
+    return generated.withColumn("failed", F.col("error").isNotNull())
+
+
+def teacher_report(ledger: Ledger) -> DataFrame:
+    """``run, n_parts, n_asked, n_answered, n_refused`` of every run that finished a part."""
+    return ledger.entries().groupBy("run").agg(
+        F.count(F.lit(1)).alias("n_parts"),
+        F.sum("n_rows").alias("n_asked"),
+        F.sum(F.col("n_rows") - F.col("n_failed")).alias("n_answered"),
+        F.sum("n_failed").alias("n_refused"),
+    )

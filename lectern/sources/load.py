@@ -8,6 +8,8 @@ from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
+from lectern.sources.arrays import array_lines
+
 KEY_DIGITS = 19
 DEFAULT_SPLIT = "train"
 CONTENT, COPY = "_content", "_copy"
@@ -62,14 +64,15 @@ def _is_json_array(spark: SparkSession, path: str) -> bool:
 
 
 def read_json(spark: SparkSession, spec: SourceSpec) -> DataFrame:
-    """JSON lines, or a top-level array. Arrays cannot be split: land big ones as Parquet once."""
+    """JSON lines, or top-level arrays, whose rows are first written out as lines by as many tasks as there are splits."""
     is_array = spec.json_array
     if is_array is None:
         is_array = spec.path.endswith(".json") and _is_json_array(spark, spec.path)
-    reader = spark.read.option("multiLine", is_array).option("mode", spec.mode)
+    paths = (array_lines(spark, spec.path) if is_array else None) or spec.path
+    reader = spark.read.option("mode", spec.mode)
     if spec.schema is not None:
         reader = reader.schema(spec.schema)
-    return _in_split(reader.json(spec.path), spec)
+    return _in_split(reader.json(paths), spec)
 
 
 def _in_split(df: DataFrame, spec: SourceSpec) -> DataFrame:

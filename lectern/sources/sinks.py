@@ -1,7 +1,10 @@
-"""Writing results as JSON lines or as training shards."""
+"""Writing results as JSON lines, JSON arrays or training shards."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from lectern import fixed
@@ -14,6 +17,22 @@ def write_jsonl(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("ignoreNullFields", "false").json(path)
 
 
+def write_json_arrays(df: DataFrame, path: str) -> None:
+    """A folder of files that each hold one top-level JSON array, a row to a line; null fields are kept."""
+
+    def arrays_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lead = "["
+        for batch in batches:
+            rows = batch["value"].to_pylist()
+            if rows:
+                yield pa.RecordBatch.from_pydict({"value": [f"{lead if i == 0 else ','}{r}" for i, r in enumerate(rows)]})
+                lead = ","
+        yield pa.RecordBatch.from_pydict({"value": ["[]" if lead == "[" else "]"]})
+
+    rows = df.select(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("value"))
+    rows.mapInArrow(arrays_of, "value string").write.mode("overwrite").text(path)
+
+
 def padded_columns(max_tokens: int, pad_id: int = fixed.PAD_ID, mask_pad_ids: bool = False) -> list[Column]:
     """``input_ids``, ``attention_mask`` and ``labels`` out of un-padded ``ids`` and ``n_tokens``.
 

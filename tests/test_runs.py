@@ -185,3 +185,70 @@ def test_funnel_is_observed_along_the_job(spark):
     rows = prepare.logit_training_rows([reasoning_table(spark, 4)], encode, max_samples=50, max_tokens=45, capped_rows=capped, kept_rows=kept)
     n = len(rows.collect())
     assert (capped.get["rows"], kept.get["rows"]) == (50, n)
+
+
+def counting(folder, ends_at=None):
+    """Answers, and leaves a file for every prompt; ends the run when it meets ``ends_at``."""
+
+    def load():
+        def run(batch):
+            import os
+            import uuid
+
+            if ends_at is not None and any(f"do {ends_at}<" in p for p in batch):
+                os._exit(3)
+            for p in batch:
+                (folder / uuid.uuid4().hex).write_text(p)
+            return ["answer" for _ in batch]
+
+        return run
+
+    folder.mkdir()
+    return load
+
+
+def test_a_stopped_teacher_job_asks_only_the_rest(spark, tmp_path):
+    table, path = instruction_table(spark, 40), str(tmp_path / "job")
+    job = {"order": ("id",), "batch_size": 5, "commit_rows": 10}
+    with pytest.raises(Exception):
+        teacher.teacher_job(table, counting(tmp_path / "first", ends_at=23), path, **job)
+    ledger = teacher.Ledger(spark, path)
+    assert sorted(r["n_rows"] for r in ledger.entries().collect()) == [10, 10]
+    assert not (tmp_path / "job" / "records").exists()
+
+    teacher.teacher_job(table, counting(tmp_path / "second"), path, **job)
+    asked = sorted(p.read_text() for p in (tmp_path / "second").iterdir())
+    assert len(asked) == 20 and all(any(f"do {i}<" in p for p in asked) for i in range(20, 40))
+    records = spark.read.json(f"{path}/records")
+    assert records.count() == records.select("instruction").distinct().count() == 40
+    rows = teacher.Ledger(spark, path).rows(spark.read.parquet(f"{path}/generated").drop("part").schema)
+    assert sorted((r["id"], r["position"], r["batch_id"]) for r in rows.collect()) == [(i, i, i // 5) for i in range(40)]
+
+    more = instruction_table(spark, 43)
+    teacher.teacher_job(more, counting(tmp_path / "third"), path, **job)
+    assert len(list((tmp_path / "third").iterdir())) == 3
+    report = {r["n_asked"]: tuple(r)[1:] for r in teacher.teacher_report(teacher.Ledger(spark, path)).collect()}
+    assert report[3] == (1, 3, 3, 0) and sorted(report) == [3, 20]
+
+
+def test_a_finished_teacher_job_asks_nothing(spark, tmp_path):
+    table, path = instruction_table(spark, 12), str(tmp_path / "job")
+    for n in range(2):
+        teacher.teacher_job(table, counting(tmp_path / f"asked{n}"), path, order=("id",), commit_rows=5)
+    assert [len(list((tmp_path / f"asked{n}").iterdir())) for n in range(2)] == [12, 0]
+    assert spark.read.json(f"{path}/records").count() == 12
+
+
+def test_failed_rows_are_asked_again_on_demand(spark, tmp_path):
+    table, path = instruction_table(spark, 20), str(tmp_path / "job")
+    job = {"order": ("id",), "batch_size": 4, "commit_rows": 8}
+    quarantine = lambda: [(r["id"], r["batch_id"]) for r in spark.read.parquet(f"{path}/quarantine").orderBy("id").collect()]
+    teacher.teacher_job(table, load_moody, path, **job)
+    assert quarantine() == [(5, 1), (14, 3)]
+    teacher.teacher_job(table, counting(tmp_path / "idle"), path, **job)
+    assert list((tmp_path / "idle").iterdir()) == [] and len(quarantine()) == 2
+    teacher.teacher_job(table, load_moody, path, ask_failed_again=True, **job)
+    assert quarantine() == [(5, 1), (14, 3)]
+    teacher.teacher_job(table, counting(tmp_path / "again"), path, ask_failed_again=True, **job)
+    assert len(list((tmp_path / "again").iterdir())) == 2 and quarantine() == []
+    assert spark.read.json(f"{path}/records").count() == 20

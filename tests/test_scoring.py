@@ -248,3 +248,48 @@ def test_total_weighs_tokens(spark):
     for c in ("soft_ce", "kl", "hard_ce", "loss"):
         assert math.isclose(total[c], sum(r[c] * r["n_tokens"] for r in rows) / tokens, rel_tol=1e-12)
     assert tuple(softloss.loss_total(losses.where("false")).first()) == (0, 0, 0.0, 0.0, 0.0, 0.0)
+
+
+def long_entries(spark, dice, positions=60, width=40):
+    rows = []
+    for i in range(positions):
+        label = dice.choice([-100, None, *range(width + 5)])
+        scale = dice.choice([1.0, 30.0, 900.0])
+        kept = dice.sample(range(width + 5), dice.randrange(1, width))
+        some = [(i // 7, i % 7, label, k, dice.gauss(0, scale), dice.gauss(0, scale)) for k in kept]
+        rows += some + some[:2] * dice.randrange(2)
+        if i % 13 == 0:
+            rows.append((i // 7, i % 7, label, 99, dice.choice([None, math.nan]), 1.0))
+    return spark.createDataFrame(rows, "example_id bigint, pos int, label int, token_id int, student double, teacher double")
+
+
+@pytest.mark.parametrize("partitions", [1, 9])
+def test_losses_of_entries_equal_those_of_gathered_ones(spark, partitions):
+    entries = long_entries(spark, random.Random(5)).repartition(partitions)
+    gathered = {r["example_id"]: r for r in softloss.soft_label_loss(softloss.pack_logits(entries)).collect()}
+    summed = {r["example_id"]: r for r in softloss.soft_label_loss_of_entries(entries).collect()}
+    assert gathered.keys() == summed.keys() and sum(r["n_refused"] for r in summed.values()) > 0
+    for k, r in gathered.items():
+        for c, expected in r.asDict().items():
+            assert summed[k][c] == pytest.approx(expected, rel=1e-9, abs=1e-9), (k, c)
+
+
+def test_entries_are_never_gathered(spark):
+    plan = plan_text(softloss.entry_losses(long_entries(spark, random.Random(1), 3), unique=True))
+    # Only bands are gathered, and what is below has been summed up by then.
+    assert plan.count("partial_collect_list") == 1 and "partial_collect_list(struct(raw_band" in plan
+    assert plan.index("partial_collect_list") < plan.index("partial_sum")
+
+
+def test_total_of_losses_weighs_each_by_its_own_tokens(spark):
+    rows = [
+        (1, 0, 0, [1.0, 2.0], [1.0, 1.0]), (1, 1, 5, [1.0, 2.0], [1.0, 1.0]), (1, 2, 6, [1.0, 2.0], [1.0, 1.0]),
+        (2, 0, 1, [9.0, 2.0], [0.0, 1.0]), (3, 0, 7, [9.0, 2.0], [0.0, 1.0]),
+    ]
+    logits = spark.createDataFrame(rows, "example_id int, pos int, label int, student array<double>, teacher array<double>")
+    tokens = [r for r in softloss.token_losses(logits).collect()]
+    total = softloss.loss_total(softloss.soft_label_loss(logits)).first()
+    hard = [r["hard_ce"] for r in tokens if r["hard_ce"] is not None]
+    assert len(hard) == 2 and total["hard_ce"] == pytest.approx(sum(hard) / 2)
+    assert total["soft_ce"] == pytest.approx(4 * sum(r["soft_ce"] for r in tokens) / 5)
+    assert total["loss"] == pytest.approx((total["soft_ce"] + total["hard_ce"]) / 2)
