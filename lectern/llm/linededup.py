@@ -1,7 +1,8 @@
 """Lines that differ from an earlier line in one word at most, by a deletion-neighbourhood join.
 
 An edit is a word replaced, put in or left out: a neighbourhood by letters would emit a key per letter of a
-paragraph. DataFrame operations only.
+paragraph. Lines of few words, and of scripts without blanks, are read by their characters instead. DataFrame
+operations only.
 """
 
 from __future__ import annotations
@@ -10,8 +11,11 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from lectern.llm.landing import landed
 
-# Lines of fewer words are only compared as wholes: of three words, one is not a small part.
-MIN_WORDS = 4
+# Of fewer words one is not a small part: such lines are compared by characters, and as wholes if these are few as well.
+MIN_WORDS, MIN_CHARACTERS = 4, 8
+WORDS, CHARACTERS = 0, 1
+# So many units of a half tell most lines apart; the others are told by whole halves.
+HALF_BEGINS = 8
 # Hashes are cut to 40 bits, so that the sum over a line of eight million words still fits.
 KEY_SHIFT = 24
 KEY = ["doc_id", "text_key"]
@@ -32,44 +36,71 @@ def _words(line: Column) -> Column:
     return F.array_remove(F.split(plain, " "), "")
 
 
-def _halves() -> Column:
+def _readings(words: Column) -> Column:
+    """What a line is compared by: its words from three on, its characters if it has less than four words."""
+    n = F.size(words)
+    characters = F.split(F.array_join(words, " "), "")
+    by_words = F.struct(F.lit(WORDS).alias("kind"), words.alias("units"))
+    by_characters = F.struct(F.lit(CHARACTERS).alias("kind"), F.array_remove(characters, "").alias("units"))
+    few = F.when(n == MIN_WORDS - 1, F.array(by_words, by_characters)).otherwise(F.array(by_characters))
+    return F.when(n >= MIN_WORDS, F.array(by_words)).otherwise(few)
+
+
+def _least(kind: Column) -> Column:
+    return F.when(kind == WORDS, MIN_WORDS).otherwise(MIN_CHARACTERS)
+
+
+def _halves(kind: Column, units: Column, most: int | None = None) -> Column:
     """Keys of which two lines within one edit share one at least.
 
-    Of lines of n words, and of n and n + 1, one edit leaves the first n div 2 words or the last n - n div 2 as
-    they were. So a line has both for its own length and for one less.
+    Of lines of n units, and of n and n + 1, one edit leaves the first n div 2 or the last n - n div 2 as they were.
+    So a line has both for its own length and for one less. Of a half no more than ``most`` units at its outer end count.
     """
-    n, keys = F.size("words"), []
+    n, keys = F.size(units), []
     for less in (0, 1):
         length = n - less
         cut = F.floor(length / 2).cast("int")
-        keys.append(F.xxhash64(length * 2, F.slice("words", 1, cut)))
-        keys.append(F.xxhash64(length * 2 + 1, F.slice("words", n - (length - cut) + 1, length - cut)))
-    return F.when(n >= MIN_WORDS - 1, F.array(*keys)).otherwise(F.array().cast("array<bigint>"))
+        first, last = cut, length - cut
+        if most is not None:
+            first, last = F.least(first, F.lit(most)), F.least(last, F.lit(most))
+        keys.append(F.xxhash64(kind, length * 2, F.slice(units, 1, first)))
+        keys.append(F.xxhash64(kind, length * 2 + 1, F.slice(units, n - last + 1, last)))
+    return F.when(n >= _least(kind) - 1, F.array(*keys)).otherwise(F.array().cast("array<bigint>"))
+
+
+def _begins(words: Column) -> Column:
+    """Keys by the beginnings of halves, which most lines share with no other."""
+    by_readings = F.flatten(F.transform(_readings(words), lambda r: _halves(r["kind"], r["units"], HALF_BEGINS)))
+    return F.when(F.size(words) >= MIN_WORDS, _halves(F.lit(WORDS), words, HALF_BEGINS)).otherwise(by_readings)
+
+
+def _shared(halves: DataFrame) -> DataFrame:
+    """``half`` of more than one line."""
+    return halves.groupBy("half").agg(F.min("digest").alias("a"), F.max("digest").alias("b")).where("a < b").select("half")
 
 
 def _variants(near: DataFrame) -> DataFrame:
-    """For every word of a line a key of the others, ``n, v1, v2``, and the line's own key ``t1, t2``.
+    """For every unit of a line a key of the others, ``n, v1, v2``, and the line's own key ``t1, t2``.
 
-    A key is the sum of hashes of the words with their places. Without one word, those behind it move up one
+    A key is the sum of hashes of the units with their places. Without one unit, those behind it move up one
     place; both sums run along the line, so all of a line's keys cost as much as reading it.
     """
-    words = near.select("digest", "first", F.size("words").alias("n"), F.posexplode("words").alias("place", "word"))
-    along = Window.partitionBy("digest").orderBy("place")
+    units = near.select("digest", "kind", "first", F.size("units").alias("n"), F.posexplode("units").alias("place", "unit"))
+    along = Window.partitionBy("digest", "kind").orderBy("place")
     whole, upto = along.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing), along.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     for salt in (1, 2):
-        stays = F.shiftright(F.xxhash64(F.lit(salt), "word", "place"), KEY_SHIFT)
-        moves = F.shiftright(F.xxhash64(F.lit(salt), "word", F.col("place") - 1), KEY_SHIFT)
+        stays = F.shiftright(F.xxhash64(F.lit(salt), "unit", "place"), KEY_SHIFT)
+        moves = F.shiftright(F.xxhash64(F.lit(salt), "unit", F.col("place") - 1), KEY_SHIFT)
         before = F.sum(stays).over(upto) - stays
         behind = F.sum(moves).over(whole) - F.sum(moves).over(upto)
-        words = words.withColumn(f"v{salt}", before + behind).withColumn(f"t{salt}", F.sum(stays).over(whole))
-    return words.drop("word")
+        units = units.withColumn(f"v{salt}", before + behind).withColumn(f"t{salt}", F.sum(stays).over(whole))
+    return units.drop("unit")
 
 
-def _near(docs: DataFrame, lines: DataFrame, firsts: DataFrame) -> DataFrame:
-    """The distinct lines that share a half with another one, with their words and first place."""
-    halves = lines.select("digest", F.explode("halves").alias("half"))
-    shared = halves.groupBy("half").agg(F.min("digest").alias("a"), F.max("digest").alias("b")).where("a < b").select("half")
-    candidates = halves.join(landed(shared, "halves"), "half").select("digest").distinct()
+def _near(docs: DataFrame, firsts: DataFrame) -> DataFrame:
+    """The distinct lines that share a half with another one, as they are compared, with their first place."""
+    begins = firsts.select("digest", F.explode("begins").alias("half"))
+    candidates = begins.join(landed(_shared(begins), "begins"), "half").select("digest").distinct()
     candidates = candidates.join(firsts, "digest").select("digest", "first")
     by_text = candidates.groupBy(F.col("first.doc_id").alias("of_id"), F.col("first.text_key").alias("of_key")).agg(
         F.collect_list(F.struct("digest", "first")).alias("wanted")
@@ -79,47 +110,54 @@ def _near(docs: DataFrame, lines: DataFrame, firsts: DataFrame) -> DataFrame:
     texts = texts.select("wanted", F.split("text", "\n").alias("parts"))
     found = F.transform("wanted", lambda w: F.struct(w["digest"].alias("digest"), w["first"].alias("first"), F.get("parts", w["first"]["line_no"]).alias("line")))
     lines = texts.select(F.explode(found).alias("w")).select("w.*")
-    return lines.select("digest", "first", _words(F.col("line")).alias("words")).dropDuplicates(["digest"])
+    lines = lines.select("digest", "first", _words(F.col("line")).alias("words")).dropDuplicates(["digest"])
+    read = lines.select("digest", "first", F.explode(_readings(F.col("words"))).alias("r")).select("digest", "first", "r.*")
+    read = landed(read.withColumn("halves", _halves(F.col("kind"), F.col("units"))), "read")
+    halves = read.select("digest", "kind", F.explode("halves").alias("half"))
+    alike = halves.join(_shared(halves), "half").select("digest", "kind").distinct()
+    return read.drop("halves").join(alike, ["digest", "kind"])
 
 
 def _removed(near: DataFrame) -> DataFrame:
     """``digest`` of the distinct lines that have an earlier one within one edit.
 
-    Lines that give the same variant at the same place differ in the word at that place alone: of such a group
-    all but the earliest go. A variant that is itself a line is one word shorter than those it comes from: the
+    Lines that give the same variant at the same place differ in the unit at that place alone: of such a group
+    all but the earliest go. A variant that is itself a line is one unit shorter than those it comes from: the
     later of the two goes. So every pair is judged, without a row per pair. What the keys bring together is
-    verified on the words.
+    verified on the units.
     """
     near = landed(near, "near")
     every = landed(_variants(near), "variants")
-    variants = every.where(F.col("n") >= MIN_WORDS)
-    key = ["n", "v1", "v2"]
+    variants = every.where(F.col("n") >= _least(F.col("kind")))
+    key = ["kind", "n", "v1", "v2"]
     groups = variants.groupBy(*key, "place").agg(F.min(F.struct("first", "digest")).alias("lead"), F.count(F.lit(1)).alias("m"))
     groups = landed(groups.where("m > 1").select(*key, "place", "lead"), "groups")
     replaced = variants.join(groups, [*key, "place"]).where(F.col("digest") != F.col("lead.digest"))
-    replaced = replaced.select("digest", F.col("lead.digest").alias("other"), "place", F.lit(0).alias("shorter"))
+    replaced = replaced.select("digest", "kind", F.col("lead.digest").alias("other"), "place", F.lit(0).alias("shorter"))
 
-    lines = every.where("place = 0").select((F.col("n") + 1).alias("n"), F.col("t1").alias("v1"), F.col("t2").alias("v2"),
+    lines = every.where("place = 0").select("kind", (F.col("n") + 1).alias("n"), F.col("t1").alias("v1"), F.col("t2").alias("v2"),
                                             F.col("digest").alias("short"), F.col("first").alias("short_first"))
     later = F.col("first") > F.col("short_first")
     inserted = variants.join(lines, key).select(
         F.when(later, F.col("digest")).otherwise(F.col("short")).alias("digest"),
+        "kind",
         F.when(later, F.col("short")).otherwise(F.col("digest")).alias("other"),
         "place",
         F.when(later, 2).otherwise(1).alias("shorter"),
     )
     links = replaced.unionByName(inserted)
-    mine = near.select("digest", F.col("words").alias("a"))
-    theirs = near.select(F.col("digest").alias("other"), F.col("words").alias("b"))
-    return links.join(mine, "digest").join(theirs, "other").where(_within_one_edit()).select("digest").distinct()
+    mine = near.select("digest", "kind", F.col("units").alias("a"))
+    theirs = near.select(F.col("digest").alias("other"), "kind", F.col("units").alias("b"))
+    links = links.join(mine, ["digest", "kind"]).join(theirs, ["other", "kind"])
+    return links.where(_within_one_edit()).select("digest").distinct()
 
 
 def _within_one_edit() -> Column:
-    """The words but the one at the place are equal; ``shorter`` 1: ``a`` lacks it, 2: ``b`` does."""
+    """The units but the one at the place are equal; ``shorter`` 1: ``a`` lacks it, 2: ``b`` does."""
 
-    def without(words: str) -> Column:
+    def without(units: str) -> Column:
         place = F.col("place")
-        return F.concat(F.slice(words, 1, place), F.slice(words, place + 2, F.size(words)))
+        return F.concat(F.slice(units, 1, place), F.slice(units, place + 2, F.size(units)))
 
     a = F.when(F.col("shorter") == 1, F.col("a")).otherwise(without("a"))
     b = F.when(F.col("shorter") == 2, F.col("b")).otherwise(without("b"))
@@ -130,9 +168,11 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     """``doc_id, n_lines, n_removed, text`` of every row: its text without the lines that an earlier one repeats.
 
     A line goes if a line within one word's edit (replaced, put in or left out), or an equal one, comes earlier
-    by ``doc_id`` and place; case and spacing do not count. Lines of fewer than four words are only compared
-    as wholes, or with lines one word longer that are not. It is judged on the input: also a line that goes
-    itself makes later ones go. ``n_lines`` counts all lines, also those without a word, which always stay.
+    by ``doc_id`` and place; case and spacing do not count. Lines of three words are so compared with lines of four
+    only. Lines of less than four words, among them those of scripts without blanks, are compared with one another by
+    characters: one replaced, put in or left out, the longer having eight at least. All others are compared as wholes.
+    It is judged on the input: also a line that goes itself makes later ones go. ``n_lines`` counts all lines, also
+    those without a word, which always stay.
 
     Null and empty texts have no line with a word; a null text is empty. Rows without ``doc_id`` come first.
     Rows that repeat an id and text are one document: all of them keep the first's lines. Columns other than
@@ -142,15 +182,15 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     own = own.withColumn("text_key", F.xxhash64("text"))
     at = F.struct("doc_id", "text_key", "line_no")
     # Lines without a word are left out only as they are read back: a filter here would compute the words twice.
-    lines = _lines(own).select(*KEY, "line_no", "digest", _halves().alias("halves"), F.size("words").alias("n"))
+    lines = _lines(own).select(*KEY, "line_no", "digest", _begins(F.col("words")).alias("begins"), F.size("words").alias("n"))
     lines = landed(lines, "lines").where("n > 0").drop("n")
-    firsts = lines.groupBy("digest").agg(F.min(at).alias("first"), F.count(F.lit(1)).alias("n_lines"))
+    firsts = lines.groupBy("digest").agg(F.min(at).alias("first"), F.first("begins").alias("begins"), F.count(F.lit(1)).alias("n_lines"))
     firsts = landed(firsts, "firsts")
-    removed = landed(_removed(_near(own, lines, firsts)), "removed")
+    removed = landed(_removed(_near(own, firsts)), "removed")
 
     marked = firsts.join(removed.withColumn("near", F.lit(True)), "digest", "left").where("n_lines > 1 OR near")
     marked = landed(marked.select("digest", "first", F.coalesce("near", F.lit(False)).alias("near")), "marked")
-    gone = lines.drop("halves").join(marked, "digest").where(F.col("near") | (at != F.col("first")))
+    gone = lines.drop("begins").join(marked, "digest").where(F.col("near") | (at != F.col("first")))
     gone = landed(gone.groupBy(*KEY).agg(F.collect_set("line_no").alias("gone")), "gone")
     gone = gone.select(F.col("doc_id").alias("_doc_id"), F.col("text_key").alias("_text_key"), "gone")
     joined = own.join(gone, own["doc_id"].eqNullSafe(gone["_doc_id"]) & (own["text_key"] == gone["_text_key"]), "left")

@@ -67,10 +67,17 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     ), variants AS (
       SELECT shown, first, len(words) AS n, p, array_to_string(list_concat(words[1:p - 1], words[p + 1:]), ' ') AS variant
       FROM (SELECT *, unnest(range(1, len(words) + 1)) AS p FROM firsts WHERE len(words) >= 4)
+    ), short AS (SELECT shown, first, len(shown) AS n FROM firsts WHERE len(words) < 4),
+    by_character AS (
+      SELECT shown, first, n, p, shown[1:p - 1] || shown[p + 1:] AS variant
+      FROM (SELECT *, unnest(range(1, n + 1)) AS p FROM short WHERE n >= 8)
     ), near AS (
       SELECT a.shown FROM variants a JOIN variants b USING (variant, p, n) WHERE b.first < a.first
       UNION SELECT a.shown FROM variants a JOIN firsts b ON a.variant = b.shown WHERE b.first < a.first
       UNION SELECT b.shown FROM variants a JOIN firsts b ON a.variant = b.shown WHERE a.first < b.first
+      UNION SELECT a.shown FROM by_character a JOIN by_character b USING (variant, p, n) WHERE b.first < a.first
+      UNION SELECT a.shown FROM by_character a JOIN short b ON a.variant = b.shown WHERE b.first < a.first
+      UNION SELECT b.shown FROM by_character a JOIN short b ON a.variant = b.shown WHERE a.first < b.first
     ), judged AS (
       SELECT doc_id, line_no, line,
         len(words) > 0 AND ((doc_id, line_no) <> first OR shown IN (SELECT shown FROM near)) AS gone

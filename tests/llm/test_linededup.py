@@ -4,13 +4,17 @@ from lectern.llm import linededup
 from tests.llm import brute
 
 
-def _near(a, b):
-    if a == b:
-        return True
-    if len(a) == len(b) >= 4:
+def _edited(a, b, least):
+    if len(a) == len(b) >= least:
         return sum(x != y for x, y in zip(a, b)) == 1
     short, long = sorted((a, b), key=len)
-    return len(long) == len(short) + 1 and len(long) >= 4 and any(long[:i] + long[i + 1 :] == short for i in range(len(long)))
+    return len(long) == len(short) + 1 and len(long) >= least and any(long[:i] + long[i + 1 :] == short for i in range(len(long)))
+
+
+def _near(a, b):
+    if a == b or _edited(a, b, 4):
+        return True
+    return max(len(a), len(b)) < 4 and _edited(" ".join(a), " ".join(b), 8)
 
 
 def _brute(rows):
@@ -51,6 +55,31 @@ def test_random_lines_against_all_pairs(spark):
     assert _got(linededup.dedup_lines(docs)) == _brute(rows)
 
 
+def test_short_lines_and_scripts_without_blanks(spark):
+    rnd = random.Random(9)
+    base = ["see page 12", "see page 1", "abcdefg", "abcdefgh", "ab cd ef", "這是一個很長的句子沒有空格", "これは長い文です。", "x", "a b", "one two three", "one two three four", "ONE two"]
+    lines = []
+    for _ in range(220):
+        line = list(rnd.choice(base))
+        for _ in range(rnd.randint(0, 2)):
+            at = rnd.randrange(len(line) + 1)
+            line[at : at + rnd.randint(0, 1)] = [rnd.choice("abc 文é😀")] * rnd.randint(0, 1)
+        lines.append("".join(line))
+    rows = [(i, "\n".join(lines[i : i + 4])) for i in range(0, len(lines), 4)]
+    docs = spark.createDataFrame([(*r, 5, "k") for r in rows], "doc_id bigint, text string, kind int, units string")
+    assert _got(linededup.dedup_lines(docs)) == _brute(rows)
+    gone = {d: n for d, _, n, _ in _got(linededup.dedup_lines(spark.createDataFrame([(1, "這是一個很長的句子"), (2, "這是一個很長句子"), (3, "完全不同的另一個句子")], "doc_id bigint, text string")))}
+    assert gone == {"1": 0, "2": 1, "3": 0}
+
+
+def test_lines_with_the_same_beginnings_and_ends(spark):
+    words = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join([*words[:20], *[f"x{i}-{k}" for k in range(20)], *words[40:]])) for i in range(12)]
+    rows += [(20, rows[3][1].replace("x3-7", "changed")), (21, rows[5][1].replace(" x5-0", ""))]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert _got(linededup.dedup_lines(docs)) == _brute(rows)
+
+
 def test_long_lines_and_missing_ids(spark):
     long = [f"v{i % 977}" for i in range(20_000)]
     other = [*long[:9_000], "changed", *long[9_001:]]
