@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, functions as F
 
 from lectern.session import scratch_path
 
@@ -22,3 +22,13 @@ def batch(schema: pa.Schema, columns: Iterable) -> pa.RecordBatch:
         [c if isinstance(c, pa.Array) else pa.array(c, type=f.type) for c, f in zip(columns, schema, strict=True)],
         schema=schema,
     )
+
+
+def whole_row(df: DataFrame) -> Column:
+    """All columns as one value, so that columns added beside it clash with none, whatever their names."""
+    return F.struct(*[df[f"`{c}`"] for c in df.columns])
+
+
+def columns_of(row: str, df: DataFrame) -> list[Column]:
+    """The columns of ``df`` out of the value that ``whole_row`` made."""
+    return [F.col(row)[c].alias(c) for c in df.columns]

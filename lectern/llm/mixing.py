@@ -6,7 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from lectern.llm.landing import landed
+from lectern.llm.landing import columns_of, landed, whole_row
+from lectern.operators.sampling import number_ordered
 
 WEIGHTS = (3, 1, 2)
 BUDGET = 1.5
@@ -28,20 +29,25 @@ def source_targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, budget: f
     source that gets more than ``copies`` times its words keeps that many, and the rest is dealt out again. With
     the sources in the order of how soon they are full, those that end up full are the first few: the rest's
     share at each place is known from running sums, and the full ones end where it fits all that follow.
+
+    Sources are numbered in ranges over many tasks. Running sums are over different fillings, not sources: words over
+    weight. Sources add up to the words, so of n words there are fewer than three times the root of 2 n of them.
     """
     by_source = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
-    place = Window.orderBy(F.col("source").asc_nulls_last())
-    weight = F.element_at(F.array(*map(F.lit, weights)), ((F.row_number().over(place) - 1) % len(weights) + 1).cast("int"))
-    weighed = by_source.withColumn("weight", weight).withColumn("most", copies * F.col("source_size"))
-    filling = Window.orderBy(F.col("most") / F.col("weight"), F.col("source").asc_nulls_last())
+    by_source = landed(by_source.withColumn("is_null", F.col("source").isNull()), "sources")
+    placed = number_ordered(by_source, ["is_null", "source"], "place")
+    weight = F.element_at(F.array(*map(F.lit, weights)), (F.col("place") % len(weights) + 1).cast("int"))
+    weighed = placed.withColumn("weight", weight).withColumn("most", copies * F.col("source_size"))
+    weighed = landed(weighed.withColumn("filling", F.col("most") / F.col("weight")), "weighed")
+    fillings = weighed.groupBy("filling").agg(*[F.sum(c).alias(c) for c in ("source_size", "most", "weight")])
+    filling = Window.orderBy("filling")
     before, after = (filling.rowsBetween(*r) for r in ((Window.unboundedPreceding, -1), (Window.currentRow, Window.unboundedFollowing)))
     whole = filling.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     left = budget * F.sum("source_size").over(whole) - F.coalesce(F.sum("most").over(before), F.lit(0))
-    share = weighed.withColumn("share", left / F.sum("weight").over(after))
-    fits = F.when(F.col("share") <= F.col("most") / F.col("weight"), F.col("share"))
-    level = share.withColumn("level", F.first(fits, ignorenulls=True).over(whole))
-    target = F.least(F.col("most").cast("double"), F.coalesce(F.col("weight") * F.col("level"), F.col("most").cast("double")))
-    return level.select("source", "source_size", target.alias("target"))
+    share = fillings.select("filling", (left / F.sum("weight").over(after)).alias("share"))
+    level = share.where(F.col("share") <= F.col("filling")).agg(F.min_by("share", "filling")).scalar()
+    most = F.col("most").cast("double")
+    return weighed.select("source", "source_size", F.least(most, F.coalesce(F.col("weight") * level, most)).alias("target"))
 
 
 def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, budget: float = BUDGET, copies: int = MAX_COPIES) -> DataFrame:
@@ -95,14 +101,29 @@ def _copies(docs: DataFrame, weights: Sequence[int], budget: float, copies: int)
     total = targets.agg(F.floor(F.sum("target") + 0.5))
     over = slots.withColumn("_after", F.sum("_words").over(served)).where(F.col("_after") > total.scalar())
     edge = landed(over.orderBy("_slot").limit(1).select("_slot", (F.col("_after") - F.col("_words")).alias("_before")), "edge")
-    within = turns.join(F.broadcast(edge), "_slot")  # one row
-    running = F.sum("size").over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    beyond = within.withColumn("_served", F.col("_before") + running).where(F.col("_served") > total.scalar())
-    cut, slot = beyond.agg(F.min(F.struct(*order))).scalar(), edge.agg(F.min("_slot")).scalar()
+    cut, slot = _first_beyond(turns, edge, order, total), edge.agg(F.min("_slot")).scalar()
     taken = [_is_taken(t, copies, cut, slot, order) for t in range(copies)]
     return placed.withColumn("n_copies", sum(taken[1:], taken[0]))
 
 
+def _first_beyond(turns: DataFrame, edge: DataFrame, order: list[str], total: DataFrame) -> Column:
+    """The first turn of the edge's slot that overruns the budget; of nulls if none does.
+
+    Very many turns may have one finish time, and so lie in one slot. They are cut into ranges of the whole order,
+    and only the range in which the budget ends is summed up row by row.
+    """
+    within = turns.join(F.broadcast(edge), "_slot").repartitionByRange(*order)  # the edge is one row
+    within = landed(within.withColumn("_part", F.spark_partition_id()), "within")
+    parts = within.groupBy("_part").agg(F.sum("size").alias("_words"), F.min("_before").alias("_before"))
+    served = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    parts = parts.withColumn("_after", F.col("_before") + F.sum("_words").over(served))
+    last = parts.where(F.col("_after") > total.scalar()).orderBy("_part").limit(1)
+    last = landed(last.select("_part", (F.col("_after") - F.col("_words")).alias("_ahead")), "last")
+    running = F.sum("size").over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    beyond = within.join(F.broadcast(last), "_part").withColumn("_served", F.col("_ahead") + running)
+    return beyond.where(F.col("_served") > total.scalar()).agg(F.min(F.struct(*order))).scalar()
+
+
 def _same_source(left: DataFrame, right: DataFrame, also: list[str]) -> DataFrame:
     """Joined on the source, null being one, and the other columns."""
     right = right.withColumnRenamed("source", "_source")
@@ -135,7 +156,8 @@ def mixed_documents(docs: DataFrame, weights: Sequence[int] = WEIGHTS, budget: f
     """The documents of the mix with all their columns, each as often as it is taken.
 
     Rows equal in ``doc_id, source`` and ``text`` are told apart by the hash of all their columns. Texts are
-    shuffled once, to meet their number of copies.
+    shuffled once, to meet their number of copies. Nulls, long texts, ties and repeated rows are as in ``mix``; other
+    columns may have any names. An empty table gives none.
     """
     counts = _copies(docs, weights, budget, copies)
     same = [F.col("doc_id"), F.col("source"), F.col("_tie")]
@@ -144,9 +166,9 @@ def mixed_documents(docs: DataFrame, weights: Sequence[int] = WEIGHTS, budget: f
     own = [F.col("doc_id").cast("bigint"), F.col("source").cast("string"), F.xxhash64("text")]
     hashed = [f.name for f in docs.schema.fields if not isinstance(f.dataType, (T.MapType, T.VariantType))]
     row = F.row_number().over(Window.partitionBy(*own).orderBy(F.xxhash64(*hashed)))
-    numbered = docs.select(*[F.col(c) for c in docs.columns], *[c.alias(f"_is_{i}") for i, c in enumerate(own)], row.alias("_is_row"))
+    numbered = docs.select(whole_row(docs).alias("_own"), *[c.alias(f"_is_{i}") for i, c in enumerate(own)], row.alias("_is_row"))
     on = F.lit(True)
     for i in (*range(len(own)), "row"):
         on &= F.col(f"_is_{i}").eqNullSafe(F.col(f"_of_{i}"))
     joined = numbered.join(counts, on).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("n_copies"))))
-    return joined.select(*docs.columns)
+    return joined.select(*columns_of("_own", docs))

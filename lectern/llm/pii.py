@@ -127,7 +127,7 @@ class Places:
 # --- candidates
 
 _AT = re.compile(r" ?[(\[]at[)\]] ?| at (?=[A-Za-z0-9-]{1,63}(?: dot |\.))|@", re.IGNORECASE)
-_SPELT = re.compile(r"[A-Za-z0-9-]{1,63}(?:(?: ?[(\[]dot[)\]] ?| dot |\.)[A-Za-z0-9-]{1,63}){1,4}", re.IGNORECASE)
+_SPELT = re.compile(r"[A-Za-z0-9-]{1,63}(?:(?: ?[(\[]dot[)\]] ?| dot |\.)[A-Za-z0-9-]{1,63})+", re.IGNORECASE)
 _RUN = re.compile(r"[0-9](?:[0-9 ().\-/]*[0-9])?")
 # A written number has at most so many characters; a run of numbers has any number of them.
 _LONGEST = 41
@@ -135,6 +135,8 @@ _GROUP = re.compile(r"[0-9]+")
 _DOTTED_ON = re.compile(r"\.[0-9]")
 _CUES = tuple(re.compile(p, re.IGNORECASE) for p in (r"mail|contact|write", r"\bip|host|server|addr", r"card|visa|pay", r"tel|phone|call|fax|mobile"))
 _CONTEXT = 24
+# Lists into which the sample of a kind is cut before it is one.
+LISTS = 64
 # So many candidates are scored at a time.
 _BLOCK = 20_000
 
@@ -165,7 +167,8 @@ def _numbers(text: str, first: int, last: int) -> Iterator[Span]:
 
 def proposed(text: str) -> Iterator[Span]:
     """Spans that might be of a kind; they overlap each other, and one place may stand for several kinds."""
-    if "@" in text or "at)" in text or "at]" in text or " dot " in text:
+    plain = text.lower()
+    if "@" in text or "at)" in plain or "at]" in plain or " dot " in plain:
         for m in _AT.finditer(text):
             local = text[max(0, m.start() - 64) : m.start()]
             start = m.start() - len(local) + len(local.rstrip(_LOCAL))
@@ -375,7 +378,9 @@ def train(docs: DataFrame, base: int = BASE_SAMPLE, other: int = OTHER_SAMPLE) -
     shape = "place bigint, good boolean, kind int, before string, piece string, after string"
     found = docs.select(F.col("text").cast("string").alias("text")).where("text IS NOT NULL").mapInArrow(run, shape)
     found = found.groupBy("good", "kind", "place").agg(*(F.min(c).alias(c) for c in ("before", "piece", "after")))
-    found = found.withColumn("n", F.row_number().over(Window.partitionBy("good", "kind").orderBy("place")))
+    # Every task sends so many. They are cut in many lists first, so that the last ones are short, however many tasks.
+    for lists in (["good", "kind", F.pmod("place", F.lit(LISTS))], ["good", "kind"]):
+        found = found.withColumn("n", F.row_number().over(Window.partitionBy(*lists).orderBy("place"))).where(F.col("n") <= max(base, other))
     sample = found.where(F.col("n") <= F.when(F.col("good"), base).otherwise(other)).orderBy("place", "good", "kind").toArrow().to_pylist()
     rows = [(r["before"], r["piece"], r["after"], r["kind"], r["good"]) for r in sample]
     some = [e for row in made_up() + rows for e in examples(*row)]

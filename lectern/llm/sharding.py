@@ -7,6 +7,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from lectern.llm.landing import columns_of, whole_row
+
 SLOTS = 65_537
 SHARDS = tuple(f"shard-{i:03d}" for i in range(96))
 
@@ -64,11 +66,11 @@ def place(docs: DataFrame, shards: Sequence[str] = SHARDS, slots: int = SLOTS) -
 
 
 def with_shard(docs: DataFrame, shards: Sequence[str] = SHARDS, slots: int = SLOTS, column: str = "shard") -> DataFrame:
-    """All columns and the shard; a column of that name gives way."""
-    table = table_frame(docs.sparkSession, shards, slots).select(F.col("slot").alias("_table_slot"), F.col("shard").alias("_table_shard"))
-    own = docs.select(*[c for c in docs.columns if c != column])
-    joined = own.withColumn("_slot", slot_of(slots=slots)).join(F.broadcast(table), F.col("_slot") == F.col("_table_slot"))
-    return joined.withColumn(column, F.col("_table_shard")).drop("_slot", "_table_slot", "_table_shard")
+    """All columns and the shard; a column of that name gives way. Other columns may have any names."""
+    table = table_frame(docs.sparkSession, shards, slots)
+    own = docs.select(whole_row(docs).alias("row"), slot_of(slots=slots).alias("slot"))
+    joined = own.join(F.broadcast(table), "slot")
+    return joined.select(*[c for c, name in zip(columns_of("row", docs), docs.columns) if name != column], F.col("shard").alias(column))
 
 
 def write_sharded(docs: DataFrame, path: str, shards: Sequence[str] = SHARDS, slots: int = SLOTS, pieces: int = 8) -> None:

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from lectern.llm.components import connected_components
-from lectern.llm.landing import batch, landed
+from lectern.llm.landing import batch, columns_of, landed, whole_row
 from lectern.llm.textbatch import LOWER, slices
 
 SHINGLE_WORDS = 4
@@ -268,8 +268,9 @@ def keep_one(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, max_bits: int
     """The rows of ``docs`` that keep their id in :func:`near_duplicates`: one document of every group stays.
 
     Rows without ``doc_id`` cannot be told apart, so they all stay. Rows that repeat an id stay together. All
-    columns are kept.
+    columns are kept, whatever their names. Null, empty and long texts are as there; an empty table gives none.
     """
     groups = near_duplicates(docs, shingle_words, max_bits)
-    kept = groups.where("doc_id IS NULL OR doc_id = component_id").select(F.col("doc_id").alias("_kept_id")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(F.col("_kept_id")), "left_semi")
+    kept = groups.where("doc_id IS NULL OR doc_id = component_id").select(F.col("doc_id").alias("id")).distinct()
+    rows = docs.select(whole_row(docs).alias("row"), F.col("doc_id").cast("bigint").alias("own_id"))
+    return rows.join(kept, F.col("own_id").eqNullSafe(F.col("id")), "left_semi").select(*columns_of("row", docs))
