@@ -53,9 +53,11 @@ def spread_join(
         return a.eqNullSafe(b) if null_safe else a == b
 
     salts = F.coalesce("_salts", F.lit(1))
+    # A null key meets no other, so its rows may lie anywhere.
+    own_salts = salts if null_safe else F.when(F.col(key).isNull(), F.lit(MAX_HEAVY_KEYS)).otherwise(salts)
     left_salted = (
         left.join(heavy, same(F.col(key), F.col("_heavy_key")), "left")
-        .withColumn("_salt", F.pmod(F.xxhash64(*left.columns), salts).cast("int"))
+        .withColumn("_salt", F.pmod(F.xxhash64(*left.columns), own_salts).cast("int"))
         .drop("_heavy_key", "_salts")
     )
     right_salted = (

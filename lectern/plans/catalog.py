@@ -458,8 +458,8 @@ def teacher_resume(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     path, rows = scratch_path(spark, "teacher"), instructions(spark, sf_dir)
     half = rows.where(F.col("doc_id") % 2 == 0)
-    teacher.teacher_job(half, load_first, path, order=("doc_id",))
-    teacher.teacher_job(rows, load_second, path, order=("doc_id",), ask_failed_again=True)
+    teacher.teacher_job(half, load_first, path, order=("doc_id",), compression="gzip")
+    teacher.teacher_job(rows, load_second, path, order=("doc_id",), ask_failed_again=True, compression="gzip")
     schema = "instruction string, input string, original_output string, teacher_output string, text string"
     return spark.read.schema(schema).json(f"{path}/records")
 

@@ -48,6 +48,7 @@ def teacher_job(
     batch_size: int = fixed.GENERATION_BATCH,
     commit_rows: int = COMMIT_ROWS,
     ask_failed_again: bool = False,
+    compression: str = "none",
 ) -> None:
     """The first rows in contiguous batches, answered; records as JSON lines, failed rows apart. Can be continued.
 
@@ -58,23 +59,24 @@ def teacher_job(
     that was stopped, whatever it was doing, loses at most the part it was at: called again for the same path, the
     job asks for what no part holds, also of rows that came to the instructions since. Rows are known by their
     ``order`` columns, which must not be null. With ``ask_failed_again`` those that failed are tried again, and
-    leave the quarantine once they are answered.
+    leave the quarantine once they are answered. ``compression`` is that of the records, which hold each prompt twice.
     """
     spark, ledger, key = instructions.sparkSession, Ledger(instructions.sparkSession, path), list(order)
     first = batch_numbering(head_cap(instructions, max_samples, key), key, batch_size)
-    prompts = teacher_prompt(first)
-    generated = _generated(prompts, load_generator, batch_size)
-    left = unanswered(prompts, ledger.rows(generated.schema), key, ask_failed_again=ask_failed_again)
-    waiting = scratch_path(spark, "waiting")
-    part = F.floor(F.col("position") / commit_rows).alias("_part")
-    left.select("*", part).sortWithinPartitions("_part", "position").write.partitionBy("_part").parquet(waiting)
-    waiting_rows = spark.read.schema(T.StructType([*prompts.schema, T.StructField("_part", T.LongType())])).parquet(waiting)
-    for row in waiting_rows.select("_part").distinct().orderBy("_part").collect():  # one for each commit
-        asked = waiting_rows.where(F.col("_part") == row["_part"]).drop("_part")
-        ledger.commit(_generated(asked.sortWithinPartitions("position"), load_generator, batch_size), row["_part"])
-
-    written = ledger.rows(generated.schema).drop("part")
-    write_jsonl(teacher_records(written), f"{path}/records")
+    schema = _generated(first, load_generator, batch_size).schema
+    left = unanswered(first, ledger.rows(schema), key, ask_failed_again=ask_failed_again)
+    left = left.withColumn("_part", F.floor(F.col("position") / commit_rows))
+    parts = [r["_part"] for r in left.select("_part").distinct().orderBy("_part").collect()]  # one for each commit
+    if len(parts) > 1:  # what is read once need not be written first
+        waiting = scratch_path(spark, "waiting")
+        left.sortWithinPartitions("_part", "position").write.partitionBy("_part").parquet(waiting)
+        left = spark.read.schema(T.StructType([*first.schema, T.StructField("_part", T.LongType())])).parquet(waiting)
+    for number in parts:
+        asked = left.where(F.col("_part") == number).drop("_part").sortWithinPartitions("position")
+        ledger.commit(_generated(asked, load_generator, batch_size), number)
+
+    written = ledger.rows(schema).drop("part")
+    write_jsonl(teacher_records(teacher_prompt(written)), f"{path}/records", compression=compression)
     refused = quarantined_rows(written)
     if ask_failed_again:
         latest = refused.groupBy(*key).agg(F.max_by(F.struct("batch_id", "error"), "position").alias("l")).select(*key, "l.*")
@@ -82,9 +84,10 @@ def teacher_job(
     refused.select(*key, "batch_id", "error").write.mode("overwrite").parquet(f"{path}/quarantine")
 
 
-def _generated(prompts: DataFrame, load_generator: GeneratorLoader, batch_size: int) -> DataFrame:
-    generated = generate_responses(prompts, load_generator, batch_size=batch_size)
-    return generated.withColumn("failed", F.col("error").isNotNull())
+def _generated(rows: DataFrame, load_generator: GeneratorLoader, batch_size: int) -> DataFrame:
+    """The rows answered. Their prompts follow from them, and are not kept."""
+    generated = generate_responses(teacher_prompt(rows), load_generator, batch_size=batch_size)
+    return generated.drop("prompt").withColumn("failed", F.col("error").isNotNull())
 
 
 def teacher_report(ledger: Ledger) -> DataFrame:

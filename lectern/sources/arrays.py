@@ -18,6 +18,8 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from lectern.session import scratch_path
 
 END = "}"
+# Rows of a batch that are Python objects at a time.
+ROWS_AT_ONCE = 64
 SPLIT = ["file", "start"]
 _ESCAPED = re.compile(r"\\.", re.DOTALL)
 _BETWEEN = " \t\r\n,"
@@ -60,10 +62,12 @@ def _by_split(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict, bool]]:
     """The rows one by one, and whether each is the first of its split. A task reads its splits one after the other."""
     last = None
     for rows in batches:
-        for row in rows.to_pylist():
-            split = (row["file"], row["start"])
-            yield row, split != last
-            last = split
+        for at in range(0, rows.num_rows, ROWS_AT_ONCE):
+            for row in rows.slice(at, ROWS_AT_ONCE).to_pylist():
+                split = (row["file"], row["start"])
+                yield row, split != last
+                last = split
+    pa.default_memory_pool().release_unused()  # the worker goes on to other tasks
 
 
 _EFFECT = pa.schema(
@@ -135,7 +139,7 @@ def _elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if lexer.depth == base and not lexer.in_string:
             out.append(("".join(held).lstrip(_BETWEEN), ROW) if ended else part())
             held, ended = [], True
-        if len(out) >= 1000:
+        if len(out) >= ROWS_AT_ONCE:
             yield sent()
             out = []
     if split is not None:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Sequence
 from dataclasses import dataclass, replace
+from decimal import Decimal
+from itertools import takewhile
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
@@ -88,42 +90,73 @@ def read_table(spark: SparkSession, spec: SourceSpec) -> DataFrame:
 
 
 def _key_text(df: DataFrame, column: str) -> Column:
-    if isinstance(df.schema[column].dataType, T.IntegralType):
-        return F.lpad(F.col(column).cast("string"), KEY_DIGITS, "0")
-    return F.col(column).cast("string")
+    """Text in the order of the values: a negative integer is a minus and its distance from a number below all of them."""
+    value = F.col(column)
+    if not isinstance(df.schema[column].dataType, T.IntegralType):
+        return value.cast("string")
+    distance = F.lit(Decimal(10**KEY_DIGITS)) + value.cast("decimal(19,0)")
+    below = F.concat(F.lit("-"), F.lpad(distance.cast("decimal(20,0)").cast("string"), KEY_DIGITS, "0"))
+    return F.when(value < 0, below).otherwise(F.lpad(value.cast("string"), KEY_DIGITS, "0"))
+
+
+def _joined_key(label: str, parts: list[Column]) -> Column:
+    """Label and parts joined by colons so that no two lists of parts give one text. A null part has a sign of its own."""
+    marks = ["\\"] if len(parts) == 1 else ["\\", ":"]
+    shown = []
+    for part in parts:
+        for mark in marks:
+            part = F.replace(part, F.lit(mark), F.lit(f"\\{mark}"))
+        shown.append(F.coalesce(part, F.lit("\\0")))
+    return F.concat_ws(":", F.lit(label.replace("\\", "\\\\").replace(":", "\\:")), *shown)
 
 
 def row_key(df: DataFrame, spec: SourceSpec) -> Column:
     """Unique text key whose order is the natural order of the source."""
-    name = F.lit(spec.label)
     if spec.key is not None:
         columns = [spec.key] if isinstance(spec.key, str) else list(spec.key)
-        return F.concat_ws(":", name, *[_key_text(df, c) for c in columns])
+        return _joined_key(spec.label, [_key_text(df, c) for c in columns])
     if spec.kind == "parquet":
         position = F.lpad(F.col("_metadata.row_index").cast("string"), KEY_DIGITS, "0")
-        return F.concat_ws(":", name, _below(F.col("_metadata.file_path"), spec.path), position)
-    return F.concat_ws(":", name, F.col(CONTENT), F.lpad(F.col(COPY).cast("string"), KEY_DIGITS, "0"))
+        return F.concat_ws(":", F.lit(spec.label), _below(F.col("_metadata.file_path"), _base(df.sparkSession, spec.path)), position)
+    return F.concat_ws(":", F.lit(spec.label), F.col(CONTENT), F.lpad(F.col(COPY).cast("string"), KEY_DIGITS, "0"))
 
 
-def _below(file: Column, path: str) -> Column:
-    """The part of a file's path below the source's; its name if the source is that file, all of it if unclear."""
-    base = path.split("://")[-1].removeprefix("file:").rstrip("/")
-    at = F.instr(file, base)
-    rest = F.substring(file, at + len(base), F.length(file))
-    return F.when(at == 0, file).when(rest == "", F.substring_index(file, "/", -1)).otherwise(F.ltrim(rest, F.lit("/")))
+def _base(spark: SparkSession, path: str) -> str:
+    """The absolute path of a source, without what names its store; of a pattern the folder before its first wildcard."""
+    parts = path.rstrip("/").split("/")
+    plain = list(takewhile(lambda part: not set("*?[{") & set(part), parts))
+    base = spark._jvm.org.apache.hadoop.fs.Path("/".join(plain) or ("/" if path.startswith("/") else "."))
+    store = base.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    return base.makeQualified(store.getUri(), store.getWorkingDirectory()).toUri().getPath().rstrip("/")
+
+
+def _below(file: Column, base: str) -> Column:
+    """The part of a file's path below the source's; its name if the source is that file, all of it if it lies elsewhere."""
+    encoded = F.regexp_replace(file, "^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", "")
+    plain = F.url_decode(F.replace(encoded, F.lit("+"), F.lit("%2B")))
+    name = F.substring_index(plain, "/", -1)
+    below = F.substring(plain, F.lit(len(base) + 2), F.length(plain))
+    return F.when(plain == base, name).when(F.startswith(plain, F.lit(f"{base}/")), below).otherwise(plain)
 
 
 def with_content_keys(df: DataFrame) -> DataFrame:
     """Every row with a hash of its content, and a number among its copies.
 
-    Copies are counted, with partial sums before the shuffle, and written out again: a row that holds a large
+    Hashes alone are counted. A row whose hash no other has, as most, is not moved. Of equal rows one is kept, with
+    partial results before the shuffle, and written out again as often as there were: a row that holds a large
     share of the table is not gathered to be numbered.
     """
     if any(isinstance(f.dataType, T.MapType) for f in df.schema.fields):
         raise ValueError("rows with a map column need a key")
-    counted = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias(COPY))
     content = F.md5(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}))
-    return counted.withColumns({CONTENT: content, COPY: F.explode(F.sequence(F.lit(1).cast("bigint"), COPY))})
+    hashed = df.withColumn(CONTENT, content)
+    repeated = hashed.groupBy(CONTENT).agg(F.count(F.lit(1)).alias(COPY)).where(F.col(COPY) > 1)
+    alone = hashed.join(repeated, CONTENT, "left_anti").withColumn(COPY, F.lit(1).cast("bigint"))
+    copies = hashed.join(repeated.select(CONTENT), CONTENT, "left_semi")
+    copies = copies.groupBy(CONTENT).agg(F.first(F.struct(*df.columns)).alias("_row"), F.count(F.lit(1)).alias(COPY))
+    copies = copies.withColumn(COPY, F.explode(F.sequence(F.lit(1).cast("bigint"), COPY)))
+    columns = [F.col("_row")[c].alias(c) for c in df.columns]
+    return alone.select(*df.columns, CONTENT, COPY).unionByName(copies.select(*columns, CONTENT, COPY))
 
 
 def load_source(spark: SparkSession, spec: SourceSpec) -> DataFrame:

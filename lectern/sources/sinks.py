@@ -12,9 +12,9 @@ from lectern.functions import arrays
 from lectern.operators.sampling import in_key_ranges
 
 
-def write_jsonl(df: DataFrame, path: str) -> None:
+def write_jsonl(df: DataFrame, path: str, compression: str = "none") -> None:
     """JSON lines in a folder of part files: null fields kept, non-ASCII characters as they are."""
-    df.write.mode("overwrite").option("ignoreNullFields", "false").json(path)
+    df.write.mode("overwrite").option("ignoreNullFields", "false").option("compression", compression).json(path)
 
 
 def write_json_arrays(df: DataFrame, path: str) -> None:

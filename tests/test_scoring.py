@@ -293,3 +293,17 @@ def test_total_of_losses_weighs_each_by_its_own_tokens(spark):
     assert len(hard) == 2 and total["hard_ce"] == pytest.approx(sum(hard) / 2)
     assert total["soft_ce"] == pytest.approx(4 * sum(r["soft_ce"] for r in tokens) / 5)
     assert total["loss"] == pytest.approx((total["soft_ce"] + total["hard_ce"]) / 2)
+
+
+def test_null_keys_of_a_left_join_are_spread(spark):
+    rows = spark.range(4000).select(F.when(F.col("id") % 2 == 0, F.lit("a")).alias("k"), "id")
+    joined = joins.spread_join(rows, spark.createDataFrame([("a", 1), (None, 2)], "k string, v int"), "k", how="left")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        nulls = joined.where("k IS NULL").groupBy(F.spark_partition_id()).count().collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert joined.count() == 4000 and joined.where("k IS NULL AND v IS NOT NULL").count() == 0
+    assert len(nulls) > 1 and max(r["count"] for r in nulls) < 1000

@@ -181,3 +181,45 @@ def test_keys_do_not_depend_on_splits_or_folders(spark, tmp_path):
 def test_scratch_is_below_the_shared_folder(spark):
     path = scratch_path(spark, "x")
     assert path.startswith(spark.conf.get("spark.checkpoint.dir")) and path != scratch_path(spark, "x")
+
+
+def test_compound_keys_tell_all_rows_apart(spark, tmp_path):
+    rows = [("a:b", "c"), ("a", "b:c"), (None, "x"), ("x", None), ("a\\", ":b"), ("a", "\\:b"), ("\\0", "x"), (None, "\\0"), ("", None), (None, ""), (None, None)]
+    spark.createDataFrame(rows, "a string, b string").write.parquet(str(tmp_path / "t"))
+    df = load_source(spark, SourceSpec(str(tmp_path / "t"), name="s", key=["a", "b"]))
+    assert df.select("row_key").distinct().count() == len(rows)
+    single = load_source(spark, SourceSpec(str(tmp_path / "t"), name="s", key="b"))
+    assert single.select("row_key", "b").distinct().groupBy("row_key").count().where("count > 1").count() == 0
+
+
+def test_integer_keys_come_in_their_order(spark, tmp_path):
+    values = [-(2**63), -(2**63) + 1, -1000, -5, -3, -1, 0, 2, 10, 2**63 - 1]
+    spark.createDataFrame([(v,) for v in values], "v bigint").write.parquet(str(tmp_path / "t"))
+    df = load_source(spark, SourceSpec(str(tmp_path / "t"), name="s", key="v"))
+    assert [r["v"] for r in df.orderBy("row_key").collect()] == values
+    assert df.where("v = 2").first()["row_key"] == f"s:{2:019d}"
+
+
+def test_keys_do_not_depend_on_how_a_folder_is_named(spark, tmp_path, monkeypatch):
+    found = set()
+    for folder in ("plain/t", "my data/t", "a+b%20c/t", "t/x/t"):
+        path = tmp_path / folder
+        spark.range(30).repartitionByRange(3, "id").withColumn("part", F.col("id") % 2).write.partitionBy("part").parquet(str(path))
+        monkeypatch.chdir(tmp_path)
+        paths = [str(path), f"file://{path}" if " " not in folder and "%" not in folder else str(path), f"{path}/", f"{path}/part=*"]
+        for given in paths:
+            keys = [r["row_key"] for r in load_source(spark, SourceSpec(given, name="s", format="parquet")).orderBy("row_key").collect()]
+            assert len(set(keys)) == 30
+            # File names hold an id of the write.
+            found.add(tuple("/".join(k.split(":", 1)[1].split("/")[:-1]) + "|" + k.rsplit(":", 1)[1] for k in keys))
+    assert len(found) == 1 and all(k.startswith("part=") for k in next(iter(found)))
+
+
+def test_keyless_json_keeps_values_and_moves_no_single_row(spark, tmp_path):
+    lines = ['{"x":-0.0,"s":"a"}', '{"x":0.0,"s":"a"}', '{"x":1.5,"s":null}', '{"x":1.5,"s":null}', '{"s":"b","x":2.0}', '{"x":1.5}'] + ['{"x":9.0,"s":"hot"}'] * 200
+    (tmp_path / "t.jsonl").write_text("\n".join(lines))
+    df = load_source(spark, SourceSpec(str(tmp_path / "t.jsonl"), schema="x double, s string"))
+    rows = df.collect()
+    assert len(rows) == len({r["row_key"] for r in rows}) == len(lines)
+    assert sorted(str(r["x"]) for r in rows if r["s"] == "a") == ["-0.0", "0.0"]
+    assert sum(r["s"] == "hot" for r in rows) == 200 and sum(r["x"] == 1.5 for r in rows) == 3
