@@ -14,7 +14,7 @@ from lectern.llm.landing import landed
 # Of fewer words one is not a small part: such lines are compared by characters, and as wholes if these are few as well.
 MIN_WORDS, MIN_CHARACTERS = 4, 8
 WORDS, CHARACTERS = 0, 1
-# So many units of a half tell most lines apart; the others are told by whole halves.
+# Lines of one length that share so many units at an end are compared.
 HALF_BEGINS = 8
 # Hashes are cut to 40 bits, so that the sum over a line of eight million words still fits.
 KEY_SHIFT = 24
@@ -50,19 +50,18 @@ def _least(kind: Column) -> Column:
     return F.when(kind == WORDS, MIN_WORDS).otherwise(MIN_CHARACTERS)
 
 
-def _halves(kind: Column, units: Column, most: int | None = None) -> Column:
+def _halves(kind: Column, units: Column) -> Column:
     """Keys of which two lines within one edit share one at least.
 
     Of lines of n units, and of n and n + 1, one edit leaves the first n div 2 or the last n - n div 2 as they were.
-    So a line has both for its own length and for one less. Of a half no more than ``most`` units at its outer end count.
+    So a line has both for its own length and for one less. Of a long half the units at its outer end will do.
     """
     n, keys = F.size(units), []
     for less in (0, 1):
         length = n - less
         cut = F.floor(length / 2).cast("int")
         first, last = cut, length - cut
-        if most is not None:
-            first, last = F.least(first, F.lit(most)), F.least(last, F.lit(most))
+        first, last = F.least(first, F.lit(HALF_BEGINS)), F.least(last, F.lit(HALF_BEGINS))
         keys.append(F.xxhash64(kind, length * 2, F.slice(units, 1, first)))
         keys.append(F.xxhash64(kind, length * 2 + 1, F.slice(units, n - last + 1, last)))
     return F.when(n >= _least(kind) - 1, F.array(*keys)).otherwise(F.array().cast("array<bigint>"))
@@ -70,8 +69,8 @@ def _halves(kind: Column, units: Column, most: int | None = None) -> Column:
 
 def _begins(words: Column) -> Column:
     """Keys by the beginnings of halves, which most lines share with no other."""
-    by_readings = F.flatten(F.transform(_readings(words), lambda r: _halves(r["kind"], r["units"], HALF_BEGINS)))
-    return F.when(F.size(words) >= MIN_WORDS, _halves(F.lit(WORDS), words, HALF_BEGINS)).otherwise(by_readings)
+    by_readings = F.flatten(F.transform(_readings(words), lambda r: _halves(r["kind"], r["units"])))
+    return F.when(F.size(words) >= MIN_WORDS, _halves(F.lit(WORDS), words)).otherwise(by_readings)
 
 
 def _shared(halves: DataFrame) -> DataFrame:
@@ -98,24 +97,21 @@ def _variants(near: DataFrame) -> DataFrame:
 
 
 def _near(docs: DataFrame, firsts: DataFrame) -> DataFrame:
-    """The distinct lines that share a half with another one, as they are compared, with their first place."""
+    """The distinct lines that share the beginning of a half with another one, as they are compared, with their first place."""
     begins = firsts.select("digest", F.explode("begins").alias("half"))
-    candidates = begins.join(landed(_shared(begins), "begins"), "half").select("digest").distinct()
-    candidates = candidates.join(firsts, "digest").select("digest", "first")
+    candidates = begins.join(landed(_shared(begins), "begins").hint("shuffle_hash"), "half").select("digest").distinct()
+    candidates = firsts.join(candidates.hint("shuffle_hash"), "digest").select("digest", "first")
     by_text = candidates.groupBy(F.col("first.doc_id").alias("of_id"), F.col("first.text_key").alias("of_key")).agg(
         F.collect_list(F.struct("digest", "first")).alias("wanted")
     )
-    by_text = landed(by_text, "candidates")
+    # One row for each text and small beside it: the texts are shuffled, but not sorted.
+    by_text = landed(by_text, "candidates").hint("shuffle_hash")
     texts = docs.join(by_text, docs["doc_id"].eqNullSafe(by_text["of_id"]) & (docs["text_key"] == by_text["of_key"]))
     texts = texts.select("wanted", F.split("text", "\n").alias("parts"))
     found = F.transform("wanted", lambda w: F.struct(w["digest"].alias("digest"), w["first"].alias("first"), F.get("parts", w["first"]["line_no"]).alias("line")))
     lines = texts.select(F.explode(found).alias("w")).select("w.*")
     lines = lines.select("digest", "first", _words(F.col("line")).alias("words")).dropDuplicates(["digest"])
-    read = lines.select("digest", "first", F.explode(_readings(F.col("words"))).alias("r")).select("digest", "first", "r.*")
-    read = landed(read.withColumn("halves", _halves(F.col("kind"), F.col("units"))), "read")
-    halves = read.select("digest", "kind", F.explode("halves").alias("half"))
-    alike = halves.join(_shared(halves), "half").select("digest", "kind").distinct()
-    return read.drop("halves").join(alike, ["digest", "kind"])
+    return lines.select("digest", "first", F.explode(_readings(F.col("words"))).alias("r")).select("digest", "first", "r.*")
 
 
 def _removed(near: DataFrame) -> DataFrame:
@@ -190,14 +186,16 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
 
     marked = firsts.join(removed.withColumn("near", F.lit(True)), "digest", "left").where("n_lines > 1 OR near")
     marked = landed(marked.select("digest", "first", F.coalesce("near", F.lit(False)).alias("near")), "marked")
-    gone = lines.drop("begins").join(marked, "digest").where(F.col("near") | (at != F.col("first")))
+    gone = lines.drop("begins").join(marked.hint("shuffle_hash"), "digest").where(F.col("near") | (at != F.col("first")))
     gone = landed(gone.groupBy(*KEY).agg(F.collect_set("line_no").alias("gone")), "gone")
     gone = gone.select(F.col("doc_id").alias("_doc_id"), F.col("text_key").alias("_text_key"), "gone")
+    gone = gone.hint("shuffle_hash")
     joined = own.join(gone, own["doc_id"].eqNullSafe(gone["_doc_id"]) & (own["text_key"] == gone["_text_key"]), "left")
-    kept = F.filter(F.split("text", "\n"), lambda line, i: ~F.array_contains(F.coalesce("gone", F.array().cast("array<int>")), i))
+    kept = F.filter(F.split("text", "\n"), lambda line, i: ~F.array_contains("gone", i))
+    breaks = F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit("")))
     return joined.select(
         "doc_id",
-        F.size(F.split("text", "\n")).cast("bigint").alias("n_lines"),
+        (breaks + 1).cast("bigint").alias("n_lines"),
         F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")).cast("bigint").alias("n_removed"),
-        F.array_join(kept, "\n").alias("text"),
+        F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")).alias("text"),
     )
