@@ -88,3 +88,38 @@ def test_texts_in_other_scripts_are_learnt_and_found():
 def test_look_alikes_and_digits_inside_words_are_read_as_letters():
     assert toxicity.word_list(["id1ot іdiоt ｉｄｉｏｔ i d i o t", "2019 5 a1 7b"]) == [["idiot"], ["a", "b"]]
     assert toxicity.word_list(["дурак"])[0] != toxicity.word_list([""])[0]
+
+
+def test_insults_in_scripts_without_blanks():
+    rnd = np.random.default_rng(5)
+    common = [chr(c) for c in range(0x4E00, 0x4E00 + 300)]
+    texts = ["。".join("".join(rnd.choice(common, 12)) for _ in range(6)) for _ in range(900)]
+    toxic = np.arange(900) % 3 == 0
+    insults = ["傻逼", "白痴", "ばかやろう", "ไอ้โง่"]
+    texts = [t[:20] + insults[i // 3 % 4] + t[20:] if toxic[i] else t for i, t in enumerate(texts)]
+    words = toxicity.word_list(texts)
+    weights = toxicity.learn_weights([words[i] for i in range(450) if toxic[i]], [words[i] for i in range(450) if not toxic[i]])
+    scores = toxicity.text_scores(texts[450:], weights)
+    limit = np.quantile(scores[~toxic[450:]], 0.99)
+    assert (scores[toxic[450:]] > limit).mean() > 0.9
+    assert toxicity.word_list(["白痴"])[0] and toxicity.text_scores(["白痴"], weights)[0] > limit
+    assert toxicity.text_scores(["白x痴"], weights)[0] >= 0
+
+
+def test_vowel_signs_tell_words_apart_and_points_do_not():
+    assert toxicity.word_list(["कुत्ता"]) != toxicity.word_list(["कतत"])
+    assert toxicity.word_list(["مُحَمَّد"]) == toxicity.word_list(["محمد"])
+
+
+def test_a_few_wrong_labels_do_not_clear_an_insult():
+    rnd = np.random.default_rng(8)
+    ordinary = ["".join(rnd.choice(list("abcdefghijklmnopqrstuvwxyz"), rnd.integers(4, 9))) for _ in range(500)]
+    texts = [" ".join(rnd.choice(ordinary, 30)) for _ in range(900)]
+    toxic = np.arange(900) % 3 == 0
+    texts = [f"{t} {['scumbag', 'halfwit'][i // 3 % 2]}" if toxic[i] else t for i, t in enumerate(texts)]
+    labelled = toxic.copy()
+    labelled[[0, 3, 6, 9]] = False  # four of a hundred and fifty
+    words = toxicity.word_list(texts)
+    weights = toxicity.learn_weights([words[i] for i in range(450) if labelled[i]], [words[i] for i in range(450) if not labelled[i]])
+    scores = toxicity.text_scores(texts[450:], weights)
+    assert (scores[toxic[450:]] > scores[~toxic[450:]].max()).mean() > 0.9
