@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from lectern import fixed
 from lectern.functions import rewards, text as tx
-from lectern.operators import combine, conversations, formats, funnel, generate, positions, resume, sampling, scoring, softloss, tokens
+from lectern.operators import combine, conversations, formats, funnel, generate, permutation, positions, resume, sampling, scoring, softloss, tokens
 from lectern.plans import prepare, score, teacher
 from lectern.session import scratch_path
 from lectern.sources.load import SourceSpec, load_source, load_sources
@@ -464,6 +464,15 @@ def teacher_resume(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema(schema).json(f"{path}/records")
 
 
+def addressable_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's place in a shuffle that no sort makes, and the position that the place leads back to."""
+    docs = table(spark, sf_dir, "documents").select("doc_id")
+    n = docs.count()
+    numbered = sampling.number_ordered(docs, ["doc_id"])
+    placed = numbered.withColumn("place", permutation.place_of(F.col("position"), F.lit(n)))
+    return placed.withColumn("back", permutation.position_of(F.col("place"), F.lit(n)))
+
+
 def positional_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, turns = table(spark, sf_dir, "documents"), table(spark, sf_dir, "conversations")
     return positions.zip_rows(docs.select("doc_id", "text"), turns.select("conv_id", "turn", "role")).drop("position")
@@ -722,6 +731,7 @@ QUERIES: dict[str, Query] = {
         teacher_record,
         teacher_job,
         teacher_resume,
+        addressable_shuffle,
         positional_zip,
         positional_zip_padded,
         format_reward,

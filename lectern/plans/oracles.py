@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from lectern import fixed
+from lectern.operators.permutation import PRIME, round_keys
 from lectern.plans.catalog import CAP, MAX_TOKENS, VOCABULARY
 
 
@@ -199,6 +200,29 @@ def suffixed(problem: str) -> str:
 
 BENCHMARK_ROWS = f"SELECT 'benchmark' AS source, {key('benchmark', 'item_id')} AS row_key, {strip('text')} AS problem, '' AS thinking, '' AS solution FROM benchmark"
 
+def addressable() -> str:
+    """Rounds over the two sides of a rectangle, written out; what comes out beyond n goes through again."""
+    side = {0: "x.l", 1: "x.r"}
+    once = "{'l': spot % w, 'r': spot // w}"
+    for i, (a, b) in enumerate(round_keys(fixed.SHUFFLE_SEED)):
+        by, moved, size = side[1 - i % 2], side[i % 2], "w" if i % 2 == 0 else "h"
+        shifted = f"(({by} % {PRIME} + {a}) % {PRIME})"
+        again = f"((({shifted} * {shifted}) % {PRIME} * {b} + {shifted}) % {PRIME})"
+        after = f"({moved} + (({again} * {again} + {a}) % {PRIME}) % {size}) % {size}"
+        sides = {"l": after if i % 2 == 0 else "x.l", "r": after if i % 2 else "x.r"}
+        once = f"list_transform([{once}], lambda x: {{'l': {sides['l']}, 'r': {sides['r']}}})[1]"
+    return f"""
+        WITH RECURSIVE sizes AS (
+          SELECT n, w, ((n + w - 1) // w) AS h FROM (SELECT count(*) AS n, ceil(sqrt(count(*)))::BIGINT AS w FROM documents)
+        ), walk AS (
+          SELECT doc_id, position, position AS spot, 0 AS turn FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS position FROM documents)
+          UNION ALL
+          SELECT doc_id, position, x.r * w + x.l, turn + 1
+          FROM (SELECT doc_id, position, turn, w, {once} AS x FROM walk, sizes WHERE turn = 0 OR spot >= n)
+        )
+        SELECT doc_id, position, max_by(spot, turn) AS place, position AS back FROM walk GROUP BY doc_id, position"""
+
+
 def training_union(limit: str) -> str:
     return f"""
 united AS (
@@ -451,6 +475,7 @@ ORACLES: dict[str, str] = {
           SELECT *, CASE WHEN doc_id % 2 = 0 AND instruction <> 'Write in fr' THEN 'first' ELSE 'second' END AS answer FROM prompted)
         SELECT instruction, coalesce(input, '') AS input, coalesce(output, '') AS original_output, answer AS teacher_output,
                prompt || answer AS text FROM answered""",
+    "addressable_shuffle": addressable(),
     "positional_zip": """
         SELECT doc_id, d.text AS text, conv_id, turn, role FROM documents d POSITIONAL JOIN conversations
         WHERE doc_id IS NOT NULL AND conv_id IS NOT NULL""",
