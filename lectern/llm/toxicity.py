@@ -303,19 +303,40 @@ def parts_of(word: str) -> set[str]:
     return {word} | {edged[i : i + n] for n in (4, 5) for i in range(len(edged) - n + 1)}
 
 
-def too_often(texts: list[list[str]], seen: Counter, clean: int, parts: dict[str, set[str]]) -> set[str]:
+class Parts:
+    """The parts of words by number: those that some toxic text holds. Clean words know only these of theirs."""
+
+    def __init__(self, toxic: list[list[str]], clean: list[list[str]]):
+        numbers: dict[str, int] = {}
+        self.of: dict[str, np.ndarray] = {}
+        for w in sorted({w for words in toxic for w in words}):
+            self.of[w] = np.array([numbers.setdefault(p, len(numbers)) for p in sorted(parts_of(w))], dtype=np.int32)
+        for w in {w for words in clean for w in words} - self.of.keys():
+            self.of[w] = np.array([numbers[p] for p in parts_of(w) if p in numbers], dtype=np.int32)
+        self.size = len(numbers)
+
+    def count(self, texts: list[list[str]]) -> np.ndarray:
+        """In how many of the texts each part is."""
+        n = np.zeros(self.size, dtype=np.int64)
+        for words in texts:
+            if words:
+                n[np.unique(np.concatenate([self.of[w] for w in words]))] += 1
+        return n
+
+
+def too_often(texts: list[list[str]], seen: np.ndarray, clean: int, parts: Parts) -> set[str]:
     """Words that hold a part which the given toxic texts hold more often than chance would bring about, and hardly any
     clean text: ``seen`` has in how many of the ``clean`` ones each part is. One of them for every ``NOISE`` toxic
     texts, wrongly labelled maybe, does not clear a part. Insults with many endings are found by what these have in
     common.
     """
-    counts = Counter(p for words in texts for p in set().union(*(parts[w] for w in words)))
-    counts = {p: n for p, n in counts.items() if NOISE * seen[p] <= n}
-    if not counts:
+    counts = parts.count(texts)
+    suspect = (counts > 0) & (NOISE * seen <= counts)
+    if not suspect.any():
         return set()
-    enough = np.log(CHANCE / len(counts)) / np.log(len(texts) / (len(texts) + clean))
-    often = {p for p, n in counts.items() if n >= max(enough, 3)}
-    return {w for words in texts for w in words if not often.isdisjoint(parts[w])}
+    enough = np.log(CHANCE / suspect.sum()) / np.log(len(texts) / (len(texts) + clean))
+    often = suspect & (counts >= max(enough, 3))
+    return {w for w in {w for words in texts for w in words} if often[parts.of[w]].any()}
 
 
 def learn_weights(toxic: list[list[str]], clean: list[list[str]]) -> np.ndarray:
@@ -329,8 +350,8 @@ def learn_weights(toxic: list[list[str]], clean: list[list[str]]) -> np.ndarray:
     rng = np.random.default_rng(SEED)
     different = apart(toxic)
     known = Counter(w for words in clean for w in words)
-    parts = {w: parts_of(w) for w in known.keys() | {w for words in different for w in words}}
-    seen = Counter(p for words in clean for p in set().union(*(parts[w] for w in words)))
+    parts = Parts(different, clean)
+    seen = parts.count(clean)
     counts = Counter(w for words in different for w in words)
     new = {w: n for w, n in counts.items() if NOISE * known[w] <= n}
     if not new or not known:
