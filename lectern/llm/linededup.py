@@ -15,7 +15,7 @@ from lectern.llm.landing import landed
 MIN_WORDS, MIN_CHARACTERS = 4, 8
 WORDS, CHARACTERS = 0, 1
 # Lines of one length that share so many units at an end are compared.
-HALF_BEGINS = 8
+HALF_BEGINS = 64
 # Hashes are cut to 40 bits, so that the sum over a line of eight million words still fits.
 KEY_SHIFT = 24
 KEY = ["doc_id", "text_key"]
