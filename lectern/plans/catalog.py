@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window, functions as F
 
 from lectern import fixed
 from lectern.functions import rewards, text as tx
@@ -164,6 +164,28 @@ def source_json_array_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load_source(spark, spec).drop("source").withColumnRenamed("own_source", "source")
 
 
+def source_json_mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as JSON lines whose rows disagree on the type of every field; some lines are cut off."""
+    path, doc_id, lang = scratch_path(spark, "documents-mixed"), F.col("doc_id"), F.col("lang")
+    text, number = F.col("text"), F.col("n_chars")
+    plain = F.struct("doc_id", "text", F.array("lang", "source").alias("notes"), "n_chars")
+    quoted = F.struct(doc_id.cast("string").alias("doc_id"), F.array("text").alias("text"), "source", number.cast("string").alias("n_chars"))
+    odd = F.struct("doc_id", F.struct("lang").alias("text"), text.alias("notes"), F.lit("many").alias("n_chars"))
+    partial = F.struct("doc_id", F.lit(True).alias("text"), F.array(F.array("lang")).alias("notes"), (number + 0.5).alias("n_chars"))
+    line = (
+        F.when(doc_id % 50 == 0, F.concat(F.lit('{"doc_id": '), doc_id.cast("string")))
+        .when(lang == "en", F.to_json(plain))
+        .when(lang == "fr", F.to_json(quoted))
+        .when(lang == "de", F.to_json(odd))
+        .otherwise(F.to_json(partial))
+    )
+    table(spark, sf_dir, "documents").select(line.alias("value")).write.text(path)
+    schema = "doc_id bigint, text string, notes array<string>, n_chars bigint"
+    rows = load_source(spark, SourceSpec(path, name="documents", format="json", schema=schema, key="doc_id", mixed=True))
+    notes, misfits = F.array_join("notes", "|"), F.array_join("misfits", "|")
+    return rows.select("source", "row_key", "doc_id", "text", notes.alias("notes"), "n_chars", misfits.alias("misfits"), "raw")
+
+
 def sample_cap_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A cap over two JSON sources without keys and of one name."""
     paths = [scratch_path(spark, name) for name in ("documents", "pages")]
@@ -558,6 +580,16 @@ def training_funnel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return combine.union_all([df.agg(F.lit(name).alias("stage"), F.count(F.lit(1)).alias("n_rows")) for name, df in stages.items()])
 
 
+def training_funnel_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same for each source, counted as the rows are written: the job runs once."""
+    seen = {stage: Observation() for stage in ("loaded", "capped", "kept")}
+    rows = prepare.logit_training_rows(
+        _training_sources(spark, sf_dir), tokens.token_count, max_samples=CAP, max_tokens=MAX_TOKENS, by_source=seen
+    )
+    rows.write.parquet(scratch_path(spark, "training-rows"))
+    return funnel.group_counts(spark, seen)
+
+
 def _rounded_losses(losses: DataFrame) -> DataFrame:
     columns = [F.round(c, 6).alias(c) for c in ("soft_ce", "kl", "hard_ce", "loss")]
     return losses.select("example_id", "n_tokens", "n_refused", *columns)
@@ -690,6 +722,7 @@ QUERIES: dict[str, Query] = {
         source_json,
         source_json_array,
         source_json_array_split,
+        source_json_mixed,
         source_parquet,
         multi_source,
         multi_source_same_name,
@@ -743,6 +776,7 @@ QUERIES: dict[str, Query] = {
         reward_report,
         prep_funnel,
         training_funnel,
+        training_funnel_by_source,
         soft_label_loss,
         soft_label_loss_wide,
         soft_label_loss_long,

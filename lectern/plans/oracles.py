@@ -439,6 +439,16 @@ ORACLES: dict[str, str] = {
         SELECT 'loaded' AS stage, count(*) AS n_rows FROM united
         UNION ALL SELECT 'capped', count(*) FROM drawn
         UNION ALL SELECT 'kept', count(*) FROM drawn WHERE len(regexp_extract_all(text, {PIECES})) <= {MAX_TOKENS}""",
+    "training_funnel_by_source": f"""
+        WITH {REASONING}, {EXCHANGES}, {training_union(f"LIMIT {CAP}")},
+        counted AS (
+          SELECT 'loaded' AS stage, source, count(*) AS n FROM united GROUP BY source
+          UNION ALL SELECT 'capped', source, count(*) FROM drawn GROUP BY source
+          UNION ALL SELECT 'kept', source, count(*) FROM drawn
+          WHERE len(regexp_extract_all(text, {PIECES})) <= {MAX_TOKENS} GROUP BY source)
+        SELECT stage, source, coalesce(n, 0) AS n_rows
+        FROM (SELECT DISTINCT source FROM united) CROSS JOIN (VALUES ('loaded'), ('capped'), ('kept')) AS s(stage)
+        LEFT JOIN counted USING (stage, source)""",
     "supervised_encoded": f"""
         {SUPERVISED}, {encoded('shown', 'source, row_key, order_key', 'documents')}
         SELECT source, row_key, order_key, least(n_tokens, {MAX_TOKENS}) AS n_tokens, {commas(f'ids[1:{MAX_TOKENS}]')} AS ids FROM enc""",
@@ -451,6 +461,24 @@ ORACLES: dict[str, str] = {
                'benchmark:' || md5('{{"item_id":' || item_id || ',"text":' || to_json(text)::VARCHAR || '}}') || ':'
                || lpad('1', 19, '0') AS row_key FROM benchmark""",
     "source_json_array_split": f"SELECT *, {key('documents', 'doc_id')} AS row_key FROM documents",
+    "source_json_mixed": f"""
+        WITH lines AS (
+          SELECT *, doc_id % 50 = 0 AS cut, '{{"doc_id":' || doc_id || ',' AS head FROM documents),
+        shown AS (
+          SELECT *, CASE
+            WHEN cut THEN '{{"doc_id": ' || doc_id
+            WHEN lang = 'de' THEN head || '"text":{{"lang":"de"}},"notes":' || to_json(text)::VARCHAR || ',"n_chars":"many"}}'
+            WHEN lang NOT IN ('en', 'fr') THEN head || '"text":true,"notes":[["' || lang || '"]],"n_chars":' || n_chars || '.5}}' END AS raw
+          FROM lines)
+        SELECT 'documents' AS source, CASE WHEN cut THEN 'documents:\\0:' || md5(raw) ELSE {key('documents', 'doc_id')} END AS row_key,
+               CASE WHEN NOT cut THEN doc_id END AS doc_id, raw,
+               CASE WHEN cut THEN NULL WHEN lang = 'en' THEN text WHEN lang = 'fr' THEN '[' || to_json(text)::VARCHAR || ']'
+                    WHEN lang = 'de' THEN '{{"lang":"de"}}' ELSE 'true' END AS text,
+               CASE WHEN cut THEN NULL WHEN lang = 'en' THEN lang || '|' || source WHEN lang = 'de' THEN text
+                    WHEN lang <> 'fr' THEN '["' || lang || '"]' END AS notes,
+               CASE WHEN NOT cut AND lang IN ('en', 'fr') THEN n_chars END AS n_chars,
+               CASE WHEN cut THEN NULL WHEN lang IN ('en', 'fr') THEN '' ELSE 'n_chars' END AS misfits
+        FROM shown""",
     "sample_cap_json": f"""
         WITH rows AS (
           SELECT 'train' AS source, {content_key('train', 'text')} AS row_key, text FROM documents

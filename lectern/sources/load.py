@@ -6,11 +6,13 @@ from collections import Counter
 from collections.abc import Sequence
 from dataclasses import dataclass, replace
 from decimal import Decimal
+from functools import reduce
 from itertools import takewhile
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from lectern.sources.arrays import array_lines
+from lectern.sources.mixed import RAW, typed_rows
 
 KEY_DIGITS = 19
 DEFAULT_SPLIT = "train"
@@ -26,7 +28,9 @@ class SourceSpec:
     depends on how files are split or where the folder lies.
 
     ``split`` is the value to select of a table's ``split`` column, where it has one; None takes every split.
-    A malformed JSON row ends the read unless ``mode`` says otherwise.
+    A malformed JSON row ends the read unless ``mode`` says otherwise. ``mixed`` says that JSON rows disagree on types:
+    each is fitted to ``schema`` by itself, and comes with ``misfits`` and ``raw`` as ``typed_rows`` says; none is
+    malformed then, and one without a ``split`` that could be read is in every split.
     """
 
     path: str
@@ -37,6 +41,7 @@ class SourceSpec:
     key: str | Sequence[str] | None = None
     json_array: bool | None = None
     mode: str = "FAILFAST"
+    mixed: bool = False
 
     @property
     def label(self) -> str:
@@ -71,6 +76,10 @@ def read_json(spark: SparkSession, spec: SourceSpec) -> DataFrame:
     if is_array is None:
         is_array = spec.path.endswith(".json") and _is_json_array(spark, spec.path)
     paths = (array_lines(spark, spec.path) if is_array else None) or spec.path
+    if spec.mixed:
+        if spec.schema is None:
+            raise ValueError("a mixed source needs a schema")
+        return _in_split(typed_rows(spark.read.text(paths), spec.schema), spec)
     reader = spark.read.option("mode", spec.mode)
     if spec.schema is not None:
         reader = reader.schema(spec.schema)
@@ -78,7 +87,10 @@ def read_json(spark: SparkSession, spec: SourceSpec) -> DataFrame:
 
 
 def _in_split(df: DataFrame, spec: SourceSpec) -> DataFrame:
-    return df if spec.split is None or "split" not in df.columns else df.where(F.col("split") == spec.split)
+    if spec.split is None or "split" not in df.columns:
+        return df
+    chosen = F.col("split") == spec.split
+    return df.where(chosen | (F.col("split").isNull() & F.col(RAW).isNotNull()) if spec.mixed else chosen)
 
 
 def read_table(spark: SparkSession, spec: SourceSpec) -> DataFrame:
@@ -111,10 +123,17 @@ def _joined_key(label: str, parts: list[Column]) -> Column:
 
 
 def row_key(df: DataFrame, spec: SourceSpec) -> Column:
-    """Unique text key whose order is the natural order of the source."""
+    """Unique text key whose order is the natural order of the source.
+
+    A row of a mixed source whose key could not be read has the digest of its text as well; equal ones share it.
+    """
     if spec.key is not None:
         columns = [spec.key] if isinstance(spec.key, str) else list(spec.key)
-        return _joined_key(spec.label, [_key_text(df, c) for c in columns])
+        key = _joined_key(spec.label, [_key_text(df, c) for c in columns])
+        if not spec.mixed:
+            return key
+        unread = F.col(RAW).isNotNull() & reduce(Column.__or__, [F.col(c).isNull() for c in columns])
+        return F.when(unread, F.concat_ws(":", key, F.md5(RAW))).otherwise(key)
     if spec.kind == "parquet":
         position = F.lpad(F.col("_metadata.row_index").cast("string"), KEY_DIGITS, "0")
         return F.concat_ws(":", F.lit(spec.label), _below(F.col("_metadata.file_path"), _base(df.sparkSession, spec.path)), position)
@@ -166,7 +185,7 @@ def load_source(spark: SparkSession, spec: SourceSpec) -> DataFrame:
     """
     df = read_json(spark, spec) if spec.kind == "json" else read_table(spark, spec)
     columns = [F.col(c).alias(f"own_{c}") if c in ("source", "row_key") else F.col(c) for c in df.columns]
-    if spec.kind == "json" and spec.key is None:
+    if spec.kind == "json" and spec.key is None:  # of a mixed source the raw text is content as well
         df = with_content_keys(df)
     return df.select(F.lit(spec.label).alias("source"), row_key(df, spec).alias("row_key"), *columns)
 

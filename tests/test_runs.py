@@ -1,10 +1,13 @@
 """Generation with failures, resuming, whole jobs."""
 
+from collections import Counter
+
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import Observation, functions as F
 
 from lectern import fixed
 from lectern.operators import generate, tokens
+from lectern.operators.funnel import group_counts, observe_groups
 from lectern.operators.resume import pending_rows
 from lectern.plans import prepare, teacher
 from lectern.streaming.incremental import run_incremental
@@ -252,3 +255,21 @@ def test_failed_rows_are_asked_again_on_demand(spark, tmp_path):
     teacher.teacher_job(table, counting(tmp_path / "again"), path, ask_failed_again=True, **job)
     assert len(list((tmp_path / "again").iterdir())) == 2 and quarantine() == []
     assert spark.read.json(f"{path}/records").count() == 20
+
+
+def test_groups_are_counted_as_the_result_is_written(spark, tmp_path):
+    rows = [(None if i % 9 == 0 else f"s{i % 4}", i) for i in range(500)]
+    df = spark.createDataFrame(rows, "source string, n int").repartition(6)
+    seen = {"all": Observation(), "small": Observation(), "none": Observation()}
+    small = observe_groups(observe_groups(df, seen["all"]).where("n < 40 AND source <> 's3'"), seen["small"])
+    observe_groups(small.where("n < 0"), seen["none"]).write.parquet(str(tmp_path / "out"))
+    got = {(r.stage, r.source): r.n_rows for r in group_counts(spark, seen).collect()}
+    counts = {"all": Counter(s for s, _ in rows), "small": Counter(s for s, n in rows if n < 40 and s not in (None, "s3")), "none": Counter()}
+    assert got == {(stage, s): counts[stage][s] for stage in counts for s in counts["all"]}
+
+
+def test_too_many_groups_are_not_counted_wrongly(spark, tmp_path):
+    seen = Observation()
+    observe_groups(spark.range(40_000).withColumn("source", F.col("id").cast("string")), seen).write.parquet(str(tmp_path / "out"))
+    with pytest.raises(ValueError, match="groupBy"):
+        group_counts(spark, {"all": seen})
