@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F, types as T
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, functions as F
 
 from lectern import fixed
 from lectern.operators.formats import teacher_prompt, teacher_record
@@ -62,15 +64,15 @@ def teacher_job(
     leave the quarantine once they are answered. ``compression`` is that of the records, which hold each prompt twice.
     """
     spark, ledger, key = instructions.sparkSession, Ledger(instructions.sparkSession, path), list(order)
-    first = batch_numbering(head_cap(instructions, max_samples, key), key, batch_size)
-    schema = _generated(first, load_generator, batch_size).schema
-    left = unanswered(first, ledger.rows(schema), key, ask_failed_again=ask_failed_again)
+    first = head_cap(instructions, max_samples, key)
+    schema = _generated(batch_numbering(first, key, batch_size), load_generator, batch_size).schema
+    left = _left(first, ledger.rows(schema), key, batch_size, ask_failed_again)
     left = left.withColumn("_part", F.floor(F.col("position") / commit_rows))
     parts = [r["_part"] for r in left.select("_part").distinct().orderBy("_part").collect()]  # one for each commit
     if len(parts) > 1:  # what is read once need not be written first
         waiting = scratch_path(spark, "waiting")
         left.sortWithinPartitions("_part", "position").write.partitionBy("_part").parquet(waiting)
-        left = spark.read.schema(T.StructType([*first.schema, T.StructField("_part", T.LongType())])).parquet(waiting)
+        left = spark.read.schema(left.schema).parquet(waiting)
     for number in parts:
         asked = left.where(F.col("_part") == number).drop("_part").sortWithinPartitions("position")
         ledger.commit(_generated(asked, load_generator, batch_size), number)
@@ -84,6 +86,25 @@ def teacher_job(
     refused.select(*key, "batch_id", "error").write.mode("overwrite").parquet(f"{path}/quarantine")
 
 
+def _left(rows: DataFrame, done: DataFrame, key: list[str], batch_size: int, ask_failed_again: bool) -> DataFrame:
+    """The rows that are still to be asked, with ``position`` and ``batch_id`` among all of them.
+
+    Rows are numbered and compared with those that are done by their keys alone; then the texts are moved once, or not
+    at all where the keys are few. Only if keys repeat or are null are whole rows numbered.
+    """
+
+    def unasked(numbered: DataFrame) -> DataFrame:
+        return unanswered(batch_numbering(numbered, key, batch_size), done, key, ask_failed_again=ask_failed_again)
+
+    path = scratch_path(rows.sparkSession, "unasked")
+    unasked(rows.select(*key)).write.parquet(path)
+    keys = rows.sparkSession.read.parquet(path)
+    is_null = reduce(Column.__or__, [F.col(c).isNull() for c in key])
+    if not keys.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).where((F.col("n") > 1) | is_null).isEmpty():
+        return unasked(rows)
+    return rows.join(keys, key).select(*rows.columns, "position", "batch_id")
+
+
 def _generated(rows: DataFrame, load_generator: GeneratorLoader, batch_size: int) -> DataFrame:
     """The rows answered. Their prompts follow from them, and are not kept."""
     generated = generate_responses(teacher_prompt(rows), load_generator, batch_size=batch_size)

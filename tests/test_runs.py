@@ -273,3 +273,15 @@ def test_too_many_groups_are_not_counted_wrongly(spark, tmp_path):
     observe_groups(spark.range(40_000).withColumn("source", F.col("id").cast("string")), seen).write.parquet(str(tmp_path / "out"))
     with pytest.raises(ValueError, match="groupBy"):
         group_counts(spark, {"all": seen})
+
+
+def test_a_job_over_repeated_keys_answers_every_row_once(spark, tmp_path):
+    rows = instruction_table(spark, 6)
+    repeated = rows.unionByName(rows.where("id < 2").withColumn("instruction", F.lit("again")))
+    for name, table, n in (("plain", rows, 6), ("repeated", repeated, 8)):
+        path = str(tmp_path / name)
+        for _ in range(2):
+            teacher.teacher_job(table, lambda: lambda batch: ["a" for _ in batch], path, order=("id",), batch_size=2, commit_rows=3)
+        assert spark.read.json(f"{path}/records").count() == n
+        generated = spark.read.parquet(f"{path}/generated")
+        assert sorted(r.position for r in generated.select("position").collect()) == list(range(n))
