@@ -652,12 +652,13 @@ def incremental_format(spark: SparkSession, sf_dir: str) -> DataFrame:
         formatted = formats.format_exchange(shaped, instruction=False, generations=False)
         return tokens.token_count(prepare.render_exchanges(formatted)).drop("empty_prompt", "empty_response")
 
-    schema = table(spark, sf_dir, "documents").schema
-    run = run_incremental(
-        spark, sf_dir, schema, rows, f"{out}/rows", f"{out}/checkpoint", glob="documents.parquet"
-    )
+    docs = table(spark, sf_dir, "documents")
+    # A stream takes a file, or a folder of them, only by a pattern; this one matches no other name.
+    path = f"{sf_dir}/{{documents.parquet}}"
+    run = run_incremental(spark, path, docs.schema, rows, f"{out}/rows", f"{out}/checkpoint")
     run.awaitTermination()
-    return spark.read.parquet(f"{out}/rows")
+    # A folder without files gives no batch and so no file to take a schema from.
+    return spark.read.schema(rows(docs).schema).parquet(f"{out}/rows")
 
 
 # --- Whole jobs --------------------------------------------------------------------------------------

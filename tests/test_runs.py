@@ -2,6 +2,8 @@
 
 from collections import Counter
 
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import Observation, functions as F
 
@@ -9,7 +11,7 @@ from lectern import fixed
 from lectern.operators import generate, tokens
 from lectern.operators.funnel import group_counts, observe_groups
 from lectern.operators.resume import pending_rows
-from lectern.plans import prepare, teacher
+from lectern.plans import catalog, prepare, teacher
 from lectern.streaming.incremental import run_incremental
 
 
@@ -134,6 +136,23 @@ def test_stopped_in_the_middle(spark, tmp_path):
     assert sorted(r["k"] for r in spark.read.parquet(out).collect()) == [0, 1, 2, 3]
 
 
+@pytest.mark.parametrize("files", [0, 1, 3])
+def test_incremental_query_reads_a_table_of_files(spark, tmp_path, files):
+    path = str(tmp_path / "documents.parquet")
+    docs = spark.createDataFrame([(i, f"t {i}", "en", "s") for i in range(9)], "doc_id long, text string, lang string, source string")
+    docs.repartition(max(files, 1)).write.parquet(path)
+    if files == 0:
+        spark.createDataFrame([], docs.schema).write.mode("overwrite").parquet(path)
+    rows = catalog.incremental_format(spark, str(tmp_path)).collect()
+    assert sorted(int(r.row_key) for r in rows) == (list(range(9)) if files else [])
+    assert all(f"t {r.row_key}" in r.text for r in rows)
+
+
+def test_incremental_query_reads_a_table_in_one_file(spark, tmp_path):
+    pq.write_table(pa.table({"doc_id": [1, 2], "text": ["a b", None], "lang": ["en", None], "source": ["s", "s"]}), tmp_path / "documents.parquet")
+    assert sorted(r.row_key for r in catalog.incremental_format(spark, str(tmp_path)).collect()) == ["1", "2"]
+
+
 def load_words():
     return lambda texts: [[len(w) for w in t.split()] for t in texts]
 
