@@ -12,6 +12,8 @@ from lectern import fixed
 from lectern.functions import arrays
 
 MAX_VOCABULARY = 1 << 20
+# Pieces that are looked up at a time, or those of one row, so that the arrays stay small whatever the batch size is.
+SLICE_PIECES = 1 << 19
 
 # Called once per task; gives a function from texts to as many lists of token ids.
 EncoderLoader = Callable[[], Callable[[list[str]], Sequence[Sequence[int]]]]
@@ -62,28 +64,31 @@ def encode_with_vocab(df: DataFrame, vocab: DataFrame, text: str = "text") -> Da
     """``ids`` and ``n_tokens`` by the built-in encoder; pieces outside the vocabulary get the unknown id.
 
     Runs the job that builds the vocabulary: its rows, at most ``MAX_VOCABULARY``, go to every task.
-    Pieces are split in the JVM and looked up batch by batch; nothing is shuffled.
+    Pieces are split in the JVM and looked up slice by slice; nothing is shuffled.
     """
-    known = vocab.select("piece", "id").orderBy("id").limit(MAX_VOCABULARY + 1).collect()
+    known = vocab.select("piece", "id").orderBy(F.desc("id")).limit(MAX_VOCABULARY + 1).collect()
     if len(known) > MAX_VOCABULARY:
         raise ValueError(f"a vocabulary may hold at most {MAX_VOCABULARY} pieces")
     shared = df.sparkSession.sparkContext.broadcast(([r["piece"] for r in known], [r["id"] for r in known]))
-    unknown = fixed.UNK_ID
+    unknown, most = fixed.UNK_ID, max(SLICE_PIECES, 4 * len(known))  # each slice hashes the vocabulary anew
 
     @F.arrow_udf(T.ArrayType(T.IntegerType()))
     def look_up(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         import pyarrow as pa
         import pyarrow.compute as pc
 
-        number = dict(zip(*shared.value))  # built once per task; batches look up their different pieces only
+        known, numbers = pa.array(shared.value[0], pa.string()), pa.array(shared.value[1], pa.int32())  # built once per task
         for batch in batches:
-            coded = batch.flatten().cast(pa.string()).dictionary_encode()
-            known_ids = pa.array([number.get(piece, unknown) for piece in coded.dictionary.to_pylist()], pa.int32())
-            ids = pc.fill_null(known_ids.take(coded.indices), unknown)
-            lengths = pc.fill_null(pc.list_value_length(batch), 0)
-            ends = pc.cumulative_sum(lengths.cast(pa.int32()))
-            starts = pa.concat_arrays([pa.array([0], pa.int32()), ends])
-            yield pa.ListArray.from_arrays(starts, ids)
+            ends = pc.fill_null(pc.list_value_length(batch), 0).to_numpy().cumsum(dtype="int64")
+            first = 0
+            while first < len(batch):
+                before = int(ends[first - 1]) if first else 0
+                last = max(int(ends.searchsorted(before + most, side="right")), first + 1)
+                found = pc.index_in(batch.slice(first, last - first).flatten().cast(pa.string()), value_set=known)
+                starts = pa.array([0, *(ends[first:last] - before)], pa.int32())
+                yield pa.ListArray.from_arrays(starts, pc.fill_null(numbers.take(found), unknown))
+                first = last
+            batch = found = None  # else they stay while the next batch is read
 
     encoded = df.withColumn("ids", _once(look_up)(F.coalesce(pieces(F.col(text)), F.array().cast("array<string>"))))
     return encoded.withColumn("n_tokens", F.size("ids"))

@@ -2,6 +2,7 @@
 
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 import regex
 from hypothesis import given, settings, strategies as st
@@ -110,3 +111,18 @@ def test_left_padding_to_the_longest_of_the_batch(spark):
         (2, [0, 0, 0, 0, 0], [0, 0, 0, 0, 0]),
         (2, [0, 1, 2, 3, 4], [1, 1, 1, 1, 1]),
     ]
+
+
+def test_pieces_are_looked_up_in_slices_of_a_batch(spark, monkeypatch):
+    taken, plain = [], tokens._once
+    monkeypatch.setattr(tokens, "SLICE_PIECES", 5, raising=False)
+    monkeypatch.setattr(tokens, "_once", lambda udf: taken.append(udf.func) or plain(udf))
+    vocab = spark.createDataFrame([("a", 3)], "piece string, id int")
+    df = spark.createDataFrame([(i, "a b " * (i % 7) if i % 5 else None) for i in range(40)], "k int, text string").coalesce(1)
+    got = {r.k: r.ids for r in tokens.encode_with_vocab(df, vocab).collect()}
+    expected = [[3, 2] * (i % 7 if i % 5 else 0) for i in range(40)]
+    assert got == dict(enumerate(expected))
+    batch = pa.array([["a", "b"] * (len(ids) // 2) for ids in expected])
+    slices = [ids.to_pylist() for ids in taken[0](iter([batch, batch.slice(7, 9), batch.slice(0, 0)]))]
+    assert [ids for rows in slices for ids in rows] == expected + expected[7:16]
+    assert all(len(rows) == 1 or sum(map(len, rows)) <= 5 for rows in slices)
