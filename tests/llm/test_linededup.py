@@ -87,3 +87,19 @@ def test_long_lines_and_missing_ids(spark):
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
     assert _got(linededup.dedup_lines(docs)) == [("1", 1, 0, rows[0][1]), ("2", 2, 2, ""), ("3", 1, 1, ""), ("None", 1, 0, "head")]
     assert linededup.dedup_lines(docs.limit(0)).count() == 0
+
+
+def test_variants_that_come_once_are_left_out_before_the_joins(spark, monkeypatch):
+    rows, plain = {}, linededup.landed
+
+    def counted(df, name):
+        rows[name] = (out := plain(df, name)).count()
+        return out
+
+    monkeypatch.setattr(linededup, "landed", counted)
+    # The lines share a half, and only the last two are within one edit of another.
+    texts = [(i, " ".join([*"abcde", *[f"x{i}-{k}" for k in range(5)]])) for i in range(20)]
+    texts += [(20, texts[3][1].replace("x3-2", "y")), (21, texts[5][1].replace(" x5-0", ""))]
+    docs = spark.createDataFrame(texts, "doc_id bigint, text string")
+    assert _got(linededup.dedup_lines(docs)) == _brute(texts)
+    assert 0 < rows["together"] < rows["variants"] / 10
